@@ -1,0 +1 @@
+"""Intentionally empty: the survey workload has no streaming source, state or event time."""
