@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from checks import cleaning, composition, geography  # noqa: F401
+from checks import cleaning, composition, evaluation, geography, learning  # noqa: F401
 from checks.registry import ORACLES, QUERIES  # noqa: F401

@@ -60,8 +60,8 @@ SELECT p_partkey AS ord,
   concat(substr('NQRSTUV', cast(1 + p_partkey % 7 AS int), 1), cast(1 + p_partkey % 4 AS string),
     CASE WHEN p_partkey % 6 = 0 THEN '' ELSE cast(1 + p_partkey % 5 AS string) END) AS new_code,
   CASE WHEN p_partkey % 10 = 0 THEN NULL
-       WHEN p_partkey % 4 = 0 THEN concat('X', cast(p_partkey % 97 AS string), '; X', cast(p_partkey % 89 AS string))
-       ELSE concat('X', cast(p_partkey % 97 AS string)) END AS old_codes,
+       WHEN p_partkey % 4 = 0 THEN concat('X', cast(p_partkey % 499 AS string), '; X', cast(p_partkey % 487 AS string))
+       ELSE concat('X', cast(p_partkey % 499 AS string)) END AS old_codes,
   CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE concat('RL', cast(p_partkey % 53 AS string)) END AS threat_code
 FROM part WHERE p_size <= 12""",
     # Threat list with repeated codes and spelling variants.

@@ -60,10 +60,8 @@ def side(grp):
 def class_criteria(scores, catalogue):
     """Internal and external total per class, with the top group of the class."""
     hit = scores.join(catalogue.select("feature_id", "grp"), "feature_id")
-    internal = hit.where(F.col("grp") == "species")
-    external = hit.where(F.col("grp") != "species")
-    return tag_union({"Internal": internal, "External": external}, "criterion").groupBy(
-        top_group(F.col("class")).alias("top_group"), "class", "criterion"
+    return hit.groupBy(
+        top_group(F.col("class")).alias("top_group"), "class", side(F.col("grp")).alias("criterion")
     ).agg(F.sum("score").alias("score"))
 
 

@@ -18,28 +18,31 @@ def _with_bucket(hashed, digits):
     return hashed.withColumn("_bucket", F.left("_hash", F.lit(digits)))
 
 
-def _bucket_offsets(hashed):
+def _bucket_offsets(hashed, by=()):
     """Size of each bucket and rows before it; few enough rows for one task to order."""
-    counts = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    running = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    counts = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    running = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     return counts.select(
+        *by,
         "_bucket",
         F.col("_n").alias("_size"),
         F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"),
     )
 
 
-def hash_position(df, keys, seed):
+def hash_position(df, keys, seed, by=()):
     """Zero-based position of each row in the seeded order of its unique ``keys``.
 
-    Rows are ordered inside hash buckets and the bucket offsets come from a histogram, so no
-    task sees more than about 1/4096 of the rows.
+    With ``by`` positions start anew for each value of these columns.  Rows are ordered inside
+    hash buckets and the bucket offsets come from a histogram, so no task sees more than about
+    1/4096 of the rows, even if one value of ``by`` holds most of them.
     """
+    by = list(by)
     cols = [F.col(k) for k in keys]
     hashed = _with_bucket(df.withColumn("_hash", order_key(seed, *cols)), BUCKET_DIGITS)
-    within = W.partitionBy("_bucket").orderBy("_hash", *cols)
+    within = W.partitionBy(*by, "_bucket").orderBy("_hash", *cols)
     placed = hashed.withColumn("_in", F.row_number().over(within) - 1)
-    out = placed.join(_bucket_offsets(hashed).drop("_size"), "_bucket")
+    out = placed.join(_bucket_offsets(hashed, by).drop("_size"), [*by, "_bucket"])
     return out.withColumn("position", F.col("_before") + F.col("_in")).drop(
         "_hash", "_bucket", "_in", "_before"
     )
