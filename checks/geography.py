@@ -160,9 +160,10 @@ def _(spark):
     lines = G.dissolve(G.ring_edges(polygons(spark)), {"line": [f"NATION_{n}" for n in range(25)]})
     points = G.sites(plots(spark))
     near = G.nearest_within(points, lines, 20000.0, "far", "line")
-    boxed = G._boxes_over(points, G.bounding_boxes(G.ring_edges(polygons(spark))), G.REGION_CELL)
-    bands = G._edge_bands(G.ring_edges(polygons(spark)), G.BAND)
-    tested = boxed.withColumn("band", F.floor(F.col("y") / G.BAND)).join(bands, ["geom_id", "band"], "left")
+    shapes = G.outlines(polygons(spark))
+    boxed = G._boxes_over(points, shapes.select(*G.BOX), G.REGION_CELL)
+    bands = G._edge_bands(shapes, G.BAND)
+    tested = G.projected(boxed).withColumn("band", F.floor(F.col("y") / G.BAND)).join(bands, ["geom_id", "band"], "left")
     inside = geo.inside_edges(F.col("x"), F.col("y"), F.col("edges"))
     counts = tested.groupBy("lon", "lat").agg(F.count(F.when(inside, 1)).alias("inside"))
     out = plots(spark).join(near, ["lon", "lat"]).join(counts, ["lon", "lat"])

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from sward.functions import geo
 from sward.functions.text import yes_no
 
-SITE = ["lon", "lat", "x", "y"]
+# Sites are keyed by their coordinates alone, so that one shuffle by them serves every lookup;
+# the projection is worked out again where it is needed.
+SITE = ["lon", "lat"]
 
 # Vegetation-map codes that count as dunes.
 DUNE_CODES = [f"P{i}" for i in range(1, 17)]
@@ -48,40 +50,49 @@ TOP_LEVEL = 11
 
 
 def sites(plots):
-    """Distinct coordinates of the plots with their projection."""
-    return (
-        plots.select("lon", "lat")
-        .where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
-        .distinct()
-        .select(
-            "lon", "lat",
-            geo.mercator_x(F.col("lon")).alias("x"), geo.mercator_y(F.col("lat")).alias("y"),
-        )
+    """Distinct complete coordinates of the plots."""
+    known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    return plots.select(*SITE).where(known).distinct()
+
+
+def projected(points):
+    """Sites with their projected coordinates ``x`` and ``y``."""
+    return points.withColumns(
+        {"x": geo.mercator_x(F.col("lon")), "y": geo.mercator_y(F.col("lat"))}
     )
 
 
-def ring_edges(polygons):
-    """Edges of all rings: ``(geom_id, name, x1, y1, x2, y2)``; rings may be open or closed."""
-    ring = F.col("ring")
+def outlines(polygons):
+    """One row per polygon: ``geom_id, name``, its edges as an array and its bounding box.
 
-    def edge(p, i):
-        q = F.get(ring, (i + 1) % F.size(ring))
-        return F.struct(
-            p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")
-        )
+    Rings may be open or closed: the edge that closes a closed ring has no length.
+    """
 
-    rings = polygons.select("geom_id", "name", F.explode("rings").alias("ring"))
-    edges = rings.select("geom_id", "name", F.explode(F.transform(ring, edge)).alias("e"))
-    return edges.select("geom_id", "name", "e.*")
+    def edges(ring):
+        def edge(p, i):
+            q = F.get(ring, (i + 1) % F.size(ring))
+            return F.struct(
+                p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")
+            )
 
+        return F.transform(ring, edge)
 
-def bounding_boxes(edges):
-    return edges.groupBy("geom_id").agg(
-        F.min("x1").alias("x0"), F.min("y1").alias("y0"),
-        F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+    shapes = polygons.select("geom_id", "name", F.flatten(F.transform("rings", edges)).alias("edges"))
+    return shapes.select(
+        "*",
+        F.array_min("edges.x1").alias("x0"), F.array_min("edges.y1").alias("y0"),
+        F.array_max("edges.x1").alias("x1"), F.array_max("edges.y1").alias("y1"),
     )
 
 
+def ring_edges(polygons):
+    """Edges of all rings: ``(geom_id, name, x1, y1, x2, y2)``."""
+    return outlines(polygons).select("geom_id", "name", F.inline("edges"))
+
+
+BOX = ["geom_id", "x0", "y0", "x1", "y1"]
+
+
 def _steps(low, high):
     return F.sequence(low.cast("long"), high.cast("long"))
 
@@ -96,7 +107,8 @@ def _box_cells(boxes, size):
     )
 
 
-def _with_cell(df, size):
+def _with_cell(points, size):
+    df = projected(points)
     return df.withColumns({"cx": geo.cell(F.col("x"), size), "cy": geo.cell(F.col("y"), size)})
 
 
@@ -113,22 +125,13 @@ def _boxes_over(points, boxes, size):
     )
 
 
-def _around(level):
-    """Keys of the 3 x 3 neighbourhood of a cell at a level of the doubling grid."""
-    offsets = F.array(*[
-        F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"))
-        for i in (-1, 0, 1) for j in (-1, 0, 1)
-    ])
-    scale = F.pow(F.lit(2.0), level)
-
-    def key(o):
-        return F.struct(
-            level.cast("int").alias("level"),
-            (F.floor(F.col("cx") / scale) + o["dx"]).alias("kx"),
-            (F.floor(F.col("cy") / scale) + o["dy"]).alias("ky"),
-        )
-
-    return F.transform(offsets, key)
+def _neighbourhood(cells, keep):
+    """Keys of the 3 x 3 neighbourhood of each cell at its level of the doubling grid."""
+    scaled = cells.selectExpr(
+        *keep, "level", "floor(cx / pow(2.0D, level)) AS px", "floor(cy / pow(2.0D, level)) AS py"
+    )
+    wide = scaled.selectExpr(*keep, "level", "py", "explode(sequence(px - 1, px + 1)) AS kx")
+    return wide.selectExpr(*keep, "level", "kx", "explode(sequence(py - 1, py + 1)) AS ky")
 
 
 def _box_levels(boxes, size):
@@ -142,48 +145,54 @@ def _box_levels(boxes, size):
     return levels.withColumn("kx", span("x0", "x1")).withColumn("ky", span("y0", "y1"))
 
 
-def _nearest_boxes(points, boxes, size):
-    """All boxes at minimal distance from points that lie in none: ``(site, geom_id)``.
+def _boxes_near(cells, boxes, size):
+    """Per cell the boxes that can be nearest to a point of it: ``(cx, cy, boxes)``.
 
-    For each occupied cell the finest level is found whose neighbourhood touches a box.  That
-    box is nearer than 3 cells of that level, and every box as near as 4 cells lies in the
+    For each cell the finest level is found whose neighbourhood touches a box.  That box is
+    nearer than 3 cells of that level, and every box as near as 4 cells lies in the
     neighbourhood two levels up, so the candidates taken there are complete.
     """
     index = _box_levels(boxes, size)
-    slim = index.select("level", "kx", "ky").distinct()
-    located = _with_cell(points, size)
-    cells = located.select("cx", "cy").distinct()
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TOP_LEVEL)), _around))
-    probes = cells.select("cx", "cy", F.explode(every).alias("k")).select("cx", "cy", "k.*")
-    found = probes.join(slim, ["level", "kx", "ky"]).groupBy("cx", "cy").agg(
-        F.min("level").alias("level")
-    )
-    up = F.least(F.col("level") + 2, F.lit(TOP_LEVEL))
-    wide = found.select("cx", "cy", F.explode(_around(up)).alias("k")).select("cx", "cy", "k.*")
-    near = (
-        wide.join(index, ["level", "kx", "ky"])
-        .select("cx", "cy", "geom_id", "x0", "y0", "x1", "y1")
-        .distinct()
+    tried = cells.selectExpr("cx", "cy", f"explode(sequence(0, {TOP_LEVEL})) AS level")
+    found = (
+        _neighbourhood(tried, ["cx", "cy"])
+        .join(index.select("level", "kx", "ky"), ["level", "kx", "ky"], "left_semi")
+        .groupBy("cx", "cy")
+        .agg(F.least(F.min("level") + 2, F.lit(TOP_LEVEL)).alias("level"))
     )
-    far = geo.box_distance(*[F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")])
-    hit = located.join(near, ["cx", "cy"]).select(*SITE, "geom_id", far.alias("far"))
-    ranked = hit.groupBy(*SITE).agg(
-        F.min("far").alias("best"), F.collect_list(F.struct("far", "geom_id")).alias("all")
+    near = _neighbourhood(found, ["cx", "cy"]).join(index, ["level", "kx", "ky"])
+    # Distinct polygons per cell: bounded by the number of polygons.
+    return near.groupBy("cx", "cy").agg(F.collect_set(F.struct(*BOX)).alias("boxes"))
+
+
+def _edge_bands(shapes, band):
+    """Edges of a polygon gathered by horizontal band: all a ray test at that height needs."""
+    edge = F.col("edge")
+    low = F.floor(F.least(edge["y1"], edge["y2"]) / band)
+    high = F.floor(F.greatest(edge["y1"], edge["y2"]) / band)
+    banded = shapes.select("geom_id", F.explode("edges").alias("edge")).withColumn(
+        "band", F.explode(_steps(low, high))
     )
-    tied = F.filter("all", lambda c: c["far"] == F.col("best"))
-    return ranked.select(*SITE, F.transform(tied, lambda c: c["geom_id"]).alias("geoms"))
+    return banded.groupBy("geom_id", "band").agg(F.collect_list("edge").alias("edges"))
 
 
-def _edge_struct():
-    return F.struct("x1", "y1", "x2", "y2")
+def _candidates(points, boxes, size):
+    """Sites with the ids of all polygons whose bounding box is nearest to them."""
+    over = _boxes_over(points, boxes, size).groupBy(*SITE).agg(
+        F.collect_set("geom_id").alias("over")
+    )
+    over = _with_cell(over, size)
+    cells = over.where(F.size("over") == 0).select("cx", "cy").distinct()
+    hit = over.join(_boxes_near(cells, boxes, size), ["cx", "cy"], "left")
 
+    def measure(b):
+        far = geo.box_distance(F.col("x"), F.col("y"), b["x0"], b["y0"], b["x1"], b["y1"])
+        return F.struct(far.alias("far"), b["geom_id"].alias("geom_id"))
 
-def _edge_bands(edges, band):
-    """Edges of a polygon gathered by horizontal band: all a ray test at that height needs."""
-    low = F.floor(F.least("y1", "y2") / band)
-    high = F.floor(F.greatest("y1", "y2") / band)
-    banded = edges.withColumn("band", F.explode(_steps(low, high)))
-    return banded.groupBy("geom_id", "band").agg(F.collect_list(_edge_struct()).alias("edges"))
+    hit = hit.withColumn("far", F.when(F.size("over") == 0, F.transform("boxes", measure)))
+    tied = F.filter("far", lambda c: c["far"] == F.array_min("far.far"))
+    geoms = F.when(F.size("over") > 0, F.col("over")).otherwise(tied["geom_id"])
+    return hit.select(*SITE, "x", "y", geoms.alias("geoms"))
 
 
 def nearest_region(points, polygons, cell_size=REGION_CELL, band=BAND):
@@ -193,51 +202,40 @@ def nearest_region(points, polygons, cell_size=REGION_CELL, band=BAND):
     single candidate is taken as it is; several are tested for containment with the edges of
     the site's band, and only where none contains the site is the full outline measured.
     """
-    edges = ring_edges(polygons)
-    boxes = bounding_boxes(edges)
-    over = (
-        _boxes_over(points, boxes, cell_size)
-        .groupBy(*SITE)
-        .agg(F.collect_set("geom_id").alias("geoms"))
-    )
-    inside_some = over.where(F.size("geoms") > 0)
-    outside = over.where(F.size("geoms") == 0).select(*SITE)
-    candidates = inside_some.unionByName(_nearest_boxes(outside, boxes, cell_size))
-
+    shapes = outlines(polygons)
     x, y = F.col("x"), F.col("y")
     several = F.size("geoms") > 1
-    each = candidates.select(
-        *SITE,
+    each = _candidates(points, shapes.select(*BOX), cell_size).select(
+        *SITE, "x", "y",
         F.when(several, F.floor(y / band)).alias("band"),
         (~several).alias("only"),
         F.explode("geoms").alias("geom_id"),
     )
-    tested = each.join(_edge_bands(edges, band), ["geom_id", "band"], "left")
+    tested = each.join(_edge_bands(shapes, band), ["geom_id", "band"], "left")
     within = F.col("only") | F.coalesce(geo.inside_edges(x, y, F.col("edges")), F.lit(False))
     decided = tested.groupBy(*SITE).agg(
         F.min(F.when(within, F.col("geom_id"))).alias("inside_id"),
         F.collect_list("geom_id").alias("geoms"),
     )
-    outline = edges.groupBy("geom_id").agg(F.collect_list(_edge_struct()).alias("edges"))
     open_geoms = F.when(F.col("inside_id").isNull(), F.col("geoms"))
-    measured = decided.select(
-        *SITE, "inside_id", F.explode_outer(open_geoms).alias("geom_id")
-    ).join(outline, "geom_id", "left")
+    measured = projected(decided).select(
+        *SITE, "x", "y", "inside_id", F.explode_outer(open_geoms).alias("geom_id")
+    ).join(shapes.select("geom_id", "edges"), "geom_id", "left")
     far = geo.edges_distance(x, y, F.col("edges"))
     best = measured.groupBy(*SITE).agg(
         F.coalesce(
             F.first("inside_id"), F.min_by("geom_id", F.struct(far, F.col("geom_id")))
         ).alias("geom_id")
     )
-    return best.join(polygons.select("geom_id", "name"), "geom_id")
+    return best.join(shapes.select("geom_id", "name"), "geom_id")
 
 
 def within_any(points, polygons, cell_size=REGION_CELL, band=BAND):
     """Whether each site lies strictly inside at least one polygon: column ``within``."""
-    edges = ring_edges(polygons)
-    over = _boxes_over(points, bounding_boxes(edges), cell_size)
+    shapes = outlines(polygons)
+    over = projected(_boxes_over(points, shapes.select(*BOX), cell_size))
     over = over.withColumn("band", F.floor(F.col("y") / band))
-    tested = over.join(_edge_bands(edges, band), ["geom_id", "band"], "left")
+    tested = over.join(_edge_bands(shapes, band), ["geom_id", "band"], "left")
     within = geo.inside_edges(F.col("x"), F.col("y"), F.col("edges"))
     return tested.groupBy(*SITE).agg(F.max(F.coalesce(within, F.lit(False))).alias("within"))
 
@@ -327,7 +325,7 @@ class GeoTransform:
 def raster_value(points, cells, transform, out="altitude"):
     """Raster value at each site; outside the extent the border cell counts."""
     row, col = transform.cell_of(F.col("x"), F.col("y"))
-    placed = points.withColumns({"row": row, "col": col})
+    placed = projected(points).withColumns({"row": row, "col": col})
     return placed.join(
         cells.select("row", "col", F.col("value").alias(out)), ["row", "col"], "left"
     ).select(*SITE, out)
@@ -341,16 +339,17 @@ def locate(plots, raster=None, countries=None, ecoregions=None, dunes=None, coas
     points = sites(plots)
     parts = []
     if raster is not None:
-        parts.append(raster_value(points, *raster).select("lon", "lat", "altitude"))
+        parts.append(raster_value(points, *raster))
     for name, polygons in (("country", countries), ("ecoregion", ecoregions)):
         if polygons is not None:
             hit = nearest_region(points, polygons)
-            parts.append(hit.select("lon", "lat", F.col("name").alias(name)))
+            parts.append(hit.select(*SITE, F.col("name").alias(name)))
     if dunes is not None:
-        parts.append(dune_label(points, dunes).select("lon", "lat", "dune"))
+        parts.append(dune_label(points, dunes))
     if coasts is not None:
-        parts.append(nearest_within(points, coasts).select("lon", "lat", "coast"))
-    out = None
+        parts.append(nearest_within(points, coasts))
+    # Every lookup keeps all sites, except that without any polygon no region is found.
+    out = points
     for part in parts:
-        out = part if out is None else out.join(part, ["lon", "lat"], "full")
-    return plots if out is None else plots.join(out, ["lon", "lat"], "left")
+        out = out.join(part, SITE, "left")
+    return plots.join(out, SITE, "left") if parts else plots
