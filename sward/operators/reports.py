@@ -103,7 +103,11 @@ def cluster_summary(df):
 
 
 def five_number(df, by, col="score", exact=True):
-    """Minimum, quartiles and maximum per group; ``exact=False`` approximates for large data."""
+    """Minimum, quartiles and maximum of the scores per group.
+
+    Meant for importance tables, whose groups hold at most one score per class or feature.  The
+    exact form gathers the distinct values of a group, so use ``exact=False`` on raw rows.
+    """
     points = F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])
     q = F.percentile(col, points) if exact else F.percentile_approx(col, points)
     names = ["low", "q1", "median", "q3", "high"]

@@ -232,18 +232,19 @@ def coalesce_join(df, lookup, col, parent, child):
     return out.withColumn(col, F.coalesce("_child", col)).drop("_parent", "_child")
 
 
-def map_column(df, lookup, col, old, new):
-    """Map a column through a lookup with unique keys, dropping unmapped rows.
+def unique_lookup(lookup, key, value):
+    """A lookup as ``(key, value)``; a repeated key raises, as its rows would be counted twice."""
+    counted = lookup.groupBy(key).agg(F.max(value).alias(value), F.count(F.lit(1)).alias("_n"))
+    fail = F.raise_error(F.concat(F.lit("lookup key occurs more than once: "), F.col(key)))
+    checked = F.when(F.col("_n") == 1, F.col(value)).otherwise(fail)
+    return counted.select(key, checked.alias(value))
 
-    A repeated key raises, since a row would silently be counted twice.
-    """
-    right = lookup.groupBy(old).agg(
-        F.max(new).alias("_new"), F.count(F.lit(1)).alias("_n")
-    )
-    checked = F.when(F.col("_n") == 1, F.col("_new")).otherwise(
-        F.raise_error(F.concat(F.lit("lookup key occurs more than once: "), F.col(old)))
+
+def map_column(df, lookup, col, old, new):
+    """Map a column through a lookup with unique keys, dropping unmapped rows."""
+    right = unique_lookup(lookup, old, new).select(
+        F.col(old).alias("_old"), F.col(new).alias("_new")
     )
-    right = right.select(F.col(old).alias("_old"), checked.alias("_new"))
     return (
         df.join(right, df[col] == F.col("_old")).withColumn(col, F.col("_new")).drop("_old", "_new")
     )

@@ -6,10 +6,13 @@ import uuid
 # Runtime SQL settings the operators rely on.  No operator forces a broadcast: the static
 # and adaptive thresholds check the size of a side, and beyond them a sort-merge join with
 # skew splitting takes over.  Splitting is forced because several joins feed aggregations
-# on the same key, where Spark would otherwise keep one hot key in one task.
+# on the same key, where Spark would otherwise keep one hot key in one task.  The small minimum
+# partition size keeps stages that are short in bytes but long in work (geometry, exploding
+# code lists) on all cores; large stages are still merged towards one task per core.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
