@@ -25,7 +25,6 @@ from sward.operators import regions as G
 from sward.operators import reports as P
 from sward.operators.cleaning import codes_at_level, training_header
 from sward.operators.encoding import fit_encoder
-from sward.operators.folds import split_fold
 from sward.operators.neighbours import nearest_neighbours
 from sward.operators.oversample import borderline_smote
 from sward.plans import dataset as D
@@ -137,8 +136,8 @@ WHERE row_id % 5 = 1""", "v_features"))
 def _(spark):
     df = view(spark, "v_features")
     r = df.select("row_id", (F.col("row_id") % 5).alias("fold")).distinct()
-    train, test = split_fold(r, 1)
-    _, judged, _ = R.preprocess_fold(train, test, df, LAYOUT, PreprocessConfig())
+    train, test = V.fold_pairs(r, df.join(r, "row_id"), 1)
+    _, judged, _ = R.preprocess_fold(train, test, LAYOUT, PreprocessConfig())
     return rounded(judged[1].select("row_id", "feature_id", "value"), value=7)
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sward.operators.ordering import sorted_ids
+from sward.session import lookup
 
 
 def fit_encoder(df, col):
@@ -10,10 +11,14 @@ def fit_encoder(df, col):
     return sorted_ids(df, col)
 
 
-def encode(df, encoder, col, out=None, unseen="raise"):
-    """Replace values by ids.  ``unseen`` is ``raise``, ``drop`` or ``null``."""
+def encode(df, encoder, col, out=None, unseen="raise", size=None):
+    """Replace values by ids.  ``unseen`` is ``raise``, ``drop`` or ``null``.
+
+    ``size`` is the number of dictionary entries where known.
+    """
     out = out or col
     right = encoder.select(F.col("value").alias("_value"), F.col("id").alias("_id"))
+    right = lookup(right, size)
     if unseen == "drop":
         hit = df.join(right, df[col] == F.col("_value"))
         new = F.col("_id")
@@ -37,9 +42,9 @@ def decode(df, encoder, col, out=None):
     return hit.withColumn(out, new).drop("_value", "_id")
 
 
-def one_hot(df, encoder, col, offset=0, key="row_id"):
+def one_hot(df, encoder, col, offset=0, key="row_id", size=None):
     """Indicator features of a categorical column; an unseen value gives no feature."""
-    hit = encode(df.select(key, col), encoder, col, "_hot", unseen="drop")
+    hit = encode(df.select(key, col), encoder, col, "_hot", unseen="drop", size=size)
     return hit.select(
         key,
         (F.col("_hot") + offset).cast("int").alias("feature_id"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sward.functions import hashing
 from sward.operators.ordering import flag_sample
+from sward.session import lookup
 
 # Feature groups in layout order.
 GROUPS = ["species", "location", "altitude", "country", "ecoregion", "dune", "coast"]
@@ -162,7 +163,7 @@ def add_noise(df, n_species, seed, clip=False):
     """
     sp = is_species(n_species)
     stats = nonzero_stats(df.where(sp))
-    hit = df.join(stats, "feature_id", "left")
+    hit = df.join(lookup(stats, n_species), "feature_id", "left")
     keys = [F.col("row_id"), F.col("feature_id")]
     noise = F.col("mean") + F.col("std") * hashing.normal(seed, *keys)
     sign = F.when(hashing.uniform(f"{seed}.s", *keys) < 0.5, -1.0).otherwise(1.0)
@@ -203,9 +204,12 @@ def fit_scaler(df, n_rows):
     return stats.select("feature_id", F.when(var > 0, F.sqrt(var)).otherwise(1.0).alias("scale"))
 
 
-def apply_scaler(df, scaler):
-    """Divide each feature by its scale; a feature unseen in fitting is constant there."""
-    hit = df.join(scaler, "feature_id", "left")
+def apply_scaler(df, scaler, n_features=None):
+    """Divide each feature by its scale; a feature unseen in fitting is constant there.
+
+    ``n_features`` bounds the size of the scaler where known.
+    """
+    hit = df.join(lookup(scaler, n_features), "feature_id", "left")
     scale = F.coalesce("scale", F.lit(1.0))
     return hit.withColumn("value", F.col("value") / scale).drop("scale")
 

@@ -18,6 +18,15 @@ from sward.session import cut_lineage
 
 CHUNK_ROWS = 1024
 BLOCK_ROWS = 1024
+# Numbers in the dense pivot matrix that every task holds.
+PIVOT_CELLS = 4_000_000
+
+
+def _slices(batches):
+    """Batches cut so that the dense matrix of one piece stays small."""
+    for pdf in batches:
+        for at in range(0, len(pdf), CHUNK_ROWS):
+            yield pdf.iloc[at:at + CHUNK_ROWS]
 
 
 def _dense(items, size):
@@ -45,13 +54,10 @@ def _assign(rows, pivots, size):
     """Rows with the index of the nearest pivot and the distance to it."""
 
     def work(batches):
-        for pdf in batches:
-            if len(pdf):
-                far = _distances(_dense(pdf["items"], size), pivots)
-                cell = far.argmin(1)
-                yield pdf.assign(
-                    cell=cell.astype("int32"), radius=far[np.arange(len(pdf)), cell]
-                )
+        for pdf in _slices(batches):
+            far = _distances(_dense(pdf["items"], size), pivots)
+            cell = far.argmin(1)
+            yield pdf.assign(cell=cell.astype("int32"), radius=far[np.arange(len(pdf)), cell])
 
     schema = rows.select("row_id", "grp", "items").schema
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
@@ -78,9 +84,9 @@ def _route(queries, pivots, cells, k, size):
     """Queries repeated for each cell that can hold one of their ``k`` nearest rows."""
 
     def work(batches):
-        for pdf in batches:
+        for pdf in _slices(batches):
             parts = []
-            far = _distances(_dense(pdf["items"], size), pivots) if len(pdf) else None
+            far = _distances(_dense(pdf["items"], size), pivots)
             for grp, at in pdf.groupby("grp").indices.items():
                 if grp not in cells:
                     continue
@@ -119,7 +125,7 @@ def nearest_neighbours(queries, rows, k, size, pivots=None, seed=123):
     """
     rows, queries = cut_lineage(rows), cut_lineage(queries)
     if pivots is None:
-        pivots = int(min(max(rows.count() ** 0.5, 8), 1024))
+        pivots = int(min(max(rows.count() ** 0.5, 8), 1024, max(PIVOT_CELLS // size, 8)))
     points = _pivots(rows, size, pivots, seed)
     assigned = cut_lineage(_assign(rows, points, size))
     cells = _cell_table(assigned)

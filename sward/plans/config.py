@@ -47,6 +47,6 @@ class EvaluationConfig:
     k: int = 1
     n_folds: int = 10
     # Folds fitted at the same time; each fit is a distributed job of its own.
-    parallel: int = 2
+    parallel: int = 4
     model: ModelConfig = field(default_factory=ModelConfig)
     preprocess: PreprocessConfig = field(default_factory=PreprocessConfig)

@@ -19,12 +19,15 @@ def class_total(rows):
     return int(rows.agg(F.max("label_id")).first()[0]) + 1
 
 
-def fold_scores(rows, features, layout, cfg, fold, n_classes, endangered=None):
+def fold_pairs(rows, tagged, fold):
+    """Training and test pairs ``(rows, features)`` of one fold; features carry their fold."""
+    return zip(split_fold(rows, fold), [f.drop("fold") for f in split_fold(tagged, fold)])
+
+
+def fold_scores(rows, tagged, layout, cfg, fold, n_classes, endangered=None):
     """Scored test rows of one fold."""
-    train, test = split_fold(rows, fold)
-    fitted, judged, shape = preprocess_fold(
-        train, test, features, layout, cfg.preprocess, endangered
-    )
+    train, test = fold_pairs(rows, tagged, fold)
+    fitted, judged, shape = preprocess_fold(train, test, layout, cfg.preprocess, endangered)
     vectors = to_vector(*fitted, shape.size).persist()
     model = models.fit(vectors, cfg.model, shape.size, n_classes)
     vectors.unpersist()
@@ -34,15 +37,17 @@ def fold_scores(rows, features, layout, cfg, fold, n_classes, endangered=None):
 def cross_validate(rows, features, layout, cfg, endangered=None):
     """Accuracy per fold: ``(fold, accuracy)``.
 
-    Each fold is fitted on the others and scored once.  A few folds run at the same time; only
-    one number per fold comes back to the driver.
+    Each fold is fitted on the others and scored once.  Features get their fold once and are kept
+    partitioned by row, so a fold is a filter without a join.  A few folds run at the same time;
+    only one number per fold comes back to the driver.
     """
     rows = rows.persist()
-    features = base_transforms(features, layout, cfg.preprocess).persist()
+    features = base_transforms(features, layout, cfg.preprocess)
+    tagged = features.join(rows.select("row_id", "fold"), "row_id").persist()
     n_classes = class_total(rows)
 
     def run(fold):
-        scored = fold_scores(rows, features, layout, cfg, fold, n_classes, endangered)
+        scored = fold_scores(rows, tagged, layout, cfg, fold, n_classes, endangered)
         result = M.topk_accuracy(
             scored, cfg.k, cfg.average, scores=models.score_column(scored)
         ).first()
@@ -51,7 +56,7 @@ def cross_validate(rows, features, layout, cfg, endangered=None):
     with ThreadPoolExecutor(cfg.parallel) as pool:
         found = list(pool.map(run, range(cfg.n_folds)))
     rows.unpersist()
-    features.unpersist()
+    tagged.unpersist()
     return rows.sparkSession.createDataFrame(found, "fold int, accuracy double")
 
 

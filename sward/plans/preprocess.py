@@ -50,14 +50,14 @@ def finish(features, layout, cfg):
     return X.select_feature_groups(features, layout, cfg.features)
 
 
-def scaled(features, rows, cfg, scaler=None):
+def scaled(features, rows, layout, cfg, scaler=None):
     """Standardised features and the scaler, fitted here unless given."""
     if not cfg.standardization:
         return features, scaler
     if scaler is None:
         n = rows.agg(F.count(F.lit(1)).cast("double")).scalar()
         scaler = X.fit_scaler(features, n)
-    return X.apply_scaler(features, scaler), scaler
+    return X.apply_scaler(features, scaler, layout.size), scaler
 
 
 def preprocess_training(rows, features, layout, cfg, endangered=None):
@@ -70,29 +70,31 @@ def preprocess_training(rows, features, layout, cfg, endangered=None):
     if cfg.augmentation:
         rows, features = augment(rows, features, layout, cfg, labels)
     features, layout = finish(disturb(features, layout, cfg), layout, cfg)
-    features, scaler = scaled(features, rows, cfg)
+    features, scaler = scaled(features, rows, layout, cfg)
     return rows, features, layout, scaler
 
 
-def preprocess_fold(train, test, features, layout, cfg, endangered=None):
-    """Evaluation order within one fold; ``features`` have had the base transforms.
+def preprocess_fold(train, test, layout, cfg, endangered=None):
+    """Evaluation order within one fold, for pairs ``(rows, features)`` after the base transforms.
 
     Selection, dropout and noise hit the test rows only, augmentation the training rows only.
-    Returns ``(train rows, features), (test rows, features), layout``.
+    Returns both pairs and the layout.
     """
+    (train, of_train), (test, of_test) = train, test
     labels = endangered if cfg.endangered else None
     if labels is not None:
         test = X.keep_labels(test, labels)
     if cfg.rare:
         test = X.keep_rarest(train, test)
-    of_train, of_test = features_of(features, train), features_of(features, test)
+    if labels is not None or cfg.rare:
+        of_test = features_of(of_test, test)
     if cfg.augmentation:
         train, of_train = augment(train, of_train, layout, cfg, labels)
     of_test = disturb(of_test, layout, cfg)
     of_train, new_layout = finish(of_train, layout, cfg)
     of_test, _ = finish(of_test, layout, cfg)
-    of_train, scaler = scaled(of_train, train, cfg)
-    of_test, _ = scaled(of_test, test, cfg, scaler)
+    of_train, scaler = scaled(of_train, train, new_layout, cfg)
+    of_test, _ = scaled(of_test, test, new_layout, cfg, scaler)
     return (train, of_train), (test, of_test), new_layout
 
 
@@ -102,5 +104,5 @@ def preprocess_prediction(features, layout, cfg, scaler=None):
     if cfg.standardization:
         if scaler is None:
             raise ValueError("prediction needs the scaler stored in training")
-        features = X.apply_scaler(features, scaler)
+        features = X.apply_scaler(features, scaler, layout.size)
     return features, layout

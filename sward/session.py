@@ -3,9 +3,10 @@
 import tempfile
 import uuid
 
-# Runtime SQL settings the operators rely on.  No operator forces a broadcast: the static
-# and adaptive thresholds check the size of a side, and beyond them a sort-merge join with
-# skew splitting takes over.  Splitting is forced because several joins feed aggregations
+from pyspark.sql import functions as F
+
+# Runtime SQL settings the operators rely on.  Joins are broadcast by the planner's size checks or
+# by ``lookup`` for a counted side; beyond them a sort-merge join with skew splitting takes over.  Splitting is forced because several joins feed aggregations
 # on the same key, where Spark would otherwise keep one hot key in one task.  The small minimum
 # partition size keeps stages that are short in bytes but long in work (geometry, exploding
 # code lists) on all cores; large stages are still merged towards one task per core.
@@ -27,7 +28,7 @@ def tune(spark):
 
 
 def shared_dir(spark):
-    """Folder for checkpoints and scratch tables, as named by the cluster.
+    """Folder for written stages and scratch tables, as named by the cluster.
 
     Only where the session names none (a plain local session, as in tests) one is made.
     """
@@ -47,6 +48,24 @@ def scratch_path(spark, name):
 
 
 def cut_lineage(df):
-    """Write ``df`` to the shared checkpoint folder once and go on from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the shared folder once and go on from the written table.
+
+    A columnar table rather than a checkpoint: readers prune columns and push filters into it,
+    and its known size lets the planner choose joins before anything is shuffled.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+# Largest lookup, in rows, that is sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def lookup(df, rows=None):
+    """Join side with a row count known to the caller: broadcast when small, else as it is.
+
+    Without a count the size checks of the planner decide.
+    """
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
