@@ -106,30 +106,37 @@ def numeric_features(df, columns, key="row_id"):
     )
 
 
-def _row_species(n_species):
-    """Window over the features of a row, species apart from the others."""
-    return W.partitionBy("row_id", is_species(n_species))
+def _by_row():
+    """Window over the features of a row.
+
+    It partitions by the row alone, as gathering vectors does, so that one shuffle by row serves
+    ranking, normalising and the vectors.
+    """
+    return W.partitionBy("row_id")
 
 
 def inverse_rank(df, n_species):
     """Replace species values by 1 / dense rank of the value within the row, largest first."""
-    rank = F.dense_rank().over(_row_species(n_species).orderBy(F.desc("value")))
-    value = F.when(is_species(n_species), 1 / rank).otherwise(F.col("value"))
-    return df.withColumn("value", value)
+    sp = is_species(n_species)
+    # Species sort before everything else, so the other features do not enter their ranks.
+    rank = F.dense_rank().over(_by_row().orderBy(F.desc(sp), F.desc("value")))
+    return df.withColumn("value", F.when(sp, 1 / rank).otherwise(F.col("value")))
 
 
 def l1_normalise(df, n_species):
     """Divide species values by the sum of their absolute values within the row."""
-    norm = F.sum(F.abs("value")).over(_row_species(n_species))
-    scaled = F.when(norm > 0, F.col("value") / norm).otherwise(F.col("value"))
-    return df.withColumn("value", F.when(is_species(n_species), scaled).otherwise(F.col("value")))
+    sp = is_species(n_species)
+    norm = F.sum(F.when(sp, F.abs("value"))).over(_by_row())
+    return df.withColumn(
+        "value", F.when(sp & (norm > 0), F.col("value") / norm).otherwise(F.col("value"))
+    )
 
 
 def dominance_rank(df, n_species=None):
     """Position of each item within its row by value, largest first, ties by feature id."""
     if n_species is not None:
         df = df.where(is_species(n_species))
-    order = W.partitionBy("row_id").orderBy(F.desc("value"), "feature_id")
+    order = _by_row().orderBy(F.desc("value"), "feature_id")
     return df.withColumn("rank", F.row_number().over(order))
 
 

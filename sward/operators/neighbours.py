@@ -29,15 +29,32 @@ def _slices(batches):
             yield pdf.iloc[at:at + CHUNK_ROWS]
 
 
-def _dense(items, size):
-    """Dense matrix of a series of item arrays."""
-    out = np.zeros((len(items), size))
-    for i, row in enumerate(items):
-        for e in row:
-            out[i, e["feature_id"]] = e["value"]
+def _dense(pdf, size):
+    """Dense matrix of the ``ids`` and ``vals`` arrays of a frame."""
+    out = np.zeros((len(pdf), size))
+    counts = pdf["ids"].map(len).to_numpy()
+    if counts.sum():
+        at = np.repeat(np.arange(len(pdf)), counts)
+        out[at, np.concatenate(pdf["ids"].to_numpy())] = np.concatenate(pdf["vals"].to_numpy())
     return out
 
 
+FIELDS = "row_id long, grp {grp}, ids array<int>, vals array<double>"
+
+
+def _flat(df):
+    """Item arrays as two plain arrays, which reach the tasks without an object per entry."""
+    return df.select(
+        F.col("row_id").cast("long").alias("row_id"), "grp",
+        F.col("items.feature_id").cast("array<int>").alias("ids"),
+        F.col("items.value").alias("vals"),
+    )
+
+
+def _fields(df):
+    return FIELDS.format(grp=df.schema["grp"].dataType.simpleString())
+
+
 def _distances(a, b):
     """Euclidean distances between the rows of two matrices."""
     squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
@@ -46,8 +63,8 @@ def _distances(a, b):
 
 def _pivots(rows, size, count, seed):
     """The first rows in a seeded order; ``count`` bounds what reaches the driver."""
-    picked = rows.orderBy(order_key(seed, F.col("row_id"))).limit(count).select("items").collect()
-    return _dense([r["items"] for r in picked], size)
+    picked = rows.orderBy(order_key(seed, F.col("row_id"))).limit(count).select("ids", "vals")
+    return _dense(picked.toPandas(), size)
 
 
 def _assign(rows, pivots, size):
@@ -55,15 +72,11 @@ def _assign(rows, pivots, size):
 
     def work(batches):
         for pdf in _slices(batches):
-            far = _distances(_dense(pdf["items"], size), pivots)
+            far = _distances(_dense(pdf, size), pivots)
             cell = far.argmin(1)
             yield pdf.assign(cell=cell.astype("int32"), radius=far[np.arange(len(pdf)), cell])
 
-    schema = rows.select("row_id", "grp", "items").schema
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    return rows.select("row_id", "grp", "items").mapInPandas(
-        work, f"{fields}, cell int, radius double"
-    )
+    return rows.mapInPandas(work, f"{_fields(rows)}, cell int, radius double")
 
 
 def _cell_table(assigned):
@@ -86,7 +99,7 @@ def _route(queries, pivots, cells, k, size):
     def work(batches):
         for pdf in _slices(batches):
             parts = []
-            far = _distances(_dense(pdf["items"], size), pivots)
+            far = _distances(_dense(pdf, size), pivots)
             for grp, at in pdf.groupby("grp").indices.items():
                 if grp not in cells:
                     continue
@@ -104,9 +117,7 @@ def _route(queries, pivots, cells, k, size):
             if parts:
                 yield pd.concat(parts)
 
-    schema = queries.select("row_id", "grp", "items").schema
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    return queries.select("row_id", "grp", "items").mapInPandas(work, f"{fields}, cell int")
+    return queries.mapInPandas(work, f"{_fields(queries)}, cell int")
 
 
 def _parts(count, limit):
@@ -123,7 +134,7 @@ def nearest_neighbours(queries, rows, k, size, pivots=None, seed=123):
     Returns ``(query_id, row_id, dist, pos)`` with ``pos`` from 1; equal distances go to the
     lower row id.  Queries and rows share the id space.
     """
-    rows, queries = cut_lineage(rows), cut_lineage(queries)
+    rows, queries = cut_lineage(_flat(rows)), cut_lineage(_flat(queries))
     if pivots is None:
         pivots = int(min(max(rows.count() ** 0.5, 8), 1024, max(PIVOT_CELLS // size, 8)))
     points = _pivots(rows, size, pivots, seed)
@@ -142,7 +153,7 @@ def nearest_neighbours(queries, rows, k, size, pivots=None, seed=123):
             df.join(plan, unit)
             .withColumn(own_name, _bin(F.col(own)))
             .withColumn(other_name, F.explode(steps))
-            .select(*unit, "chunk", "block", "row_id", "items")
+            .select(*unit, "chunk", "block", "row_id", "ids", "vals")
         )
 
     left = spread(routed, "blocks", "chunks", "block", "chunk")
@@ -151,7 +162,7 @@ def nearest_neighbours(queries, rows, k, size, pivots=None, seed=123):
     def best(q, r):
         if not len(q) or not len(r):
             return pd.DataFrame({"query_id": [], "row_id": [], "dist": []})
-        far = _distances(_dense(q["items"], size), _dense(r["items"], size))
+        far = _distances(_dense(q, size), _dense(r, size))
         qid, rid = q["row_id"].to_numpy(), r["row_id"].to_numpy()
         far[qid[:, None] == rid[None, :]] = np.inf
         # Round before comparing: equal rows may differ in the last bits of the product form.

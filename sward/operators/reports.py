@@ -49,22 +49,19 @@ def _bucket(c, buckets):
     return out
 
 
-def _shares(counted, buckets, part):
-    kept = counted.withColumn("bucket", _bucket(F.col("items"), buckets)).where(
-        F.col("bucket").isNotNull()
-    )
-    total = kept.agg(F.sum("rows")).scalar()
-    return kept.groupBy("bucket").agg(F.sum("rows").alias("rows")).select(
-        F.lit(part).alias("part"), "bucket", "rows",
-        F.round(F.col("rows") / total, 2).alias("share"),
-    )
-
-
 def richness_histogram(header, species):
     """Share of header rows by number of species in the plot; a repeated plot counts again."""
     items = species.groupBy("plot_id").agg(F.count(F.lit(1)).alias("items"))
     counted = header.join(items, "plot_id").groupBy("items").agg(F.count(F.lit(1)).alias("rows"))
-    return _shares(counted, RICHNESS, "all").unionByName(_shares(counted, RICHNESS_HIGH, ">=31"))
+    places = [
+        F.struct(F.lit(part).alias("part"), _bucket(F.col("items"), buckets).alias("bucket"))
+        for part, buckets in (("all", RICHNESS), (">=31", RICHNESS_HIGH))
+    ]
+    placed = counted.select("rows", F.inline(F.array(*places))).where(F.col("bucket").isNotNull())
+    sums = placed.groupBy("part", "bucket").agg(F.sum("rows").alias("rows"))
+    # At most one row per bucket is left.
+    total = F.sum("rows").over(W.partitionBy("part"))
+    return sums.withColumn("share", F.round(F.col("rows") / total, 2))
 
 
 def pct_of_total(df, col="count"):
