@@ -7,6 +7,7 @@ from checks.registry import query
 from checks.views import oracle, view
 from sward.functions import geo
 from sward.operators import regions as G
+from sward.session import cut_lineage
 from sward.sources import readers as R
 
 POINTS = """
@@ -48,7 +49,8 @@ def polygons(spark, name_col="name"):
     ring = F.array_sort(F.collect_list(point)).alias("ring")
     flat = view(spark, "v_corners").groupBy("geom_id", F.col(name_col).alias("name")).agg(ring)
     pairs = F.transform("ring", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
-    return R.load_polygons(flat.withColumn("rings", F.array(pairs)), "name")
+    # Written once, as a stored polygon table would be.
+    return cut_lineage(R.load_polygons(flat.withColumn("rings", F.array(pairs)), "name"))
 
 
 def plots(spark):

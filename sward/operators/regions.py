@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sward.functions import geo
 from sward.functions.text import yes_no
+from sward.session import cut_lineage
 
 # Sites are keyed by their coordinates alone, so that one shuffle by them serves every lookup;
 # the projection is worked out again where it is needed.
@@ -334,9 +335,10 @@ def raster_value(points, cells, transform, out="altitude"):
 def locate(plots, raster=None, countries=None, ecoregions=None, dunes=None, coasts=None):
     """Attach altitude, country, ecoregion, dune and coast to plots, as far as given.
 
-    ``raster`` is a pair ``(cells, transform)``, ``coasts`` a segment table with ``grp``.
+    ``raster`` is a pair ``(cells, transform)``, ``coasts`` a segment table with ``grp``.  The
+    distinct coordinates are written once, since every lookup starts from them.
     """
-    points = sites(plots)
+    points = cut_lineage(sites(plots))
     parts = []
     if raster is not None:
         parts.append(raster_value(points, *raster))
