@@ -47,7 +47,7 @@ def scratch_path(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
+def cut_lineage(df, compression="snappy"):
     """Write ``df`` to the shared folder once and go on from the written table.
 
     A columnar table rather than a checkpoint: readers prune columns and push filters into it,
@@ -55,7 +55,7 @@ def cut_lineage(df):
     """
     spark = df.sparkSession
     path = scratch_path(spark, "stage")
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
