@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 #: Java class of the characters between words: space and U+0009 to U+000D.
@@ -43,7 +44,7 @@ def slices(batch, column, limit=1 << 20):
     """
     if not batch.num_rows:
         return
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     ends = np.cumsum(lengths, dtype=np.int64)
     first = 0
     while first < len(ends):
@@ -99,7 +100,7 @@ class Words:
 
     def __init__(self, texts):
         """``texts``: an Arrow string array; a null holds no word."""
-        texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = texts.buffers()[2]
         whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -32,3 +32,17 @@ def op5_exact_dedup(spark, sf_dir):
     from sward.llm.exact import exact_groups
 
     return exact_groups(documents(spark, sf_dir))
+
+
+def tokenizer_path(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op7_token_files")
+def op7_token_files(spark, sf_dir):
+    from sward.llm.tokens import token_files
+
+    tokens = token_files(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
