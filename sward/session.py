@@ -1,5 +1,6 @@
 """Session settings and lineage cuts shared by all operators."""
 
+import os
 import tempfile
 import uuid
 
@@ -24,6 +25,19 @@ def tune(spark):
     """Apply ``SETTINGS`` to a session and return it."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    return ship(spark)
+
+
+def ship(spark):
+    """Let Python workers import this package from where the driver did; returns the session.
+
+    Where executors have the package installed elsewhere, the extra entry is ignored.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
 
 
