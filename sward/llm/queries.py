@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from sward.session import ship
+
 QUERIES = {}
 ORACLES = {}
 
@@ -17,7 +19,7 @@ def query(name, sql=None):
 
 
 def documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 OP5_SQL = """
@@ -46,3 +48,15 @@ def op7_token_files(spark, sf_dir):
 
     tokens = token_files(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
     return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark, sf_dir):
+    from sward.llm.language import fit_languages, held_out, identify
+
+    docs = documents(spark, sf_dir)
+    found, name = identify(docs, fit_languages(docs.where(~held_out())))
+    return found.select(
+        "doc_id", held_out().alias("held_out"), F.col(name)["lang"].alias("lang_pred"),
+        F.col(name)["score"].alias("score"), F.col(name)["rejected"].alias("rejected"),
+    )
