@@ -60,3 +60,17 @@ def op6_language_id(spark, sf_dir):
         "doc_id", held_out().alias("held_out"), F.col(name)["lang"].alias("lang_pred"),
         F.col(name)["score"].alias("score"), F.col(name)["rejected"].alias("rejected"),
     )
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark, sf_dir):
+    from sward.llm.pieces import decode, encode
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    coded, ids = encode(documents(spark, sf_dir).select("doc_id", "text"), path)
+    back, text = decode(coded, path, ids)
+    return back.select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.xxhash64(ids).alias("ids_hash"),
+        F.sha2(text, 256).alias("decoded_sha256"),
+        (F.col(text) == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
