@@ -74,3 +74,10 @@ def op4_sentencepiece(spark, sf_dir):
         F.sha2(text, 256).alias("decoded_sha256"),
         (F.col(text) == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
+
+
+@query("op3_mixing")
+def op3_mixing(spark, sf_dir):
+    from sward.llm.mixing import mix_report
+
+    return mix_report(documents(spark, sf_dir))
