@@ -81,3 +81,24 @@ def op3_mixing(spark, sf_dir):
     from sward.llm.mixing import mix_report
 
     return mix_report(documents(spark, sf_dir))
+
+
+OP9_SQL = """
+WITH valid AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM valid a JOIN valid b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
+@query("op9_topk", OP9_SQL)
+def op9_topk(spark, sf_dir):
+    from sward.llm.topk import top_inner_products
+
+    return top_inner_products(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
