@@ -102,3 +102,11 @@ def op9_topk(spark, sf_dir):
     from sward.llm.topk import top_inner_products
 
     return top_inner_products(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark, sf_dir):
+    from sward.llm.substring import remove_repeats
+
+    left = remove_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
