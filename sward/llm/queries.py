@@ -138,3 +138,14 @@ def op10_ngram_jaccard(spark, sf_dir):
     from sward.llm.jaccard import similar_components
 
     return similar_components(documents(spark, sf_dir))
+
+
+@query("op1_pii")
+def op1_pii(spark, sf_dir):
+    from sward.llm.pii import sanitise, spans_text
+
+    found = sanitise(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"), F.sha2("clean", 256).alias("clean_sha256"),
+    )
