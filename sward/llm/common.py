@@ -98,15 +98,21 @@ class Polynomial:
 class Words:
     """Word boundaries of a batch of texts and a 64-bit hash of each word."""
 
-    def __init__(self, texts):
-        """``texts``: an Arrow string array; a null holds no word."""
+    def __init__(self, texts, inside=None):
+        """``texts``: an Arrow string array; a null holds no word.
+
+        ``inside``: for each byte whether it is part of a word; all but white space if not given.
+        """
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = texts.buffers()[2]
         whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
         self.data = whole[offsets[0] : offsets[-1]]
         self.offsets = offsets - offsets[0]
-        inside = ~((self.data == 32) | ((self.data >= 9) & (self.data <= 13)))
+        if inside is None:
+            inside = ~((self.data == 32) | ((self.data >= 9) & (self.data <= 13)))
+        else:
+            inside = inside[self.data]
         cut = np.zeros(len(self.data) + 1, dtype=bool)
         cut[self.offsets] = True
         before = np.zeros(len(self.data), dtype=bool)

@@ -149,3 +149,15 @@ def op1_pii(spark, sf_dir):
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"), F.sha2("clean", 256).alias("clean_sha256"),
     )
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark, sf_dir):
+    from sward.llm.licenses import scan
+
+    def named(m):
+        return F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"))
+
+    return scan(documents(spark, sf_dir)).select(
+        "doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(F.transform("found", named), ",").alias("licenses")
+    )
