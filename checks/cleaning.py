@@ -336,7 +336,7 @@ def _(spark):
 
 @query("prediction_species", oracle("""
 SELECT plot_id, species, round(sum(cover), 6) AS cover FROM v_species
-WHERE plot_id IN (SELECT plot_id FROM v_location) GROUP BY plot_id, species HAVING round(sum(cover), 6) > 0""",
+WHERE plot_id IN (SELECT plot_id FROM v_location) GROUP BY plot_id, species HAVING sum(cover) > 0""",
     "v_species", "v_location"))
 def _(spark):
     return C.prediction_species(view(spark, "v_species"), view(spark, "v_location"), digits=6)

@@ -89,19 +89,25 @@ def sum_cover(species, digits=None):
     return species.groupBy("plot_id", "species").agg(total.alias("cover"))
 
 
+def _positive_sums(species, digits):
+    """Sums above zero, rounded only then: a small positive cover stays."""
+    df = filter_positive(sum_cover(species))
+    return df if digits is None else df.withColumn("cover", F.round("cover", digits))
+
+
 def filter_positive(df, col="cover"):
     return df.where(F.col(col) > 0)
 
 
 def training_species(species, header, occurrences=10, digits=None):
     """Full species cleaning for training: known plots, summed, positive, supported."""
-    df = sum_cover(of_plots(clean_species(species), header), digits)
-    return min_support(filter_positive(df), "species", occurrences)
+    df = _positive_sums(of_plots(clean_species(species), header), digits)
+    return min_support(df, "species", occurrences)
 
 
 def prediction_species(species, header, digits=None):
     """Species cleaning for prediction: no support filter."""
-    return filter_positive(sum_cover(of_plots(clean_species(species), header), digits))
+    return _positive_sums(of_plots(clean_species(species), header), digits)
 
 
 def to_percent(col, scale=100):

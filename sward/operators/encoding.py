@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from sward.operators.ordering import sorted_ids
-from sward.session import lookup
 
 
 def fit_encoder(df, col):
@@ -18,7 +17,6 @@ def encode(df, encoder, col, out=None, unseen="raise", size=None):
     """
     out = out or col
     right = encoder.select(F.col("value").alias("_value"), F.col("id").alias("_id"))
-    right = lookup(right, size)
     if unseen == "drop":
         hit = df.join(right, df[col] == F.col("_value"))
         new = F.col("_id")

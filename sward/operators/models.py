@@ -8,7 +8,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.sql import functions as F
 
-# Deepest tree the library can build; deeper or unlimited requests are cut to it.
+# Deepest tree the library can build.
 MAX_DEPTH = 30
 
 
@@ -27,19 +27,21 @@ class ModelConfig:
     # Forest.
     trees: int = 200
     criterion: str = "gini"
-    max_depth: int | None = None
+    max_depth: int = MAX_DEPTH
     min_leaf: int = 1
     max_features: str = "sqrt"
     bootstrap: bool = True
     # Boosted trees.
     rounds: int = 200
-    boost_depth: int = 100
+    boost_depth: int = MAX_DEPTH
     boost_rate: float = 0.1
     subsample: float = 0.8
 
 
 def _depth(depth):
-    return MAX_DEPTH if depth is None else min(depth, MAX_DEPTH)
+    if depth is None or depth > MAX_DEPTH:
+        raise ValueError(f"trees are at most {MAX_DEPTH} deep; asked for {depth}")
+    return depth
 
 
 def classifier(cfg, n_features, n_classes):

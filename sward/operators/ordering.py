@@ -49,13 +49,14 @@ def hash_position(df, keys, seed, by=()):
 
 
 def flag_sample(df, keys, fraction, seed, name="sampled"):
-    """Flag exactly ``int(fraction * n)`` rows, the first in the seeded order of unique keys.
+    """Flag exactly ``int(fraction * n)`` rows, the first in the seeded order of their keys.
 
-    A histogram of hash buckets names the bucket that holds the boundary; only that bucket is
-    ordered, to find the last digest of the sample.  The rows themselves are not shuffled.
+    The hashed rows are written once.  A histogram of hash buckets names the bucket that holds the
+    boundary; only that bucket is ordered, to find the last digest of the sample.  Rows are not
+    shuffled but for those with that digest: if keys repeat, they are taken in order of all columns.
     """
     cols = [F.col(k) for k in keys]
-    hashed = df.withColumn("_hash", order_key(seed, *cols))
+    hashed = cut_lineage(df.withColumn("_hash", order_key(seed, *cols)))
     offsets = _bucket_offsets(_with_bucket(hashed, SAMPLE_DIGITS))
     total = F.coalesce(F.max(F.col("_before") + F.col("_size")), F.lit(0))
     target = offsets.agg(F.floor(total * F.lit(float(fraction)))).scalar()
@@ -66,31 +67,34 @@ def flag_sample(df, keys, fraction, seed, name="sampled"):
     boundary = _with_bucket(hashed.select("_hash"), SAMPLE_DIGITS).join(edge, "_bucket")
     at = F.row_number().over(W.partitionBy("_bucket").orderBy("_hash"))
     last = boundary.withColumn("_at", at).where(F.col("_at") == F.col("_room"))
-    cut = last.agg(F.max("_hash")).scalar()
-    flag = F.coalesce(F.col("_hash") <= cut, F.lit(False))
-    return hashed.withColumn(name, flag).drop("_hash")
+    found = last.agg(F.max("_hash").alias("cut"), F.max("_room").alias("room")).first()
+    if found["cut"] is None:
+        return hashed.withColumn(name, F.lit(False)).drop("_hash")
+    before = boundary.where(F.col("_hash") < found["cut"]).count()
+    sure = hashed.where(F.col("_hash") != found["cut"]).withColumn(name, F.col("_hash") < found["cut"])
+    tied = hashed.where(F.col("_hash") == found["cut"])
+    order = W.partitionBy("_hash").orderBy(*[c for c, t in df.dtypes if not t.startswith("map")])
+    tied = tied.withColumn(name, F.row_number().over(order) <= found["room"] - before)
+    return sure.unionByName(tied).drop("_hash")
 
 
 def sorted_ids(values, col):
-    """Dense ids from 0 in sorted order of the distinct values of ``col``.
+    """Dense ids from 0 in sorted order of the distinct values of ``col``."""
+    known = values.select(F.col(col).alias("value")).where(F.col(col).isNotNull()).distinct()
+    return row_ids(known, ["value"]).withColumn("id", F.col("id").cast("int"))
 
-    The values are range-partitioned and written once; ids are partition offset plus position
-    in the written partition.  Only the per-partition counts are ordered in one task.
+
+def row_ids(df, cols, name="id"):
+    """Dense ids from 0 of the rows in order of ``cols``, which tell all rows apart.
+
+    Rows are range-partitioned and written once; ids are partition offset plus position in the
+    written partition.  Only the per-partition counts are ordered in one task.
     """
-    spark = values.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        values.select(F.col(col).alias("value"))
-        .where(F.col(col).isNotNull())
-        .distinct()
-        .repartitionByRange(parts, "value")
-        .sortWithinPartitions("value")
-        .select("value", F.monotonically_increasing_id().alias("_at"))
-    )
-    stored = cut_lineage(ranged)
+    ranged = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+    stored = cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id()))
     # The generated number holds the partition in its upper bits, the position in the lower 33.
     stored = stored.select(
-        "value",
+        *df.columns,
         F.shiftright("_at", 33).alias("_part"),
         F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_in"),
     )
@@ -100,7 +104,7 @@ def sorted_ids(values, col):
         "_part", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before")
     )
     return stored.join(offsets, "_part").select(
-        "value", (F.col("_before") + F.col("_in")).cast("int").alias("id")
+        *df.columns, (F.col("_before") + F.col("_in")).alias(name)
     )
 
 

@@ -7,6 +7,8 @@ evaluated on candidates only.
 
 from dataclasses import dataclass
 
+import math
+
 from pyspark.sql import functions as F
 
 from sward.functions import geo
@@ -46,8 +48,9 @@ DUNE, NO_DUNE = "Y_DUNES", "N_DUNES"
 
 REGION_CELL = 100_000.0
 BAND = 50_000.0
-# The coarsest of the doubling grids: one neighbourhood covers the whole projected world.
-TOP_LEVEL = 11
+# Width that the coarsest of the doubling grids has for a cell, in metres: several times the
+# projected world, so that one neighbourhood covers it.
+TOP_CELL = 204_800_000.0
 
 
 def sites(plots):
@@ -126,6 +129,11 @@ def _boxes_over(points, boxes, size):
     )
 
 
+def _top_level(size):
+    """Coarsest level of the doubling grid over cells of ``size`` metres."""
+    return max(0, math.ceil(math.log2(TOP_CELL / size)))
+
+
 def _neighbourhood(cells, keep):
     """Keys of the 3 x 3 neighbourhood of each cell at its level of the doubling grid."""
     scaled = cells.selectExpr(
@@ -137,7 +145,7 @@ def _neighbourhood(cells, keep):
 
 def _box_levels(boxes, size):
     """Boxes keyed by every cell they touch on every level of the doubling grid."""
-    levels = boxes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(TOP_LEVEL))))
+    levels = boxes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_top_level(size)))))
     step = F.pow(F.lit(2.0), F.col("level")) * size
 
     def span(low, high):
@@ -154,12 +162,12 @@ def _boxes_near(cells, boxes, size):
     neighbourhood two levels up, so the candidates taken there are complete.
     """
     index = _box_levels(boxes, size)
-    tried = cells.selectExpr("cx", "cy", f"explode(sequence(0, {TOP_LEVEL})) AS level")
+    tried = cells.selectExpr("cx", "cy", f"explode(sequence(0, {_top_level(size)})) AS level")
     found = (
         _neighbourhood(tried, ["cx", "cy"])
         .join(index.select("level", "kx", "ky"), ["level", "kx", "ky"], "left_semi")
         .groupBy("cx", "cy")
-        .agg(F.least(F.min("level") + 2, F.lit(TOP_LEVEL)).alias("level"))
+        .agg(F.least(F.min("level") + 2, F.lit(_top_level(size))).alias("level"))
     )
     near = _neighbourhood(found, ["cx", "cy"]).join(index, ["level", "kx", "ky"])
     # Distinct polygons per cell: bounded by the number of polygons.

@@ -1,16 +1,15 @@
 """Session settings and lineage cuts shared by all operators."""
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import functions as F
-
-# Runtime SQL settings the operators rely on.  Joins are broadcast by the planner's size checks or
-# by ``lookup`` for a counted side; beyond them a sort-merge join with skew splitting takes over.  Splitting is forced because several joins feed aggregations
-# on the same key, where Spark would otherwise keep one hot key in one task.  The small minimum
-# partition size keeps stages that are short in bytes but long in work (geometry, exploding
-# code lists) on all cores; large stages are still merged towards one task per core.
+# Runtime SQL settings the operators rely on.  Joins are broadcast by the planner's size checks only;
+# beyond them a sort-merge join with skew splitting takes over.  Splitting is forced because several
+# joins feed aggregations on the same key, where Spark would otherwise keep one hot key in one task.
+# The small minimum partition size keeps stages that are short in bytes but long in work (geometry,
+# exploding code lists) on all cores; large stages are still merged towards one task per core.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -20,6 +19,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Written stages of each application.
+_STAGES = {}
+
 
 def tune(spark):
     """Apply ``SETTINGS`` to a session and return it."""
@@ -44,12 +46,15 @@ def ship(spark):
 def shared_dir(spark):
     """Folder for written stages and scratch tables, as named by the cluster.
 
-    Only where the session names none (a plain local session, as in tests) one is made.
+    Only a plain local session, as in tests, may name none: one is made for it.  On a cluster a
+    machine's own folder would lose what other executors write, so there the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="sward-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -69,17 +74,14 @@ def cut_lineage(df, compression="snappy"):
     """
     spark = df.sparkSession
     path = scratch_path(spark, "stage")
+    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-# Largest lookup, in rows, that is sent to every executor.
-BROADCAST_ROWS = 1_000_000
-
-
-def lookup(df, rows=None):
-    """Join side with a row count known to the caller: broadcast when small, else as it is.
-
-    Without a count the size checks of the planner decide.
-    """
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+def drop_stages(spark):
+    """Delete what ``cut_lineage`` has written for this session; call it when its results are stored."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _STAGES.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)

@@ -106,6 +106,20 @@ def load_encoder(spark, path):
     return spark.read.parquet(path)
 
 
+def load_layout(spark, path):
+    """Stored feature groups."""
+    from sward.operators.features import Layout
+
+    return Layout.of(**{r["name"]: r["size"] for r in spark.read.parquet(path).collect()})
+
+
+def load_optional(spark, path):
+    """A stored table, or None where none was stored."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.parquet(path) if known else None
+
+
 def load_model(path):
     """Stored fitted pipeline."""
     return PipelineModel.load(path)

@@ -39,6 +39,11 @@ def save_encoder(df, path, mode="overwrite"):
     df.write.mode(mode).parquet(path)
 
 
+def save_layout(layout, spark, path, mode="overwrite"):
+    """Persist the feature groups and their sizes, a row per group."""
+    spark.createDataFrame(list(layout.sizes), "name string, size int").coalesce(1).write.mode(mode).parquet(path)
+
+
 def save_model(model, path):
     """Persist a fitted pipeline."""
     model.write().overwrite().save(path)
