@@ -130,7 +130,7 @@ def _plan(docs, id_col, source_col, text_col, weights, most):
             .join(number, F.col("source").eqNullSafe(F.col("name"))).select(F.array("number").alias("keys"), "tokens")
         )
         dual = balance(cells, [targets[name] for name, _ in live])
-        rates |= {name: min(math.exp(v), most) for (name, _), v in zip(live, dual)}
+        rates |= {name: min(math.exp(v), float(most)) for (name, _), v in zip(live, dual)}
     order = Window.partitionBy("source").orderBy("order")
     edge = (
         light.withColumn("order", _order()).select("source", "order", F.row_number().over(order).alias("n"))
