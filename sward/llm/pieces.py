@@ -18,9 +18,9 @@ MARK = "▁"
 #: Pieces never hold a mark after another character, so the best cut of a text is that of its units.
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Score of an unknown character, below that of the worst piece.
-UNKNOWN = -10.0
+UNKNOWN, NEVER = -10.0, float("-inf")
 #: Units a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: Ids decoded at a time.
 IDS = 1 << 18
 _NORMAL, _USER = 1, 4
@@ -60,6 +60,7 @@ class PieceModel(dict):
             else:
                 self.pieces.append("⁇".encode() if i == self.unknown else b"")
         self.automaton.make_automaton()
+        self.single = {text for text in self.scores if len(text) == 1}
         self.worst = min(self.scores.values()) + UNKNOWN
         sizes = np.array([len(p) for p in self.pieces], dtype=np.int64)
         self.sizes, self.firsts = sizes, np.cumsum(sizes) - sizes
@@ -68,21 +69,21 @@ class PieceModel(dict):
     def best_cut(self, unit):
         """Ids of the best cut in one pass over ``unit``; of equal sums the longer last piece wins."""
         size = len(unit)
-        best = [0.0] + [None] * size
+        # A character that is no piece can only stand alone.
+        unknown = () if self.single.issuperset(unit) else [c not in self.single for c in unit]
+        best = [0.0] + [NEVER] * size
         back = [None] * (size + 1)
-        reached = 0
-        for last, (length, score, i) in self.automaton.iter(unit):
+        settled = 0
+        for last, (length, score, i) in self.automaton.iter(unit):  # longest first at each position
             end = last + 1
-            while reached < end - 1:
-                reached += 1
-                self._unknown(unit, best, back, reached)
+            if unknown:
+                settled = self._alone(unknown, best, back, settled, last)
             start = end - length
             total = best[start] + score
-            if best[end] is None or total > best[end] or (total == best[end] and start < back[end][0]):
+            if total > best[end]:
                 best[end], back[end] = total, (start, i)
-        while reached < size:
-            reached += 1
-            self._unknown(unit, best, back, reached)
+        if unknown:
+            self._alone(unknown, best, back, settled, size)
         ids, end = [], size
         while end:
             start, i = back[end]
@@ -90,12 +91,13 @@ class PieceModel(dict):
             end = start
         return ids[::-1]
 
-    def _unknown(self, unit, best, back, end):
-        """Settle position ``end``: a character that is no piece may stand alone."""
-        if unit[end - 1] not in self.scores:
+    def _alone(self, unknown, best, back, settled, last):
+        """Step over the unknown characters that end at positions up to ``last``."""
+        for end in range(settled + 1, last + 1):
             total = best[end - 1] + self.worst
-            if best[end] is None or total > best[end]:
+            if unknown[end - 1] and total > best[end]:
                 best[end], back[end] = total, (end - 1, None)
+        return max(settled, last)
 
     def _bytes(self, character):
         data = character.encode("utf-8", "replace")
