@@ -12,9 +12,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sward.llm.common import quoted, unused
+from sward.session import cut_lineage
 
 #: Sample of the fit: texts of a language, code points of each, and bytes of its dictionary.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY = 100, 2000, 1 << 16
+#: Parts in which the smallest hashes of a language are looked for first.
+PARTS = 64
 #: Texts are compressed in blocks, so that the dictionary counts as much at the end of a long one.
 BLOCK, LEAD, LEVEL = 4096, 256, 6
 #: A text is rejected when the second best language needs less than this share more bytes.
@@ -31,9 +34,14 @@ def fit_languages(docs, text_col="text", lang_col="lang", rows=SAMPLE_ROWS, char
     """
     light = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     light = light.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy("h")
-    chosen = light.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
-    texts = light.join(chosen.drop("n"), ["lang", "h"]).groupBy("lang", "h").agg(
+    # First within parts of each language, so that no task ranks what all tasks found for one.
+    part = Window.partitionBy("lang", "part").orderBy("h")
+    found = light.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
+    found = found.withColumn("n", F.row_number().over(part)).where(F.col("n") <= rows)
+    whole = Window.partitionBy("lang").orderBy("h")
+    # Written, so that its known small size keeps the texts out of a shuffle.
+    chosen = cut_lineage(found.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= rows).select("lang", "h"))
+    texts = light.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(
         F.min(F.substring("text", 1, chars)).alias("text")
     )
     model = {}
