@@ -405,10 +405,10 @@ def _(spark):
 
 @query("assemble_composition", oracle("""
 SELECT h.plot_id, h.label, coalesce(string_agg(s.species || '=' || s.cover, ';' ORDER BY s.species), '') AS items
-FROM train h LEFT JOIN (SELECT plot_id, species, cast(cast(round(sum(cover)) AS bigint) AS varchar) AS cover FROM v_species WHERE cover > 20 GROUP BY plot_id, species) s
+FROM train h LEFT JOIN (SELECT plot_id, species, cast(cast(round(sum(cover)) AS bigint) AS varchar) AS cover FROM v_species GROUP BY plot_id, species) s
   USING (plot_id) GROUP BY h.plot_id, h.label""", "v_header", "v_codes", "v_species", **HEADER_PARTS))
 def _(spark):
-    species = C.sum_cover(view(spark, "v_species").where(F.col("cover") > 20))
+    species = C.sum_cover(view(spark, "v_species"))
     species = species.withColumn("cover", F.round("cover").cast("long"))
     encoder = E.fit_encoder(species, "species")
     coded = E.encode(species, encoder, "species", "species_id").select(
@@ -468,7 +468,10 @@ def _(spark):
 SELECT plot_id, coalesce((SELECT string_agg(c, ', ' ORDER BY c) FROM (SELECT DISTINCT unnest(string_split(truth, ', ')) AS c) t
   WHERE c IN (SELECT code FROM v_codes)), '') AS codes FROM v_predictions""", "v_predictions", "v_codes"))
 def _(spark):
-    known = view(spark, "v_codes").agg(F.collect_set("code")).scalar()
-    return view(spark, "v_predictions").select(
-        "plot_id", text.clean_code_list(F.split("truth", ", "), known).alias("codes")
+    # The dictionary of codes is joined, not gathered into an array.
+    listed = view(spark, "v_predictions").select("plot_id", F.explode(F.split("truth", ", ")).alias("code"))
+    known = listed.join(view(spark, "v_codes").select("code").distinct(), "code", "left_semi")
+    codes = known.groupBy("plot_id").agg(F.collect_set("code").alias("known"))
+    return view(spark, "v_predictions").join(codes, "plot_id", "left").select(
+        "plot_id", text.clean_code_list(F.split("truth", ", "), F.coalesce("known", F.array().cast("array<string>"))).alias("codes")
     )

@@ -66,9 +66,9 @@ SELECT row_id, count(*) AS stored, round(sum(value), 6) AS total, round(sum(valu
 FROM v_features GROUP BY row_id""", "v_features"))
 def _(spark):
     df = view(spark, "v_features")
-    vectors = X.to_vector(df.select("row_id").distinct(), df, 200)
-    dense = vectors.select("row_id", vector_to_array("features").alias("a"))
-    flat = dense.select("row_id", F.posexplode("a").alias("i", "v")).where("v <> 0")
+    entries = X.vector_entries(X.to_vector(df.select("row_id").distinct(), df, 200))
+    zipped = F.explode(F.arrays_zip(F.col("entries.indices").alias("i"), F.col("entries.values").alias("v")))
+    flat = entries.select("row_id", zipped.alias("e")).select("row_id", "e.i", "e.v")
     return flat.groupBy("row_id").agg(
         F.count(F.lit(1)).alias("stored"), F.round(F.sum("v"), 6).alias("total"),
         F.round(F.sum(F.col("v") * F.col("i")), 4).alias("moment"),
@@ -153,7 +153,7 @@ def _(spark):
 
 @query("train_boosted")
 def _(spark):
-    cfg = replace(config(BOOSTED, features="location,country"), average="macro")
+    cfg = replace(config(BOOSTED), average="macro")
     _, scaler, accuracy = V.train(rows(spark), entries(spark), VECTOR_LAYOUT, cfg)
     return scaler.agg(F.count(F.lit(1)).alias("features"), F.lit(accuracy).alias("accuracy"))
 
@@ -167,10 +167,64 @@ def _(spark):
     return V.predict(model, rows(spark), entries(spark), VECTOR_LAYOUT, cfg, label_encoder(spark), scaler)
 
 
+# A single split over 0/1 features: its leaves are class shares per side, which SQL can count.
+STUMP = models.ModelConfig(kind="rf", trees=1, max_depth=1, max_features="all", bootstrap=False)
+STUMP_CONFIG = config(STUMP, standardization=False)
+BITS = """
+SELECT row_id, label_id, fold, j FROM (
+  SELECT row_id, label_id, fold, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS j FROM v_vectors) t WHERE v > 0"""
+# Held-out fold -1 trains on all rows.
+STUMP_PARTS = dict(
+    bits=BITS,
+    outs="SELECT -1 AS h UNION ALL SELECT DISTINCT fold FROM v_vectors",
+    whole="SELECT h, label_id, count(*) AS n FROM v_vectors, outs WHERE fold <> h GROUP BY h, label_id",
+    ones="SELECT h, j, label_id, count(*) AS n FROM bits, outs WHERE fold <> h GROUP BY h, j, label_id",
+    grid="SELECT w.h, f.j, w.label_id, coalesce(o.n, 0) AS n1, w.n - coalesce(o.n, 0) AS n0 FROM whole w CROSS JOIN (SELECT DISTINCT j FROM bits) f LEFT JOIN ones o ON w.h = o.h AND f.j = o.j AND w.label_id = o.label_id",
+    best="SELECT h, arg_max(j, {'q': q, 'j': -j}) AS j FROM (SELECT h, j, coalesce(sum(n1 * n1) * 1e0 / nullif(sum(n1), 0), 0) + coalesce(sum(n0 * n0) * 1e0 / nullif(sum(n0), 0), 0) AS q FROM grid GROUP BY h, j) t GROUP BY h",
+    leaves="""
+SELECT h, side, label_id, n * 1e0 / sum(n) OVER (PARTITION BY h, side) AS share, row_number() OVER (PARTITION BY h, side ORDER BY n DESC, label_id) AS rank
+FROM (SELECT h, 1 AS side, label_id, n1 AS n FROM grid JOIN best USING (h, j) UNION ALL SELECT h, 0, label_id, n0 FROM grid JOIN best USING (h, j)) t""",
+    sides="SELECT o.h, v.row_id, v.label_id, v.fold, CASE WHEN b.row_id IS NULL THEN 0 ELSE 1 END AS side FROM v_vectors v CROSS JOIN best o LEFT JOIN bits b ON b.row_id = v.row_id AND b.j = o.j",
+)
+
+
+def bit_entries(spark):
+    return entries(spark).where(F.col("value") > 0).withColumn("value", F.lit(1.0))
+
+
+@query("cross_validate_stump", oracle("""
+SELECT fold, round(avg(CASE WHEN s.label_id = l.label_id THEN 1e0 ELSE 0e0 END) * 100, 9) AS accuracy
+FROM sides s JOIN leaves l ON s.h = l.h AND s.side = l.side AND l.rank = 1 WHERE s.fold = s.h GROUP BY fold""", "v_vectors", **STUMP_PARTS))
+def _(spark):
+    return rounded(V.cross_validate(rows(spark), bit_entries(spark), VECTOR_LAYOUT, STUMP_CONFIG), accuracy=9)
+
+
+@query("predict_stump", oracle("""
+SELECT row_id AS plot_id, concat('class ', l.label_id) AS prediction, round(share, 9) AS score
+FROM sides s JOIN leaves l ON s.h = l.h AND s.side = l.side AND l.rank = 1 WHERE s.h = -1""", "v_vectors", **STUMP_PARTS))
+def _(spark):
+    path = scratch_path(spark, "stump")
+    V.train(rows(spark), bit_entries(spark), VECTOR_LAYOUT, STUMP_CONFIG, path)
+    model, scaler = V.load_trained(spark, path, STUMP_CONFIG)
+    out = V.predict(model, rows(spark), bit_entries(spark), VECTOR_LAYOUT, STUMP_CONFIG, label_encoder(spark), scaler)
+    return rounded(out, score=9)
+
+
+@query("group_ablation_stump", oracle("""
+SELECT s.label_id AS class, c.criterion, round(avg(CASE WHEN (c.criterion = 'Internal') = (o.j < 40) AND s.side = 1 THEN abs(a.share - z.share) ELSE 0e0 END), 9) AS score
+FROM sides s JOIN best o ON s.h = o.h JOIN leaves a ON a.h = s.h AND a.side = s.side AND a.label_id = s.label_id
+JOIN leaves z ON z.h = s.h AND z.side = 0 AND z.label_id = s.label_id CROSS JOIN (SELECT unnest(['Internal', 'External']) AS criterion) c
+WHERE s.h = -1 GROUP BY s.label_id, c.criterion""", "v_vectors", **STUMP_PARTS))
+def _(spark):
+    vectors = X.to_vector(rows(spark), bit_entries(spark), VECTOR_LAYOUT.size)
+    model = models.fit(vectors, STUMP, VECTOR_LAYOUT.size, N_CLASSES)
+    return rounded(A.group_ablation(model, rows(spark), bit_entries(spark), VECTOR_LAYOUT), score=9)
+
+
 @query("cluster_points")
 def _(spark):
     plots = view(spark, "v_location").select("plot_id", "lon", "lat")
-    return P.cluster_summary(P.cluster_points(plots, k=50, restarts=3))
+    return P.cluster_summary(P.cluster_points(plots, k=50))
 
 
 def fitted(spark, cfg):

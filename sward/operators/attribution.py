@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sward.functions.text import genus, top_group
-from sward.operators.features import sparse_vector, to_vector
+from sward.operators.features import to_vector, with_vector
 
 
 def mean_attribution(df, rows=None):
@@ -203,8 +203,10 @@ def occlusion(model, rows, features, size):
     base = rows.join(lists, "row_id")
     single = base.withColumn("hidden", F.explode("items.feature_id"))
     left = F.filter("items", lambda e: e["feature_id"] != F.col("hidden"))
-    vector = sparse_vector(size)(left["feature_id"], left["value"])
-    scored = model.transform(single.withColumn("features", vector))
+    cut_rows = single.select(
+        "row_id", "fold", "label_id", "hidden", left["feature_id"].alias("_ids"), left["value"].alias("_values")
+    )
+    scored = model.transform(with_vector(cut_rows, F.col("_ids"), F.col("_values"), size))
     label = F.col("label_id").cast("int")
     cut = scored.select(
         "row_id", "fold", "label_id", "hidden",

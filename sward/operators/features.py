@@ -7,12 +7,14 @@ windows and collected lists are bounded by the number of features.
 
 from dataclasses import dataclass
 
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sward.functions import hashing
 from sward.operators.ordering import flag_sample
+from sward.session import scratch_path
 
 # Feature groups in layout order.
 GROUPS = ["species", "location", "altitude", "country", "ecoregion", "dune", "coast"]
@@ -260,14 +262,34 @@ def catalogue(layout, names):
     return out
 
 
-def sparse_vector(size):
-    """Arrow function from parallel arrays of ids and values to an ML sparse vector."""
+# Stored form of a sparse vector: its type is 0.
+SPARSE = T.StructType([
+    T.StructField("type", T.ByteType()), T.StructField("size", T.IntegerType()),
+    T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType())),
+])
 
-    @F.udf(VectorUDT(), useArrow=True)
-    def build(ids, values):
-        return SparseVector(size, list(ids), list(values))
 
-    return build
+def with_vector(df, ids, values, size, name="features"):
+    """Attach an ML sparse vector made of sorted parallel arrays of ids and values.
+
+    The rows are written as plain structs and read back as vectors: no Python touches them, and
+    what is fitted or scored several times is worked out once.
+    """
+    kind = F.lit(0).cast("tinyint").alias("type")
+    parts = F.struct(kind, F.lit(size).alias("size"), ids.alias("indices"), values.alias("values"))
+    plain = df.withColumn(name, parts.cast(SPARSE))
+    fields = [T.StructField(f.name, VectorUDT() if f.name == name else f.dataType) for f in plain.schema]
+    path = scratch_path(df.sparkSession, "vectors")
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(T.StructType(fields)).parquet(path)
+
+
+def vector_entries(df, name="features"):
+    """The stored entries of sparse vectors as a struct ``entries`` of indices and values."""
+    path = scratch_path(df.sparkSession, "entries")
+    df.write.parquet(path)
+    fields = [T.StructField(f.name, SPARSE if f.name == name else f.dataType) for f in df.schema]
+    return df.sparkSession.read.schema(T.StructType(fields)).parquet(path).withColumnRenamed(name, "entries")
 
 
 def to_vector(rows, features, size, key="row_id"):
@@ -277,7 +299,8 @@ def to_vector(rows, features, size, key="row_id"):
     out = rows.join(lists, key, "left")
     ids = F.coalesce(F.col("_e")["feature_id"], F.array().cast("array<int>"))
     values = F.coalesce(F.col("_e")["value"], F.array().cast("array<double>"))
-    return out.withColumn("features", sparse_vector(size)(ids, values)).drop("_e")
+    plain = out.select(*rows.columns, ids.alias("_ids"), values.alias("_values"))
+    return with_vector(plain, F.col("_ids"), F.col("_values"), size).drop("_ids", "_values")
 
 
 def keep_labels(df, labels, col="label_id"):

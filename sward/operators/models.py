@@ -23,7 +23,8 @@ class ModelConfig:
     neurons: int = 200
     epochs: int = 100
     batch_size: int = 256
-    learning_rate: float = 0.001
+    # Change of the loss below which fitting ends; the solver (L-BFGS) has no learning rate.
+    tolerance: float = 1e-6
     # Forest.
     trees: int = 200
     criterion: str = "gini"
@@ -36,6 +37,8 @@ class ModelConfig:
     boost_depth: int = MAX_DEPTH
     boost_rate: float = 0.1
     subsample: float = 0.8
+    # Classes of the boosted trees fitted at the same time.
+    class_parallel: int = 4
 
 
 def _depth(depth):
@@ -51,7 +54,7 @@ def classifier(cfg, n_features, n_classes):
         layers = [n_features] + [cfg.neurons] * cfg.hidden_layers + [n_classes]
         return MultilayerPerceptronClassifier(
             layers=layers, maxIter=cfg.epochs, blockSize=cfg.batch_size,
-            stepSize=cfg.learning_rate, seed=cfg.seed, **cols,
+            tol=cfg.tolerance, seed=cfg.seed, **cols,
         )
     if cfg.kind == "rf":
         impurity = {"log_loss": "entropy"}.get(cfg.criterion, cfg.criterion)
@@ -65,7 +68,7 @@ def classifier(cfg, n_features, n_classes):
             maxIter=cfg.rounds, maxDepth=_depth(cfg.boost_depth), stepSize=cfg.boost_rate,
             subsamplingRate=cfg.subsample, seed=cfg.seed, **cols,
         )
-        return OneVsRest(classifier=trees, rawPredictionCol="rawPrediction", **cols)
+        return OneVsRest(classifier=trees, rawPredictionCol="rawPrediction", parallelism=cfg.class_parallel, **cols)
     raise ValueError(f"unknown model kind: {cfg.kind}")
 
 
