@@ -19,13 +19,13 @@ WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Bytes of a hash that travel besides its owner.  Anchors may collide (that only adds candidates);
 #: passages are compared by 96 bits.
-ANCHOR_BYTES = 5
+ANCHOR_BYTES = 4
 #: Hashes a task holds before it sends them.
 HELD = 1 << 22
 
 #: One row from a task to an owner: keys of documents, hashes, and the document and position of each.
 SENT = (
-    "owner int, k1 array<long>, k2 array<long>, hashes binary, docs binary, positions binary, "
+    "owner int, k1 binary, k2 binary, hashes binary, docs binary, positions binary, "
     "known binary, sure_docs binary, sure_positions binary"
 )
 FOUND = "k1 long, k2 long, position int"
@@ -78,8 +78,7 @@ class _Sender:
         self.owner_bits, self.hash_bytes, self.first_stays = owner_bits, hash_bytes, first_stays
         self.parts, self.held = [], 0
         self.names = [f.split()[0] for f in SENT.split(", ")]
-        longs = pa.list_(pa.int64())
-        self.types = [pa.int32(), longs, longs] + [pa.binary()] * 6
+        self.types = [pa.int32()] + [pa.binary()] * 8
 
     def add(self, keys, high, low, docs, positions):
         """``keys``: two arrays for the documents that ``docs`` counts through."""
@@ -97,6 +96,8 @@ class _Sender:
         positions = np.concatenate([p[5] for p in self.parts])
         self.parts, self.held = [], 0
         by_key = np.lexsort((k2, k1))
+        rank_doc = np.empty(len(k1), dtype=np.int64)
+        rank_doc[by_key] = np.arange(len(k1))
         rank = np.zeros(len(k1), dtype=np.int64)
         rank[by_key[1:]] = np.cumsum((np.diff(k1[by_key]) != 0) | (np.diff(k2[by_key]) != 0))
         order = np.lexsort((positions, rank[docs], low, high))
@@ -124,9 +125,10 @@ class _Sender:
             a, b, c = (at[cut[owner] : cut[owner + 1]] for at, cut in zip((open_at, known_at, sure_at), cuts))
             if len(a) + len(b) + len(c) == 0:
                 continue
-            used, within = np.unique(np.concatenate((docs[a], docs[c])), return_inverse=True)
+            used, within = np.unique(rank_doc[np.concatenate((docs[a], docs[c]))], return_inverse=True)
+            used = by_key[used]  # in order of their keys, whose differences are small
             yield self._batch([
-                int(owner), k1[used], k2[used], self._hashes(high[a], low[a]), _planes(within[: len(a)], 4),
+                int(owner), _planes(np.diff(k1[used], prepend=0).view(np.uint64), 8), _planes(k2[used], 4), self._hashes(high[a], low[a]), _planes(within[: len(a)], 4),
                 _planes(positions[a], 4), self._hashes(high[b], low[b]), _planes(within[len(a) :], 4), _planes(positions[c], 4),
             ])
 
@@ -154,7 +156,7 @@ def _owner(hash_bytes, first_stays):
     def run(table: pa.Table) -> pa.Table:
         out, parts, known = [], [], [np.zeros(0, np.uint64)]
         for r in table.to_pylist():
-            k1, k2 = np.array(r["k1"], dtype=np.int64), np.array(r["k2"], dtype=np.int64)
+            k1, k2 = np.cumsum(_unplanes(r["k1"], 8)).view(np.int64), _unplanes(r["k2"], 4).astype(np.int64)
             docs = _unplanes(r["sure_docs"], 4).astype(np.int64)
             out.append((k1[docs], k2[docs], _unplanes(r["sure_positions"], 4)))
             docs = _unplanes(r["docs"], 4).astype(np.int64)
@@ -283,9 +285,9 @@ def remove_repeats(docs, id_col="doc_id", text_col="text"):
       hash of the text; rows equal in both are one document given repeatedly, with equal results.
     * Other columns, whatever their names, are not read.  An empty table gives an empty result.
     """
-    owner_bits = int(np.ceil(np.log2(4 * partitions(docs.sparkSession))))
+    owner_bits = int(np.ceil(np.log2(2 * partitions(docs.sparkSession))))
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k1"), F.xxhash64(text_or_empty(text_col)).alias("k2"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k1"), F.shiftrightunsigned(F.xxhash64(text_or_empty(text_col)), 32).alias("k2"),
         text_or_empty(text_col).alias("text"), F.col(id_col).isNull().alias("no_id"),
     )
 
