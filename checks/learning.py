@@ -141,6 +141,54 @@ def _(spark):
     return rounded(judged[1].select("row_id", "feature_id", "value"), value=7)
 
 
+# All steps of a job in their order; every random step is a hash of its seed and row.
+UNIFORM = "cast(('0x' || left(md5(%s), 13)) AS bigint) / pow(16.0e0, 13)"
+DRAW = {k: UNIFORM % f"concat('7.{k}:', d.row_id, ':', d.feature_id)" for k in "sab"}
+DROPPED = """
+SELECT row_id, feature_id, value FROM (SELECT *, row_number() OVER (PARTITION BY feature_id < 140 ORDER BY md5(concat('7:', row_id, ':', feature_id))) AS rn
+  FROM {0}) t WHERE feature_id >= 140 OR rn > (SELECT floor(count(*) * 0.3e0) FROM {0} WHERE feature_id < 140)"""
+SPREAD = """
+SELECT feature_id, CASE WHEN v > 0 THEN sqrt(v) ELSE 1.0e0 END AS scale FROM (
+  SELECT feature_id, (count(*) * var_pop(value) + avg(value) * avg(value) * count(*) * (n - count(*)) / n) / n AS v
+  FROM {0}, (SELECT count(DISTINCT row_id) * 1.0e0 AS n FROM {1}) r GROUP BY feature_id, n) u"""
+
+
+def labelled(spark):
+    df = view(spark, "v_features")
+    r = df.select("row_id", (F.col("row_id") % 3).cast("int").alias("label_id"), (F.col("row_id") % 5).alias("fold")).distinct()
+    return r, df, spark.createDataFrame([(0,), (1,)], "id int")
+
+
+@query("training_order", oracle("""
+SELECT row_id, feature_id, round(value / scale, 7) AS value FROM ready JOIN spread USING (feature_id)""", "v_features",
+    kept="SELECT * FROM v_features WHERE row_id % 3 <> 2", dropped=DROPPED.format("kept"),
+    ready="SELECT row_id, feature_id, CASE WHEN feature_id < 140 THEN ln(value) ELSE value END AS value FROM dropped WHERE feature_id < 142",
+    spread=SPREAD.format("ready", "kept")))
+def _(spark):
+    r, df, endangered = labelled(spark)
+    cfg = PreprocessConfig(endangered=True, dropout=0.3, log=True, features="species,location", seed=7)
+    out = R.preprocess_training(r, df, LAYOUT, cfg, endangered)[1]
+    return rounded(out.select("row_id", "feature_id", "value"), value=7)
+
+
+@query("evaluation_order", oracle("""
+SELECT row_id, feature_id, round(value / coalesce(scale, 1.0e0), 6) AS value FROM noised LEFT JOIN spread USING (feature_id)
+WHERE value <> 0 AND feature_id < 142""", "v_features",
+    kept="SELECT * FROM v_features WHERE row_id % 5 = 1 AND row_id % 3 <> 2", dropped=DROPPED.format("kept"),
+    noised=f"""
+SELECT d.row_id, d.feature_id, CASE WHEN d.feature_id < 140 THEN
+  value + CASE WHEN {DRAW['s']} < 0.5 THEN -1 ELSE 1 END * (mean + std * sqrt(-2 * ln(1 - {DRAW['a']})) * cos(2 * pi() * {DRAW['b']})) ELSE value END AS value
+FROM dropped d LEFT JOIN (SELECT feature_id, avg(value) AS mean, stddev_pop(value) AS std FROM dropped WHERE feature_id < 140 GROUP BY feature_id) m USING (feature_id)""",
+    train="SELECT * FROM v_features WHERE row_id % 5 <> 1",
+    spread=SPREAD.format("train", "train")))
+def _(spark):
+    r, df, endangered = labelled(spark)
+    train, test = V.fold_pairs(r, df.join(r.select("row_id", "fold"), "row_id"), 1)
+    cfg = PreprocessConfig(endangered=True, dropout=0.3, noise=True, features="species,location", seed=7)
+    _, judged, _ = R.preprocess_fold(train, test, LAYOUT, cfg, endangered)
+    return rounded(judged[1].select("row_id", "feature_id", "value"), value=6)
+
+
 @query("cross_validate_forest")
 def _(spark):
     return V.cross_validate(rows(spark), entries(spark), VECTOR_LAYOUT, config(FOREST))
