@@ -149,6 +149,27 @@ def _(spark):
     )
 
 
+@query("export_header", oracle("""
+SELECT plot_id AS "RELEVE_NR", 'Region ' || (plot_id % 7) AS "Country", cast(plot_id % 900 AS int) AS "Altitude (m)", round(lon, 5) AS "DEG_LON",
+  round(lat, 5) AS "DEG_LAT", 'GESELLSCH' AS "GESELLSCH", 'dataset' AS dataset, cast(plot_id % 50 AS varchar) AS "Ecoreg",
+  CASE WHEN plot_id % 2 = 0 THEN 'Y_DUNES' ELSE 'N_DUNES' END AS "Dunes_Bohn", 'N_COAST' AS "Coast_EEA"
+FROM v_location""", "v_location"))
+def _(spark):
+    plots = view(spark, "v_location").select(
+        "plot_id", "lon", "lat", F.concat(F.lit("Region "), F.col("plot_id") % 7).alias("country"),
+        (F.col("plot_id") % 900).cast("int").alias("altitude"), (F.col("plot_id") % 50).cast("string").alias("ecoregion"),
+        F.when(F.col("plot_id") % 2 == 0, "Y_DUNES").otherwise("N_DUNES").alias("dune"), F.lit("N_COAST").alias("coast"),
+    )
+    out = K.export_view(plots, K.EXPORT_HEADER, K.EXPORT_HEADER_CONSTANTS)
+    path = scratch_path(spark, "export")
+    K.write_export(out, path)
+    back = R.read_table(spark, path, {c: c for c in out.columns})
+    return back.select(*[
+        F.round(F.col(f"`{c}`").cast("double"), 5).alias(c) if c.startswith("DEG") else F.col(f"`{c}`").cast(t).alias(c)
+        for c, t in out.dtypes
+    ])
+
+
 # Projections, filters, predicates.
 
 

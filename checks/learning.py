@@ -24,7 +24,6 @@ from sward.operators import models
 from sward.operators import regions as G
 from sward.operators import reports as P
 from sward.operators.cleaning import codes_at_level, training_header
-from sward.operators.encoding import fit_encoder
 from sward.operators.neighbours import nearest_neighbours
 from sward.operators.oversample import borderline_smote
 from sward.plans import dataset as D
@@ -269,6 +268,37 @@ def _(spark):
     return rounded(A.group_ablation(model, rows(spark), bit_entries(spark), VECTOR_LAYOUT), score=9)
 
 
+ALLOWED = ", ".join(
+    f"('{name}', {j})" for name, groups in U.ABLATION_SUBSETS.items() for group, n in VECTOR_LAYOUT.keep(groups).sizes
+    for j in range(VECTOR_LAYOUT.start(group), VECTOR_LAYOUT.start(group) + n)
+)
+STUDY = dict(
+    bits=BITS, outs="SELECT DISTINCT fold AS h FROM v_vectors", whole=STUMP_PARTS["whole"], ones=STUMP_PARTS["ones"], grid=STUMP_PARTS["grid"],
+    allowed=f"SELECT * FROM (VALUES {ALLOWED}) t(subset, j)",
+    quality="SELECT subset, h, j, coalesce(sum(n1 * n1) * 1e0 / nullif(sum(n1), 0), 0) + coalesce(sum(n0 * n0) * 1e0 / nullif(sum(n0), 0), 0) AS q FROM grid JOIN allowed USING (j) GROUP BY subset, h, j",
+    best="SELECT subset, h, arg_max(j, {'q': q, 'j': -j}) AS j FROM quality GROUP BY subset, h",
+    leaves="""
+SELECT subset, h, side, arg_max(label_id, {'n': n, 'c': -label_id}) AS label_id FROM (
+  SELECT subset, h, 1 AS side, label_id, n1 AS n FROM grid JOIN best USING (h, j) UNION ALL SELECT subset, h, 0, label_id, n0 FROM grid JOIN best USING (h, j)) t
+GROUP BY subset, h, side""",
+    accuracies="""
+SELECT o.subset, o.h AS fold, avg(CASE WHEN v.label_id = l.label_id THEN 1e0 ELSE 0e0 END) * 100 AS accuracy
+FROM best o JOIN v_vectors v ON v.fold = o.h LEFT JOIN bits b ON b.row_id = v.row_id AND b.j = o.j
+JOIN leaves l ON l.subset = o.subset AND l.h = o.h AND l.side = CASE WHEN b.row_id IS NULL THEN 0 ELSE 1 END GROUP BY o.subset, o.h""",
+)
+SUMMARY = "round(avg(accuracy), 9) AS mean, round(stddev_samp(accuracy), 9) AS std, arg_max(fold, {'a': round(accuracy, 9), 'f': -fold}) AS best_fold FROM accuracies"
+
+
+@query("ablation_study_stump", oracle(f"SELECT subset, {SUMMARY} GROUP BY subset", "v_vectors", **STUDY))
+def _(spark):
+    return rounded(U.ablation_study(rows(spark), bit_entries(spark), VECTOR_LAYOUT, STUMP_CONFIG), mean=9, std=9)
+
+
+@query("evaluate_stump", oracle(f"SELECT {SUMMARY} WHERE subset = 'All'", "v_vectors", **STUDY))
+def _(spark):
+    return rounded(V.evaluate(rows(spark), bit_entries(spark), VECTOR_LAYOUT, STUMP_CONFIG), mean=9, std=9)
+
+
 @query("cluster_points")
 def _(spark):
     plots = view(spark, "v_location").select("plot_id", "lon", "lat")
@@ -429,10 +459,12 @@ def _(spark):
     return second_survey(spark)[2]
 
 
-@query("predicted_group_counts")
+@query("predicted_group_counts", oracle("""
+SELECT substr('NQRSTUV', cast(1 + l.label_id % 7 AS int), 1) AS top_group, count(*) AS count
+FROM sides s JOIN leaves l ON s.h = l.h AND s.side = l.side AND l.rank = 1 WHERE s.h = -1 GROUP BY ALL""", "v_vectors", **STUMP_PARTS))
 def _(spark):
-    cfg = config(FOREST)
-    model, scaler, _ = V.train(rows(spark), entries(spark), VECTOR_LAYOUT, cfg)
-    encoder = fit_encoder(view(spark, "v_classified"), "truth").where(F.col("id") < N_CLASSES)
-    out = V.predict(model, rows(spark), entries(spark), VECTOR_LAYOUT, cfg, encoder, scaler)
+    model, scaler, _ = V.train(rows(spark), bit_entries(spark), VECTOR_LAYOUT, STUMP_CONFIG)
+    code = F.concat(F.expr("substr('NQRSTUV', cast(1 + id % 7 AS int), 1)"), F.lit("11"))
+    encoder = label_encoder(spark).withColumn("value", code)
+    out = V.predict(model, rows(spark), bit_entries(spark), VECTOR_LAYOUT, STUMP_CONFIG, encoder, scaler)
     return M.class_counts(out.withColumn("top_group", top_group(F.col("prediction"))), "top_group")
