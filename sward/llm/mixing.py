@@ -21,6 +21,8 @@ from sward.session import cut_lineage
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Documents of each source whose copies are settled last, so that the sum meets the target.
 SETTLED, TRIES = 500, 32
+#: Most sources whose table is sent to every executor.
+BROADCAST = 10_000
 TOLERANCE, ROUNDS = 1e-12, 100
 
 
@@ -77,6 +79,12 @@ def balance(cells, targets):
     return dual
 
 
+def _table(spark, rows, schema):
+    """A table of a row per source: broadcast while it has few rows, else left to the planner."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST else table
+
+
 def _uniform(seed, *columns):
     """A number in [0, 1) fixed by the row."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
@@ -124,7 +132,7 @@ def _plan(docs, id_col, source_col, text_col, weights, most):
     live = [(name, size) for name, size in sources if targets[name] > 0]
     rates = {name: 0.0 for name, _ in sources}
     if live:
-        number = spark.createDataFrame([(n, i) for i, (n, _) in enumerate(live)], "name string, number int")
+        number = _table(spark, [(n, i) for i, (n, _) in enumerate(live)], "name string, number int")
         cells = cut_lineage(
             light.groupBy("source").agg(F.sum(tokens).alias("tokens"))
             .join(number, F.col("source").eqNullSafe(F.col("name"))).select(F.array("number").alias("keys"), "tokens")
@@ -138,12 +146,12 @@ def _plan(docs, id_col, source_col, text_col, weights, most):
     )
     edges = {r["source"]: r["edge"] for r in edge.collect()}
     table = [(n, s, targets[n], rates[n], edges[n]) for n, s in sources]
-    known = spark.createDataFrame(table, "name string, source_size long, target double, rate double, edge double")
+    known = _table(spark, table, "name string, source_size long, target double, rate double, edge double")
     rows = light.join(known, F.col("source").eqNullSafe(F.col("name"))).withColumn("order", _order())
     last = F.col("order") <= F.col("edge")
     given = F.col("size") * F.col("same") * (F.floor("rate") + F.when(last, 0).otherwise(_bulk("doc_id", "source", "size", F.col("rate"))))
     residual = rows.groupBy("source").agg((F.first("target") - F.sum(given)).alias("residual"))
-    residuals = spark.createDataFrame([(r["source"], float(r["residual"])) for r in residual.collect()], "left_name string, residual double")
+    residuals = _table(spark, [(r["source"], float(r["residual"])) for r in residual.collect()], "left_name string, residual double")
     settled = cut_lineage(
         rows.where(last).join(residuals, F.col("source").eqNullSafe(F.col("left_name")))
         .select("doc_id", "source", "size", "order", "residual", (F.col("size") * F.col("same")).alias("weight"))
