@@ -86,13 +86,44 @@ def _(spark):
     return near.select("query_id", "row_id", "pos")
 
 
-@query("borderline_oversampling")
+OVERSAMPLED = dict(
+    r="SELECT row_id, CASE WHEN label_id <= 1 AND fold = 0 THEN label_id ELSE 2 END AS label, [cast(x AS double) FOR x IN embedding] AS e FROM v_vectors",
+    counts="SELECT label, count(*) AS n FROM r GROUP BY label",
+    limits="SELECT cast(floor(max(n) * 0.1e0) AS bigint) AS goal, cast(floor(min(n) / 2.0e0) AS bigint) AS k FROM counts",
+    need="SELECT label, goal - n AS need FROM counts, limits WHERE goal > n",
+    near="""
+SELECT a.row_id, a.label, b.label AS other, row_number() OVER (PARTITION BY a.row_id ORDER BY round(list_distance(a.e, b.e), 9), b.row_id) AS pos
+FROM r a JOIN need USING (label) JOIN r b ON a.row_id <> b.row_id""",
+    danger="""
+SELECT row_id, label FROM near, limits WHERE pos <= 2 * k GROUP BY row_id, label, k
+HAVING count(*) FILTER (WHERE other <> label) >= k AND count(*) FILTER (WHERE other <> label) < 2 * k""",
+    same="""
+SELECT * FROM (SELECT a.row_id, b.row_id AS other_id, row_number() OVER (PARTITION BY a.row_id ORDER BY round(list_distance(x.e, b.e), 9), b.row_id) AS pos
+  FROM danger a JOIN r x USING (row_id) JOIN r b ON b.label = a.label AND b.row_id <> a.row_id) t WHERE pos <= (SELECT k FROM limits)""",
+    sizes="SELECT label, count(*) AS danger FROM danger GROUP BY label",
+    quota="SELECT label, need, danger, coalesce(sum(need) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM need JOIN sizes USING (label)",
+    placed="SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('123:', row_id))) - 1 AS position FROM danger",
+    drawn="""
+SELECT row_id, label, -(before + copy * danger + position + 1) AS new_id, copy FROM (
+  SELECT *, unnest(range(0, cast((need - position + danger - 1) // danger AS bigint))) AS copy FROM placed JOIN quota USING (label) WHERE position < need) t""",
+    have="SELECT row_id, count(*) AS have FROM same GROUP BY row_id",
+    picked="""
+SELECT d.*, cast(('0x' || left(md5(concat('123.n:', d.row_id, ':', copy)), 8)) AS bigint) % have + 1 AS pos,
+  cast(('0x' || left(md5(concat('123.t:', d.row_id, ':', copy)), 13)) AS bigint) / pow(16.0e0, 13) AS step
+FROM drawn d JOIN have h ON d.row_id = h.row_id""",
+)
+
+
+@query("borderline_oversampling", oracle("""
+SELECT cast(p.new_id AS bigint) AS row_id, p.label AS label_id, len(a.e) AS stored, round(list_sum(a.e) * (1 - step) + list_sum(b.e) * step, 6) AS total
+FROM picked p JOIN same s ON s.row_id = p.row_id AND s.pos = p.pos JOIN r a ON a.row_id = p.row_id JOIN r b ON b.row_id = s.other_id""",
+    "v_vectors", **OVERSAMPLED))
 def _(spark):
     # Most rows of two classes are relabelled, so that these fall below the target share.
     rare = (F.col("label_id") <= 1) & (F.col("fold") == 0)
     r = rows(spark).withColumn("label_id", F.when(rare, F.col("label_id")).otherwise(2))
     new_rows, values = borderline_smote(r, entries(spark), 64)
-    sums = values.groupBy("row_id").agg(F.count(F.lit(1)).alias("stored"), F.sum("value").alias("total"))
+    sums = values.groupBy("row_id").agg(F.count(F.lit(1)).alias("stored"), F.round(F.sum("value"), 6).alias("total"))
     return new_rows.join(sums, "row_id", "left")
 
 
