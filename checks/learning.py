@@ -336,6 +336,18 @@ def _(spark):
     return P.cluster_summary(P.cluster_points(plots, k=50))
 
 
+# Points around far centres: the clusters are the groups they were made from.
+@query("cluster_separated", oracle("""
+SELECT round(avg(cast(plot_id % 6 AS double) * 20 - 50 + (plot_id % 10) / 100.0e0), 6) AS lat,
+  round(avg(cast(plot_id % 6 AS double) * -25 + 60 + (plot_id % 7) / 100.0e0), 6) AS lon, count(*) AS size
+FROM v_location GROUP BY plot_id % 6""", "v_location"))
+def _(spark):
+    home = (F.col("plot_id") % 6).cast("double")
+    plots = view(spark, "v_location").select(
+        "plot_id", (home * 20 - 50 + (F.col("plot_id") % 10) / 100).alias("lat"), (home * -25 + 60 + (F.col("plot_id") % 7) / 100).alias("lon"))
+    return rounded(P.cluster_summary(P.cluster_points(plots, k=6)).select("lat", "lon", "size"), lat=6, lon=6)
+
+
 def fitted(spark, cfg):
     vectors = X.to_vector(rows(spark), entries(spark), VECTOR_LAYOUT.size)
     return models.fit(vectors, cfg, VECTOR_LAYOUT.size, N_CLASSES)
