@@ -99,6 +99,11 @@ def test_dataset_is_saved_and_read_back(ready, tmp_path):
     assert features.agg(F.max("feature_id")).first()[0] < data.layout.size
     known = data.encoders["species"].select(F.col("value").alias("species"))
     assert observed.count() > 0 and observed.join(known, "species", "left_anti").count() == 0
+    # From the stored parts alone: layout, dictionaries and accepted names.
+    _, stored, shape = D.predict_from_stored(
+        test_header, view(ready, "v_species"), str(tmp_path), f"{tmp_path}-second", view(ready, "v_backbone"), cfg=cfg
+    )
+    assert shape == data.layout and sorted(map(tuple, stored.collect())) == sorted(map(tuple, features.collect()))
 
 
 def test_robustness_modes(ready):
