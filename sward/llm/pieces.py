@@ -20,7 +20,7 @@ UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Score of an unknown character, below that of the worst piece.
 UNKNOWN, NEVER = -10.0, float("-inf")
 #: Units a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Ids decoded at a time.
 IDS = 1 << 18
 _NORMAL, _USER = 1, 4
