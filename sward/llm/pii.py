@@ -2,9 +2,9 @@
 
 Entities (e-mail and network addresses, card and phone numbers) are found by patterns.  How much a term
 reveals an entity is its pointwise mutual information with it, estimated from all documents: the log of
-how much likelier the entity is in a document with the term near it.  A term that carries more than a
-share of the entity's information content is generalised to its class; if the class discloses as much,
-it is removed.  Everything is a DataFrame expression.
+how much likelier the entity is in a document with the term.  A term that carries more than a share of
+the entity's information content is generalised to its class wherever it stands in a document with the
+entity; if the class discloses as much, it is removed.  Everything is a DataFrame expression.
 """
 
 from pyspark.sql import Window
@@ -26,9 +26,9 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _ADDRESS = rf"^{_PART}(?:\.{_PART}){{3}}$"
 TERM = r"[\p{L}\p{N}]*\p{L}[\p{L}\p{N}]*"
-#: Code points of context on each side of an entity, fewest documents of a pair, and the share of an
-#: entity's information content that a term may carry.
-CONTEXT, SUPPORT, SHARE = 64, 2, 0.8
+#: Fewest documents of a pair, and the share of an entity's information content that a term may carry.
+#: An entity of a single document would make every rare word of that document disclose all of it.
+SUPPORT, SHARE = 2, 0.8
 #: Classes of terms and what a term of the class looks like.
 CLASSES = {"<code>": r"\p{N}", "<name>": r"^\p{Lu}", "<word>": r"^\P{Lu}"}
 _TEXT_HAS = {"<code>": r"\p{L}\p{N}|\p{N}\p{L}", "<name>": r"(?<![\p{L}\p{N}])\p{Lu}", "<word>": r"(?<![\p{L}\p{N}])[\p{L}&&\P{Lu}]"}
@@ -58,12 +58,8 @@ def _class_of(term):
     return named.otherwise("<word>")
 
 
-def base_spans(rows):
-    """``k1, k2, kind, start, end, entity, left, right`` of every entity in ``k1, k2, text``.
-
-    Positions are code points, the end exclusive; ``left`` and ``right`` are the context.  A match's
-    start is the length of the matches and gaps before it: a running sum over the rows of a text.
-    """
+def held_texts(rows):
+    """``rid, k1, k2, text, matches`` of the texts in ``k1, k2, text`` that hold an entity."""
     found = rows.withColumn("rid", F.monotonically_increasing_id())
     for kind in KINDS:
         hint = F.col("text").contains(HINTS[kind]) if kind == "email" else F.col("text").rlike(HINTS[kind])
@@ -72,86 +68,101 @@ def base_spans(rows):
     arrays = []
     for number, kind in enumerate(KINDS):
         gaps, matches = F.col(f"{kind}_gap"), F.col(f"{kind}_match")
-        after = F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0)))
-        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
-        one = F.zip_with(pairs, after, lambda pair, right: F.struct(  # noqa: B023
-            F.lit(number).alias("kind"), F.length(pair["gap"]).alias("skipped"), F.length(pair["match"]).alias("size"),
-            F.when(_valid(kind, pair["match"]), _entity(kind, pair["match"])).alias("entity"),
-            _left(pair["gap"]).alias("left"), _right(right).alias("right")))
+        one = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda gap, match: F.struct(  # noqa: B023
+            F.lit(number).alias("kind"), F.length(gap).alias("skipped"), F.length(match).alias("size"),
+            F.when(_valid(kind, match), _entity(kind, match)).alias("entity")))
         arrays.append(F.coalesce(one, F.array().cast(_MATCHES)))
-    listed = found.select("rid", "k1", "k2", F.posexplode(F.concat(*arrays)).alias("i", "m")).select("rid", "k1", "k2", "i", "m.*")
-    # Contexts only travel with the matches that count.
-    keep = F.col("entity").isNotNull()
-    listed = listed.withColumn("left", F.when(keep, F.col("left"))).withColumn("right", F.when(keep, F.col("right")))
-    order = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    placed = listed.repartition("rid").withColumn("end", F.sum(F.col("skipped") + F.col("size")).over(order))
-    spans = placed.where(keep).select(
-        "k1", "k2", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "entity", "left", "right"
-    )
-    # Rows equal in id and text have equal spans.
-    return cut_lineage(spans.dropDuplicates(["k1", "k2", "kind", "start"]))
+    listed = found.select("rid", "k1", "k2", "text", F.concat(*arrays).alias("matches"))
+    return cut_lineage(listed.where(F.exists("matches", lambda m: m["entity"].isNotNull())))
 
 
-_MATCHES = "array<struct<kind:int,skipped:int,size:int,entity:string,left:string,right:string>>"
+_MATCHES = "array<struct<kind:int,skipped:int,size:int,entity:string>>"
 
 
-def _left(gap):
-    """The end of a gap without the word it cuts."""
-    cut = F.regexp_replace(F.substring(gap, -CONTEXT, CONTEXT), r"^[\p{L}\p{N}]+", "")
-    return F.when(F.length(gap) > CONTEXT, cut).otherwise(gap)
+def base_spans(held):
+    """``rid, k1, k2, kind, start, end, entity`` of every entity in the texts of ``held``.
 
+    Positions are code points, the end exclusive.  A match's start is the length of the matches and gaps
+    before it: a running sum over the rows of a text.
+    """
+    listed = held.select("rid", "k1", "k2", F.posexplode("matches").alias("i", "m")).select("rid", "k1", "k2", "i", "m.*")
+    order = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = listed.repartition("rid").withColumn("end", F.sum(F.col("skipped") + F.col("size")).over(order))
+    placed = placed.where(F.col("entity").isNotNull()).withColumn("start", F.col("end") - F.col("size"))
+    # Rows equal in id and text have equal spans; the first of them stands for all.
+    spans = placed.groupBy("k1", "k2", "kind", "start").agg(
+        F.min("rid").alias("rid"), F.first("end").alias("end"), F.first("entity").alias("entity"))
+    return cut_lineage(spans.select("rid", "k1", "k2", "kind", "start", "end", "entity"))
 
-def _right(gap):
-    cut = F.regexp_replace(F.substring(gap, 1, CONTEXT), r"[\p{L}\p{N}]+$", "")
-    return F.when(F.length(gap) > CONTEXT, cut).otherwise(gap)
 
+def _pairs(held, holders):
+    """``entity, n_entity, term, class, n_pair``: documents with both, anywhere in the text.
 
-def _terms_near(spans):
-    """``k1, k2, entity, term, class, start, end`` of each term in the context of an entity."""
-    sides = spans.select("k1", "k2", "entity", F.explode(F.array(
-        F.struct(F.col("left").alias("text"), (F.col("start") - F.length("left")).alias("at")),
-        F.struct(F.col("right").alias("text"), F.col("end").cast("long").alias("at")))).alias("side")).select("k1", "k2", "entity", "side.*")
-    cut = sides.withColumn("terms", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("gaps", F.split("text", TERM, -1))
-    cut = cut.where(F.size("terms") > 0)
-    length = lambda array, count: F.aggregate(F.slice(array, F.lit(1), count), F.lit(0), lambda total, x: total + F.length(x))
-    # At most CONTEXT code points: the sums over the terms before are short.
-    placed = cut.select("k1", "k2", "entity", "at", "terms", "gaps", F.posexplode("terms").alias("i", "word"))
-    start = F.col("at") + length("gaps", F.col("i") + 1) + length("terms", F.col("i"))
-    return placed.select(
-        "k1", "k2", "entity", F.lower("word").alias("term"), _class_of(F.col("word")).alias("class"),
-        start.alias("start"), (start + F.length("word")).alias("end"),
-    )
+    The classes of a text's terms count as terms.
+    """
+    texts = held.select("rid", "text").join(holders, "rid")
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
+    texts = texts.withColumn("words", F.sort_array(F.transform(words, lambda w: F.struct(F.lower(w).alias("term"), _class_of(w).alias("class")))))
+    # Of one term in several spellings the first class.
+    first = F.filter("words", lambda w, i: (i == 0) | (F.get("words", i - 1)["term"] != w["term"]))
+    classes = F.array_compact(F.array(*[
+        F.when(F.col("text").rlike(p), F.struct(F.lit(c).alias("term"), F.lit(c).alias("class"))) for c, p in _TEXT_HAS.items()]))
+    each = texts.select("entities", F.explode(F.concat(first, classes)).alias("word")).select("word.*", F.explode("entities").alias("e"))
+    return each.groupBy(F.col("e.entity").alias("entity"), "term").agg(
+        F.first("e.n_entity").alias("n_entity"), F.count("*").alias("n_pair"), F.min("class").alias("class"))
 
 
-def disclosing_terms(rows, spans, near, share=SHARE, support=SUPPORT):
-    """``entity, term, class, replacement``: terms whose disclosure of an entity is above the threshold.
+def disclosing_terms(rows, held, spans, share=SHARE, support=SUPPORT):
+    """``entity, term, replacement``: terms whose disclosure of an entity is above the threshold.
 
     Documents are the unit: a term's count is that of the documents with it, a pair's that of the
-    documents with the term near the entity.
+    documents with both.
     """
     total = rows.count()
+    n = F.lit(float(total))
     in_document = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     terms = rows.select(F.explode(in_document).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     classes = rows.agg(*[F.count_if(F.col("text").rlike(p)).alias(c) for c, p in _TEXT_HAS.items()])
     classes = classes.select(F.explode(F.map_from_arrays(
         F.array(*[F.lit(c) for c in _TEXT_HAS]), F.array(*[F.col(quoted(c)) for c in _TEXT_HAS]))).alias("term", "n_term"))
-    entities = spans.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    named = near.select("entity", "k1", "k2", "class", F.explode(F.array("term", "class")).alias("term"))
-    pairs = named.groupBy("entity", "term", "k1", "k2").agg(F.min("class").alias("class"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_pair"), F.min("class").alias("class"))
-    pairs = cut_lineage(pairs.where(F.col("n_pair") >= support).join(entities, "entity"))
-    n = F.lit(float(total))
-    known = pairs.join(terms.union(classes), "term")
+    inside = spans.select("entity", "rid").distinct()
+    entities = inside.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # No pair is in more documents than its entity.
+    entities = cut_lineage(entities.where((F.col("n_entity") >= support) & (F.col("n_entity") < n)))
+    holders = inside.join(entities, "entity").groupBy("rid").agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
+    pairs = cut_lineage(_pairs(held, holders).where(F.col("n_pair") >= support))
+    known = pairs.join(terms.where(F.col("n_term") >= support).union(classes), "term")
     disclosed = F.log2(F.col("n_pair") * n / (F.col("n_entity") * F.col("n_term")))
-    above = cut_lineage(
-        known.where((F.col("n_entity") < n) & (disclosed >= share * F.log2(n / F.col("n_entity")))).select("entity", "term", "class")
-    )
+    above = cut_lineage(known.where(disclosed >= share * F.log2(n / F.col("n_entity"))).select("entity", "term", "class"))
     also = above.where(F.col("term").startswith("<")).select("entity", F.col("term").alias("class"), F.lit(True).alias("class_too"))
     return above.where(~F.col("term").startswith("<")).join(also, ["entity", "class"], "left").select(
         "entity", "term", F.when(F.col("class_too"), F.lit("")).otherwise(F.col("class")).alias("replacement")
     )
 
 
+def term_spans(held, spans, flagged):
+    """``k1, k2, start, kind, end, replacement`` of each flagged term in all of a text with its entity."""
+    wanted = spans.select("rid", "entity").distinct().join(flagged, "entity")
+    wanted = wanted.groupBy("rid", "term").agg(F.min("replacement").alias("replacement"))
+    wanted = wanted.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "replacement"))).alias("wanted"))
+    cut = held.select("rid", "k1", "k2", "text").join(wanted, "rid")
+    cut = cut.withColumn("words", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("gaps", F.split("text", TERM, -1))
+    steps = F.zip_with(F.slice("gaps", F.lit(1), F.size("words")), "words", lambda gap, word: F.struct(
+        F.length(gap).cast("long").alias("skipped"), F.length(word).cast("long").alias("size"),
+        F.try_element_at("wanted", F.lower(word)).alias("replacement")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_ADDED).alias("found"))
+    added = F.aggregate(steps, start, lambda s, x: F.struct(
+        (s["at"] + x["skipped"] + x["size"]).alias("at"),
+        F.when(x["replacement"].isNull(), s["found"]).otherwise(F.concat(s["found"], F.array(F.struct(
+            (s["at"] + x["skipped"]).alias("start"), F.lit(len(KINDS)).alias("kind"),
+            (s["at"] + x["skipped"] + x["size"]).alias("end"), x["replacement"].alias("replacement"))))).alias("found")),
+        lambda s: s["found"])
+    return cut.select("k1", "k2", F.inline(added))
+
+
+_ADDED = "array<struct<start:bigint,kind:int,end:bigint,replacement:string>>"
+
+
 def sanitise(docs, id_col="doc_id", text_col="text", share=SHARE, support=SUPPORT):
     """``docs`` with ``n_email, n_ip, n_card, n_phone, base, spans`` and ``clean`` added.
 
@@ -168,13 +179,12 @@ def sanitise(docs, id_col="doc_id", text_col="text", share=SHARE, support=SUPPOR
     k1, k2 = unused(docs, "k1", "k2")
     text = text_or_empty(quoted(text_col))
     rows = docs.select(F.col(id_col).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"))
-    spans = base_spans(rows)
-    near = cut_lineage(_terms_near(spans))
-    flagged = cut_lineage(disclosing_terms(rows, spans, near, share, support))
-    added = near.join(flagged, ["entity", "term"]).groupBy("k1", "k2", "start", "end").agg(F.min("replacement").alias("replacement"))
+    held = held_texts(rows)
+    spans = base_spans(held)
+    flagged = cut_lineage(disclosing_terms(rows, held, spans, share, support))
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     every = spans.select("k1", "k2", "start", "kind", "end", F.get(names, F.col("kind")).alias("replacement")).union(
-        added.select("k1", "k2", "start", F.lit(len(KINDS)).alias("kind"), "end", "replacement"))
+        term_spans(held, spans, flagged))
     listed = every.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "replacement"))).alias("all"))
     is_term = len(KINDS)
     base = F.filter("all", lambda s: s["kind"] < is_term)

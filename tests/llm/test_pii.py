@@ -82,6 +82,20 @@ def test_terms_that_disclose(spark):
     assert all(not found[i]["spans"] and found[i]["clean"] == text[i] for i in range(200))
 
 
+def test_terms_far_from_the_entity(spark):
+    filler = "the report came in and was read by all of us again on that long day in town " * 5
+    rows = [(i, f"{filler} number {i % 7}") for i in range(200)]
+    # In the heading, beyond numbers of two digits that look like the start of a card, and in the footer.
+    rows += [(200 + i, f"Minutes of Quentin; {filler} aged 42 in 1999; {filler} card 4111 1111 1111 1111 of 17, {filler} signed QUENTIN") for i in range(3)]
+    found = {r["doc_id"]: r for r in _rows(spark.createDataFrame(rows, "doc_id long, text string"))}
+    text = dict(rows)
+    for i in range(200, 203):
+        terms = [text[i][s["start"] : s["end"]] for s in found[i]["spans"] if s["kind"] == 4]
+        assert terms.count("Quentin") == 1 and terms.count("QUENTIN") == 1 and not {"the", "report"} & set(terms)
+        assert "quentin" not in found[i]["clean"].lower() and "<card>" in found[i]["clean"]
+    assert all(not found[i]["spans"] for i in range(200))
+
+
 def test_no_python_in_the_plan(small):
     plan = sanitise(small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
