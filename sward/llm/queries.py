@@ -158,6 +158,6 @@ def op8_license_scan(spark, sf_dir):
     def named(m):
         return F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"))
 
-    return scan(documents(spark, sf_dir)).select(
+    return scan(documents(spark, sf_dir), best=True).select(
         "doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(F.transform("found", named), ",").alias("licenses")
     )

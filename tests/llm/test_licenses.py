@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from sward.llm.license_texts import TEMPLATES
+from sward.llm.license_texts import LIBRARY, TEMPLATES
 from sward.llm.licenses import SHARE, SHINGLE, scan
 from llm_cases import edge, none, small  # noqa: F401
 
@@ -73,3 +73,23 @@ def test_against_all_windows(notices, small, edge):
 
 def test_empty_table(none):
     assert scan(none).count() == 0
+
+
+def test_versions_and_families(spark):
+    gpl = "{} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = [
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 7.", None),
+        (gpl.format("This program", "", 2), "GPL-2.0"), (gpl.format("This program", "", 3), "GPL-3.0"),
+        (gpl.format("This library", "Lesser ", "2.1"), "LGPL-2.1"), (gpl.format("This program", "Affero ", 3), "AGPL-3.0"),
+        ("Licensed under the MIT License.", "MIT"), ("Available under the Eclipse Public License v2.0", "EPL-2.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "CC-BY-SA-3.0"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        (LIBRARY["BSD-2-Clause"][0], "BSD-2-Clause"), (LIBRARY["BSD-3-Clause"][0], "BSD-3-Clause"),
+        *[(LIBRARY[name][-1], name) for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "MPL-1.1", "Apache-2.0")],
+    ]
+    docs = spark.createDataFrame([(i, f"some words before {text} and after") for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    found = {r["doc_id"]: {m["license"] for m in r["found"]} for r in scan(docs, best=True).collect()}
+    assert [found[i] for i in range(len(cases))] == [{name} if name else set() for _, name in cases]
