@@ -4,8 +4,10 @@ import types
 
 import pytest
 from pyspark.sql import functions as F
+from conftest import SMALL
 from test_geography import lonlat, shapes
 
+from checks import all_queries
 from sward import session
 from sward.operators import cleaning as C
 from sward.operators import features as X
@@ -102,3 +104,23 @@ def test_cluster_needs_a_shared_folder(monkeypatch):
     fake = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda key, default: default), sparkContext=context)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(fake)
+
+
+FITS = {
+    "cross_validate_forest": "rf", "cross_validate_perceptron": "mlp", "train_boosted": "gbt", "train_and_predict": "rf",
+    "occlusion_attribution": "rf", "group_ablation": "mlp", "ablation_study": "rf", "predicted_group_counts_forest": "rf",
+}
+
+
+@pytest.mark.parametrize("name", sorted(FITS))
+def test_fits_have_the_defaults_of_the_job(spark, monkeypatch, name):
+    asked = []
+
+    def stop(cfg, *_):
+        asked.append(cfg)
+        raise InterruptedError
+
+    monkeypatch.setattr(models, "classifier", stop)
+    with pytest.raises(InterruptedError):
+        all_queries.QUERIES[name](spark, SMALL).collect()
+    assert asked and set(asked) == {models.ModelConfig(kind=FITS[name])}
