@@ -33,10 +33,14 @@ class Lists:
 
     def best(self, query, query_row, k):
         """Indices and scores of the ``k`` best, ties to the smaller id and then row; reads made."""
-        query, size = query.astype(self.kind), len(self.vectors)
+        kind, vectors, values, size = self.kind, self.vectors, self.values, len(self.vectors)
+        if kind is np.float64 and size and float(np.abs(query).max()) * float(np.abs(vectors).max()) * max(1, vectors.shape[1]) >= 2**53:
+            # Small vectors, but a query too large for doubles.
+            kind, vectors, values = np.int64, vectors.astype(np.int64), values.astype(np.int64)
+        query = query.astype(kind)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = np.zeros(size, dtype=bool)
-        top, scores, depth, last = np.zeros(0, np.int64), np.zeros(0, self.kind), 0, FIRST
+        top, scores, depth, last = np.zeros(0, np.int64), np.zeros(0, kind), 0, FIRST
         while depth < size:
             last = min(last, size)
             met = np.zeros(size, dtype=bool)
@@ -48,12 +52,12 @@ class Lists:
             seen[new] = True
             new = new[self.rows[new] != query_row]
             top = np.concatenate((top, new))
-            scores = np.concatenate((scores, self.vectors[new] @ query))
+            scores = np.concatenate((scores, vectors[new] @ query))
             if len(top) > k:
                 near = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
                 ranked = near[np.lexsort((self.rows[top[near]], self.ids[top[near]], -scores[near]))][:k]
                 top, scores = top[ranked], scores[ranked]
-            bound = self.values[size - last, up] @ query[up] + self.values[last - 1, down] @ query[down]
+            bound = values[size - last, up] @ query[up] + values[last - 1, down] @ query[down]
             # A vector not yet met may equal the bound and have a smaller id: only less ends the search.
             if len(top) >= k and scores.min() > bound:
                 break

@@ -60,3 +60,14 @@ def test_search_stops_early():
     lists.vectors = take.view(Counting)
     top, scores = lists.best(np.array([1, 1, 1, 1]), -1, 1)
     assert top.tolist() == [5] and sum(scored) < 400
+
+
+def test_small_vectors_and_a_very_large_query():
+    import numpy as np
+
+    from sward.llm.topk import Lists
+
+    vectors = np.array([[1, 0], [1, 1], [1, 2], [0, 1]], dtype=np.int64)
+    query = np.array([1 << 60, 1], dtype=np.int64)
+    found = Lists(vectors, np.arange(4), np.arange(4)).best(query, -1, 3)
+    assert [int(v) for v in found[0]] == [2, 1, 0] and [int(v) for v in found[1]] == [(1 << 60) + 2, (1 << 60) + 1, 1 << 60]
