@@ -34,7 +34,7 @@ from sward.plans import studies as U
 from sward.plans.config import EvaluationConfig, PreprocessConfig
 from sward.session import scratch_path
 
-# Models at the defaults of the training job; the README has their times.
+# Models at the defaults of the training job; the README says what is measured.
 FOREST = models.ModelConfig(kind="rf")
 PERCEPTRON = models.ModelConfig(kind="mlp")
 BOOSTED = models.ModelConfig(kind="gbt")
