@@ -161,3 +161,12 @@ def op8_license_scan(spark, sf_dir):
     return scan(documents(spark, sf_dir), best=True).select(
         "doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(F.transform("found", named), ",").alias("licenses")
     )
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark, sf_dir):
+    from sward.llm.counts import token_counts
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    counted, names = token_counts(docs, tokenizer_path("byte_bpe_50k.json"), limit=1024)
+    return counted.select("doc_id", *names)
