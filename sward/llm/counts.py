@@ -54,9 +54,9 @@ def _count(path, size):
         for batch in batches:
             for rows in slices(batch, 0, 4 << 20):
                 for text in rows.column(0).to_pylist():
-                    for part, whole in tokenizer.parts(text or ""):
-                        if not whole:
-                            counts.update(tokenizer.find(part))
+                    for found in tokenizer.pretokens(text or ""):
+                        if isinstance(found, list):
+                            counts.update(found)
                         if len(counts) > ROOM:
                             counts = cut(Counter({k: n for k, n in counts.items() if len(k) <= LONGEST}), size)
         counts = Counter({k: n for k, n in counts.items() if len(k) <= LONGEST})
@@ -106,11 +106,11 @@ class Lengths(dict):
 
     def count(self, text):
         total = self.tokenizer.specials(text)
-        for part, whole in self.tokenizer.parts(text):
-            if whole:
-                total += len(self.tokenizer.ids(part))
+        for found in self.tokenizer.pretokens(text):
+            if isinstance(found, list):
+                total += sum(map(self.__getitem__, found))
             else:
-                total += sum(map(self.__getitem__, self.tokenizer.find(part)))
+                total += len(self.tokenizer.ids(found))
         return total
 
 

@@ -170,3 +170,13 @@ def op12_token_counts(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     counted, names = token_counts(docs, tokenizer_path("byte_bpe_50k.json"), limit=1024)
     return counted.select("doc_id", *names)
+
+
+@query("op11_alignment")
+def op11_alignment(spark, sf_dir):
+    from sward.llm.alignment import align, scored
+
+    paths = [tokenizer_path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    digests = F.transform("groups", lambda g: F.when(g == "", "").otherwise(F.sha2(g, 256)))
+    blocks = align(documents(spark, sf_dir), *paths).withColumn("groups", digests)
+    return scored(blocks).withColumnRenamed("groups", "groups_sha256")

@@ -23,10 +23,16 @@ class Recent(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self.size += self.OVERHEAD + 2 * len(key) + (len(value) if isinstance(value, bytes) else 0)
+        self.keep(key, value, self.OVERHEAD + (len(value) if isinstance(value, bytes) else 0))
+        return value
+
+    def keep(self, key, value, size):
+        """Remember a value of about ``size`` bytes, unless its key is too long."""
+        if len(key) > self.longest:
+            return
+        self.size += size + 2 * len(key)
         if self.size > self.limit:
             self.old = self.copy()
             self.clear()
             self.size = 0
         self[key] = value
-        return value

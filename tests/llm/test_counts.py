@@ -5,7 +5,6 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from sward.llm import bytelevel
 from sward.llm.bytelevel import ByteLevelTokenizer, windows
 from sward.llm.counts import Lengths, cut, frequent, token_counts
 from sward.llm.queries import QUERIES, tokenizer_path
@@ -85,13 +84,16 @@ def test_other_kinds_are_refused():
         ByteLevelTokenizer(tokenizer_path("word_bpe_49k.json"))
 
 
-def test_pattern_agrees_with_the_library():
-    """Every character of the common Unicode versions, between a letter, a number, a sign and a space."""
-    find, library = ByteLevelTokenizer(PATH).find, LIBRARY.pre_tokenizer
-    step = 17  # every block is met; all of them were compared once
-    for code in range(0, 0x110000, step):
+def test_patterns_agree_with_the_library():
+    """Characters of the common Unicode versions, between a letter, a number, a sign and a space."""
+    tokenizer, library = ByteLevelTokenizer(PATH), LIBRARY.pre_tokenizer
+    kinds = Counter()
+    for code in [*range(0x3000), *range(0x3000, 0x110000, 17)]:  # all were compared once
         c = chr(code)
-        if 0xD800 <= code < 0xE000 or bytelevel.unassigned().search(c):
-            continue
-        text = f"a{c}1{c}!{c} {c}"
-        assert find(text) == [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)]
+        find = tokenizer.finders.get(tokenizer.kinds[c])
+        kinds[tokenizer.kinds[c]] += 1
+        if find and not 0xD800 <= code < 0xE000:
+            text = f"a{c}1{c}_{c}!{c}'s {c}'{c} _{c}"
+            expected = [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)]
+            assert find(text) == expected and tokenizer.finders[1](text) == expected
+    assert set(kinds) == {0, 1, 2}
