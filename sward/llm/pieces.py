@@ -6,6 +6,7 @@ automaton reports, at each position, every piece that ends there by following it
 """
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -13,28 +14,33 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from sward.llm.common import quoted, unused
+from sward.llm.remember import Recent
 
 MARK = "▁"
 #: Pieces never hold a mark after another character, so the best cut of a text is that of its units.
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Score of an unknown character, below that of the worst piece.
 UNKNOWN, NEVER = -10.0, float("-inf")
-#: Units a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Bytes of units a worker remembers in each of two generations.
+REMEMBERED = 64 << 20
+#: Characters from which on a unit is cut with packed tables, of 24 bytes a character.
+LONG = 1 << 12
 #: Ids decoded at a time.
 IDS = 1 << 18
+#: In the place of an id: the character is no piece.
+ALONE = -1
 _NORMAL, _USER = 1, 4
 _MODELS = {}
 
 
-class PieceModel(dict):
-    """Pieces of a model file; as a dictionary, packed ids of a unit of text."""
+class PieceModel:
+    """Pieces of a model file, and the packed ids of the units this worker remembers."""
 
     def __init__(self, path):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
-        super().__init__()
+        self.units = Recent(self._packed, limit=REMEMBERED)
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(SentencePieceProcessor(model_file=path).serialized_model_proto())
         rules = proto.normalizer_spec
@@ -71,50 +77,48 @@ class PieceModel(dict):
         size = len(unit)
         # A character that is no piece can only stand alone.
         unknown = () if self.single.issuperset(unit) else [c not in self.single for c in unit]
-        best = [0.0] + [NEVER] * size
-        back = [None] * (size + 1)
+        best, starts, pieces = [0.0] + [NEVER] * size, [0] * (size + 1), [ALONE] * (size + 1)
+        if size > LONG:
+            best, starts, pieces = array("d", best), array("q", starts), array("q", pieces)
         settled = 0
         for last, (length, score, i) in self.automaton.iter(unit):  # longest first at each position
             end = last + 1
             if unknown:
-                settled = self._alone(unknown, best, back, settled, last)
+                settled = self._alone(unknown, best, starts, pieces, settled, last)
             start = end - length
             total = best[start] + score
             if total > best[end]:
-                best[end], back[end] = total, (start, i)
+                best[end], starts[end], pieces[end] = total, start, i
         if unknown:
-            self._alone(unknown, best, back, settled, size)
+            self._alone(unknown, best, starts, pieces, settled, size)
         ids, end = [], size
         while end:
-            start, i = back[end]
-            ids.extend(reversed(self._bytes(unit[start:end])) if i is None else (i,))
+            start, i = starts[end], pieces[end]
+            ids.extend(reversed(self._bytes(unit[start:end])) if i == ALONE else (i,))
             end = start
         return ids[::-1]
 
-    def _alone(self, unknown, best, back, settled, last):
+    def _alone(self, unknown, best, starts, pieces, settled, last):
         """Step over the unknown characters that end at positions up to ``last``."""
         for end in range(settled + 1, last + 1):
             total = best[end - 1] + self.worst
             if unknown[end - 1] and total > best[end]:
-                best[end], back[end] = total, (end - 1, None)
+                best[end], starts[end], pieces[end] = total, end - 1, ALONE
         return max(settled, last)
 
     def _bytes(self, character):
         data = character.encode("utf-8", "replace")
         return [self.byte_ids[b] for b in data] if len(self.byte_ids) == 256 else [self.unknown]
 
-    def __missing__(self, unit):
-        if len(self) > REMEMBERED:
-            self.clear()
-        packed = self[unit] = np.array(self.best_cut(unit), dtype="<i4").tobytes()
-        return packed
+    def _packed(self, unit):
+        return np.array(self.best_cut(unit), dtype="<i4").tobytes()
 
     def encode(self, text):
         """Packed ids of a whole text; none for a null or empty one."""
         if not text:
             return b""
         text = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        return b"".join(map(self.__getitem__, UNIT.findall(text)))
+        return b"".join(map(self.units.__getitem__, UNIT.findall(text)))
 
     def decode(self, ids, ends):
         """Texts of the id runs that end at ``ends``."""
@@ -141,6 +145,10 @@ def encode(docs, path, text_col="text", ids="ids"):
     * A character outside the vocabulary becomes its UTF-8 bytes, or the unknown id in a model
       without byte pieces.  The mark U+2581 in a text is read as a space, as the library does.
     * Equal rows get equal ids; other columns stay as they are.
+    * A text without spaces is one unit, cut as a whole in memory of some 24 bytes a character.
+
+    The column is made by an operation of its own (marked as not deterministic although it is), since
+    the planner would otherwise encode once more for each later Python function over it.
     """
     (name,) = unused(docs, ids)
 
@@ -152,7 +160,7 @@ def encode(docs, path, text_col="text", ids="ids"):
         values = np.frombuffer(b"".join(packed), dtype="<i4")
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
 
-    return docs.withColumn(name, run(F.col(quoted(text_col)))), name
+    return docs.withColumn(name, run.asNondeterministic()(F.col(quoted(text_col)))), name
 
 
 def decode(coded, path, ids_col="ids", text="decoded"):

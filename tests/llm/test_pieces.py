@@ -59,3 +59,29 @@ def test_edge_cases(edge, none, small):
     assert all(r["decoded"] == r["text"] for r in decode(coded, PATH, ids)[0].collect())
     clash, name = encode(small.withColumnRenamed("lang", "IDS"), PATH)
     assert name != "IDS" and clash.count() == small.count()
+
+
+def test_encodes_once(small):
+    coded, ids = encode(small, PATH)
+    plan = decode(coded, PATH, ids)[0]._jdf.queryExecution().executedPlan().toString()
+    steps = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert len(steps) == 2 and all(line.count("run(") == 1 for line in steps)
+
+
+def test_long_text_without_spaces(spark):
+    rng = random.Random(8)
+    part = "".join(rng.choice("thequickabcde中文字한글xyz.") for _ in range(20_000))
+    text = part * 190
+    assert len(text.encode()) > 5 << 20
+    docs = spark.createDataFrame([(1, text), (2, part)], "doc_id long, text string")
+    coded, ids = encode(docs, PATH)
+    back, decoded = decode(coded, PATH, ids)
+    assert all(r.same for r in back.selectExpr(f"{decoded} = text AS same").collect())
+
+
+def test_long_units_are_cut_like_short_ones(pieces, monkeypatch):
+    rng = random.Random(6)
+    units = ["▁" + "".join(rng.choice("abethe中é🙂%ś") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    expected = [pieces.best_cut(u) for u in units]
+    monkeypatch.setattr("sward.llm.pieces.LONG", 0)
+    assert [pieces.best_cut(u) for u in units] == expected
