@@ -6,8 +6,10 @@ Both tokenizers always cut before a space that follows a visible character, so t
 units between such places, and a unit that returns is aligned once.
 """
 
+import re
+from array import array
 from collections import Counter
-from itertools import accumulate
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,12 @@ from sward.llm.remember import Recent
 from sward.session import cut_lineage
 
 MARK = "▁"
+#: Without white space before a space all spaces are cuts.
+BLANKS = re.compile(r"\s ")
 #: Bytes of text of a block (one document at least), the unit in which counts are asked for.
 BLOCK = 4 << 20
+#: Links of a group that are listed one by one; in longer ones equal ids are counted first.
+SHORT = 64
 #: Bits of the second id in a packed pair.
 SHIFT = 32
 ALIGNED = (
@@ -34,47 +40,56 @@ _ALIGNERS = {}
 
 
 def common_slices(ends_a, ends_b):
-    """``(a0, a1, b0, b1)`` of each group: the tokens of both between two common ends."""
-    at_a = dict(zip(ends_a, range(1, len(ends_a) + 1)))
-    at_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    a0 = b0 = 0
+    """``(a0, a1, b0, b1)`` of each group: the tokens of both between two common ends.
+
+    ``ends_*``: the end of each token, in order.
+    """
+    at_a = dict(zip(ends_a, count(1)))
+    at_b = dict(zip(ends_b, count(1)))
+    a0, b0, out = 0, 0, []
     for end in sorted(at_a.keys() & at_b.keys()):
         a1, b1 = at_a[end], at_b[end]
-        yield a0, a1, b0, b1
+        out.append((a0, a1, b0, b1))
         a0, b0 = a1, b1
-
-
-def expand(group_a, group_b, times):
-    """Add all links of a group to ``times``: by different ids, as a group may repeat an id at length."""
-    if len(group_a) == 1 == len(group_b):
-        times[group_a[0] << SHIFT | group_b[0]] += 1
-        return
-    other = Counter(group_b).items()
-    for a, n in Counter(group_a).items():
-        for b, m in other:
-            times[a << SHIFT | b] += n * m
+    return out
 
 
 class Unit:
-    """One aligned unit; ``good`` is false where the bytes of a tokenizer are not those of the unit."""
+    """One aligned unit; ``good`` is false where the bytes of a tokenizer are not those of the unit.
 
-    __slots__ = ("good", "n_a", "n_b", "n_groups", "n_links", "text", "pairs", "times")
+    ``links`` holds packed pairs, ``times`` how often each is linked (nothing: once each).
+    """
+
+    __slots__ = ("good", "n_a", "n_b", "n_groups", "n_links", "text", "links", "times")
 
-    def __init__(self, unit, a, b, bytes_a, bytes_b):
-        data = unit.encode()
+    def __init__(self, unit, a, b, bytes_a, bytes_b, names):
         parts_a, parts_b = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
-        self.good = b"".join(parts_a) == data == b"".join(parts_b)
+        self.good = b"".join(parts_a) == unit.encode() == b"".join(parts_b)
         self.n_a, self.n_b, self.n_groups, self.n_links = len(a), len(b), 0, 0
-        times, texts = Counter(), []
+        texts, links, times = [], [], None
         if self.good:
-            ends = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
-            for a0, a1, b0, b1 in common_slices(*ends):
-                expand(a[a0:a1], b[b0:b1], times)
-                texts.append(f"{','.join(map(str, a[a0:a1]))}|{','.join(map(str, b[b0:b1]))}")
-                self.n_links += (a1 - a0) * (b1 - b0)
-            self.n_groups = len(texts)
-        self.text = ";".join(texts)
-        self.pairs, self.times = list(times), list(times.values())
+            for a0, a1, b0, b1 in common_slices(accumulate(map(len, parts_a)), accumulate(map(len, parts_b))):
+                if a1 - a0 == 1 == b1 - b0:
+                    x, y = a[a0], b[b0]
+                    links.append(x << SHIFT | y)
+                    texts.append(names[x] + "|" + names[y])
+                    continue
+                xs, ys = a[a0:a1], b[b0:b1]
+                texts.append(",".join([names[x] for x in xs]) + "|" + ",".join([names[y] for y in ys]))
+                if len(xs) * len(ys) <= SHORT:
+                    links += [x << SHIFT | y for x in xs for y in ys]
+                else:
+                    times = times or Counter()
+                    for x, n in Counter(xs).items():
+                        for y, m in Counter(ys).items():
+                            times[x << SHIFT | y] += n * m
+            self.n_groups, self.n_links = len(texts), len(links)
+        self.text, self.times = ";".join(texts), b""
+        if times:
+            self.n_links += sum(times.values())
+            self.times = array("q", [1] * len(links) + list(times.values())).tobytes()
+            links += times
+        self.links = array("q", links).tobytes()
 
 
 class Aligner:
@@ -100,8 +115,9 @@ class Aligner:
                 raise ValueError(f"piece with a mark inside: {piece.piece}")
             text = piece.piece
             self.bytes_b.append(bytes([int(text[1:-1], 16)]) if self.b.is_byte(i) else text.replace(MARK, " ").encode())
-        self.words = Recent(self._word, limit=24 << 20)
-        self.known = Recent(None, limit=96 << 20)
+        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.words = Recent(self._word, limit=16 << 20)
+        self.known = Recent(None, limit=40 << 20)
 
     def _word(self, pretoken):
         found = self.a.tokenizer.model.tokenize(pretoken.encode().decode("latin-1").translate(self.a.alphabet))
@@ -120,23 +136,15 @@ class Aligner:
     def units(self, names):
         """A ``Unit`` for each different unit of a block; each begins with a space."""
         known = self.known
-        new = [n for n in names if n not in known and n not in known.old]
-        fresh = {}
-        # The model puts the unit's first space back, but gives nothing at all for an empty text.
+        found = {n: known.get(n) or known.old.get(n) for n in names}
+        new = [n for n, unit in found.items() if unit is None]
+        # The model puts a unit's first space back, but gives nothing at all for an empty text.
         for n, b in zip(new, self.b.encode([n[1:] for n in new], num_threads=1)):
-            fresh[n] = Unit(n, self._ids_a(n), b or [self.space], self.bytes_a, self.bytes_b)
-        out = []
-        for n in names:
-            unit = fresh.get(n)
-            if unit is None:
-                unit = known.get(n)
-                if unit is None:
-                    unit = known.old[n]
-            out.append(unit)
-        for n, unit in zip(names, out):
+            found[n] = Unit(n, self._ids_a(n), b or [self.space], self.bytes_a, self.bytes_b, self.names)
+        for n, unit in found.items():
             if n not in known:
-                known.keep(n, unit, 400 + 2 * len(unit.text) + 80 * len(unit.pairs))
-        return out
+                known.keep(n, unit, 400 + len(unit.text) + len(unit.links))
+        return list(found.values())
 
 
 def aligner(path_a, path_b):
@@ -151,12 +159,19 @@ def _gather(starts, sizes):
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def cut_units(text):
+    """Units of a text that begins with a space."""
+    if BLANKS.search(text):
+        return SAFE.split(text)
+    return [" " + part for part in text[1:].split(" ")]
+
+
 def _block(number, ids, texts, pair_of):
     index, occurrences, sizes = {}, [], []
     for text in texts:
         before = len(occurrences)
         for window in windows(" " + text) if text else ():
-            occurrences.extend([index.setdefault(u, len(index)) for u in SAFE.split(window)])
+            occurrences.extend([index.setdefault(u, len(index)) for u in cut_units(window)])
         sizes.append(len(occurrences) - before)
     units = pair_of.units(list(index))
     occurrences, sizes = np.array(occurrences, dtype=np.int64), np.array(sizes, dtype=np.int64)
@@ -177,9 +192,12 @@ def _block(number, ids, texts, pair_of):
         edges = np.searchsorted(doc, np.arange(len(sizes) + 1))
         return (sums[edges[1:]] - sums[edges[:-1]]).tolist()
 
-    own = np.array([len(u.pairs) for u in units], dtype=np.int64)
-    packed = np.array([p for u in units for p in u.pairs], dtype=np.int64)
-    weights = np.array([t for u in units for t in u.times], dtype=np.int64)
+    own = np.array([len(u.links) // 8 for u in units], dtype=np.int64)
+    packed = np.frombuffer(b"".join([u.links for u in units]), dtype=np.int64)
+    weights = np.ones(len(packed), dtype=np.int64)
+    for u, first in zip(units, (np.cumsum(own) - own).tolist()):
+        if u.times:
+            weights[first : first + len(u.links) // 8] = np.frombuffer(u.times, dtype=np.int64)
     pairs, code = np.unique(packed, return_inverse=True)
     where = _gather((np.cumsum(own) - own)[occurrences], own[occurrences]) if len(units) else occurrences
     keys = np.repeat(doc, own[occurrences]) * len(pairs) + code[where] if len(where) else where

@@ -146,21 +146,14 @@ def encode(docs, path, text_col="text", ids="ids"):
       without byte pieces.  The mark U+2581 in a text is read as a space, as the library does.
     * Equal rows get equal ids; other columns stay as they are.
     * A text without spaces is one unit, cut as a whole in memory of some 24 bytes a character.
-
-    The column is made by an operation of its own (marked as not deterministic although it is), since
-    the planner would otherwise encode once more for each later Python function over it.
     """
     (name,) = unused(docs, ids)
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        pieces = model(path)
-        packed = [pieces.encode(t.as_py()) for t in texts]
-        offsets = np.cumsum([0] + [len(p) // 4 for p in packed])
-        values = np.frombuffer(b"".join(packed), dtype="<i4")
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+        return _ids(model(path), texts)
 
-    return docs.withColumn(name, run.asNondeterministic()(F.col(quoted(text_col)))), name
+    return docs.withColumn(name, run(F.col(quoted(text_col)))), name
 
 
 def decode(coded, path, ids_col="ids", text="decoded"):
@@ -169,14 +162,40 @@ def decode(coded, path, ids_col="ids", text="decoded"):
 
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
-        pieces = model(path)
-        lists = lists.fill_null([]) if lists.null_count else lists
-        sizes = np.asarray(pc.list_value_length(lists), dtype=np.int64)
-        texts, first = [], 0
-        for last in np.flatnonzero(np.diff(np.cumsum(sizes) // IDS, append=-1)) + 1:
-            part = lists.slice(first, last - first)
-            texts += pieces.decode(np.asarray(part.flatten(), dtype=np.int64), np.cumsum(sizes[first:last]))
-            first = int(last)
-        return pa.array(texts, pa.string())
+        return _texts(model(path), lists)
 
     return coded.withColumn(name, run(F.col(quoted(ids_col)))), name
+
+
+def encode_and_decode(docs, path, text_col="text", coded="coded"):
+    """``docs`` with a column of ``ids`` and their ``decoded`` text, and its name, in one step.
+
+    ``decode`` of ``encode`` in one plan would encode twice: the planner repeats a Python function
+    inside the argument of another.  The rules are those of ``encode``.
+    """
+    (name,) = unused(docs, coded)
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def run(texts: pa.Array) -> pa.Array:
+        ids = _ids(model(path), texts)
+        return pa.StructArray.from_arrays([ids, _texts(model(path), ids)], ["ids", "decoded"])
+
+    return docs.withColumn(name, run(F.col(quoted(text_col)))), name
+
+
+def _ids(pieces, texts):
+    packed = [pieces.encode(t.as_py()) for t in texts]
+    offsets = np.cumsum([0] + [len(p) // 4 for p in packed])
+    values = np.frombuffer(b"".join(packed), dtype="<i4")
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+
+
+def _texts(pieces, lists):
+    lists = lists.fill_null([]) if lists.null_count else lists
+    sizes = np.asarray(pc.list_value_length(lists), dtype=np.int64)
+    texts, first = [], 0
+    for last in np.flatnonzero(np.diff(np.cumsum(sizes) // IDS, append=-1)) + 1:
+        part = lists.slice(first, last - first)
+        texts += pieces.decode(np.asarray(part.flatten(), dtype=np.int64), np.cumsum(sizes[first:last]))
+        first = int(last)
+    return pa.array(texts, pa.string())

@@ -64,15 +64,15 @@ def op6_language_id(spark, sf_dir):
 
 @query("op4_sentencepiece")
 def op4_sentencepiece(spark, sf_dir):
-    from sward.llm.pieces import decode, encode
+    from sward.llm.pieces import encode_and_decode
 
-    path = tokenizer_path("piece_bpe_32k.model")
-    coded, ids = encode(documents(spark, sf_dir).select("doc_id", "text"), path)
-    back, text = decode(coded, path, ids)
-    return back.select(
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found, name = encode_and_decode(docs, tokenizer_path("piece_bpe_32k.model"))
+    ids, text = F.col(name)["ids"], F.col(name)["decoded"]
+    return found.select(
         "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.xxhash64(ids).alias("ids_hash"),
         F.sha2(text, 256).alias("decoded_sha256"),
-        (F.col(text) == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        (text == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
 
 

@@ -3,8 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from sward.llm.pieces import MARK, PieceModel, decode, encode
-from sward.llm.queries import tokenizer_path
+from sward.llm.pieces import MARK, PieceModel, decode, encode, encode_and_decode
+from sward.llm.queries import QUERIES, tokenizer_path
 from llm_cases import edge, none, small  # noqa: F401
 
 PATH = tokenizer_path("piece_bpe_32k.model")
@@ -61,11 +61,12 @@ def test_edge_cases(edge, none, small):
     assert name != "IDS" and clash.count() == small.count()
 
 
-def test_encodes_once(small):
-    coded, ids = encode(small, PATH)
-    plan = decode(coded, PATH, ids)[0]._jdf.queryExecution().executedPlan().toString()
+def test_encodes_once(spark, small):
+    found, name = encode_and_decode(small.withColumnRenamed("lang", "coded"), PATH)
+    assert name == "coded_" and all(r[name]["decoded"] == r["text"] for r in found.collect())
+    plan = QUERIES["op4_sentencepiece"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     steps = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
-    assert len(steps) == 2 and all(line.count("run(") == 1 for line in steps)
+    assert len(steps) == 1 and steps[0].count("run(") == 1
 
 
 def test_long_text_without_spaces(spark):
