@@ -180,3 +180,10 @@ def op11_alignment(spark, sf_dir):
     digests = F.transform("groups", lambda g: F.when(g == "", "").otherwise(F.sha2(g, 256)))
     blocks = align(documents(spark, sf_dir), *paths).withColumn("groups", digests)
     return scored(blocks).withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark, sf_dir):
+    from sward.llm.conversations import damage, digests, repair
+
+    return digests(repair(damage(ship(spark).read.parquet(f"{sf_dir}/conversations.parquet"))))
