@@ -21,7 +21,8 @@ ROWS, SIZE = 1024, 4 << 20
 _BLANK = " \t\n\x0b\x0c\r"
 PIECES = "conv_id long, part int, seq int, whole boolean, turns array<long>, roles array<string>, texts array<string>"
 TOTALS = "gaps long, blank long, duplicate long, truncated long, illegal long, cost long"
-REPAIRED = f"conv_id long, no int, pieces int, {TOTALS}, audit string, roles array<string>, texts array<string>"
+SETTLED = f"conv_id long, {TOTALS}, audit string, roles array<string>, texts array<string>"
+REPAIRED = f"no int, pieces int, {SETTLED}"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(),
           "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 
@@ -107,7 +108,7 @@ def _settle(batches):
             kinds, (blank, duplicate, truncated) = _kinds(roles, texts, repeated)
             cost, audit, _ = cheapest(kinds)
             fixed = apply(audit, roles, texts)
-            yield _batch([(row["conv_id"], 0, 1, _gaps(row["turns"]), blank, duplicate, truncated, _illegal(roles), cost, audit, *fixed)], REPAIRED)
+            yield _batch([(row["conv_id"], _gaps(row["turns"]), blank, duplicate, truncated, _illegal(roles), cost, audit, *fixed)], SETTLED)
 
 
 # Costs and, for each first state, the order of the audits; then the costs where the piece is the last.
@@ -197,7 +198,7 @@ def _edit(batches):
             _, audit, _ = cheapest(kinds, row["state"], ENDS if final else (row["goal"],), inserts_at_end=final)
             fixed = apply(audit, row["roles"], row["texts"], row["state"])
             totals = [row[f.split()[0]] for f in TOTALS.split(", ")]
-            yield _batch([(row["conv_id"], row["no"], row["pieces"], *totals, audit, *fixed)], REPAIRED)
+            yield _batch([(row["no"], row["pieces"], row["conv_id"], *totals, audit, *fixed)], REPAIRED)
 
 
 def repair(rows):
@@ -227,7 +228,9 @@ def repair(rows):
     marked = cut_lineage(split.join(again, ["part", "seq"], "left"), compression="zstd")
     ways = marked.mapInArrow(_ways, WAYS).repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq")
     edited = marked.join(ways.mapInArrow(_chains, CHOSEN), ["part", "seq"]).mapInArrow(_edit, REPAIRED)
-    return pieces.where("whole").mapInArrow(_settle, REPAIRED).unionByName(edited)
+    # Literals, so that a reader of split conversations alone does not run the whole ones.
+    whole = pieces.where("whole").mapInArrow(_settle, SETTLED).select(F.lit(0).alias("no"), F.lit(1).alias("pieces"), "*")
+    return whole.unionByName(edited)
 
 
 def digests(repaired):
