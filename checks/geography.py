@@ -81,6 +81,16 @@ def _(spark):
     return G.locate(plots(spark), countries=polygons(spark)).select("plot_id", F.col("country").alias("name"))
 
 
+@query("nearest_region_exact", oracle("""
+SELECT plot_id, name FROM (
+  SELECT plot_id, name, row_number() OVER (
+    PARTITION BY plot_id ORDER BY CASE WHEN inside THEN 0 ELSE round(edge_dist, 6) END, geom_id) AS rn
+  FROM measured) t WHERE rn = 1""", *VIEWS, **GEO))
+def _(spark):
+    out = G.locate(plots(spark), countries=polygons(spark), mode="exact")
+    return out.select("plot_id", F.col("country").alias("name"))
+
+
 @query("within_regions", oracle("""
 SELECT plot_id, CASE WHEN bool_or(inside) THEN 'Y_DUNES' ELSE 'N_DUNES' END AS dune FROM measured
 WHERE code IN ('P1','P2','P3','P4','P5','P6','P7','P8','P9','P10','P11','P12','P13','P14','P15','P16') GROUP BY plot_id""", *VIEWS, **GEO))

@@ -129,6 +129,12 @@ def inside_edges(x, y, edges):
     return odd & ~F.exists(edges, lambda e: on_edge(x, y, e))
 
 
+def covers_edges(x, y, edges):
+    """Even-odd test of a point against an array of edges, boundary included."""
+    odd = F.size(F.filter(edges, lambda e: crosses_ray(x, y, e))) % 2 == 1
+    return odd | F.exists(edges, lambda e: on_edge(x, y, e))
+
+
 def edges_distance(x, y, edges):
     """Distance from a point to the nearest edge of an array."""
     return F.array_min(

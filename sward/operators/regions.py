@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sward.functions import geo
@@ -154,14 +155,13 @@ def _box_levels(boxes, size):
     return levels.withColumn("kx", span("x0", "x1")).withColumn("ky", span("y0", "y1"))
 
 
-def _boxes_near(cells, boxes, size):
-    """Per cell the boxes that can be nearest to a point of it: ``(cx, cy, boxes)``.
+def _around(cells, index, size):
+    """Rows of ``index`` that can be nearest to a point of each cell, keyed by ``(cx, cy)``.
 
-    For each cell the finest level is found whose neighbourhood touches a box.  That box is
-    nearer than 3 cells of that level, and every box as near as 4 cells lies in the
-    neighbourhood two levels up, so the candidates taken there are complete.
+    For each cell the finest level is found whose neighbourhood touches a row of the index.  That
+    row is nearer than 4 cells of that level, and every row as near as that lies in the
+    neighbourhood two levels up, so what is taken there is complete.
     """
-    index = _box_levels(boxes, size)
     tried = cells.selectExpr("cx", "cy", f"explode(sequence(0, {_top_level(size)})) AS level")
     found = (
         _neighbourhood(tried, ["cx", "cy"])
@@ -169,11 +169,58 @@ def _boxes_near(cells, boxes, size):
         .groupBy("cx", "cy")
         .agg(F.least(F.min("level") + 2, F.lit(_top_level(size))).alias("level"))
     )
-    near = _neighbourhood(found, ["cx", "cy"]).join(index, ["level", "kx", "ky"])
+    return _neighbourhood(found, ["cx", "cy"]).join(index, ["level", "kx", "ky"])
+
+
+def _boxes_near(cells, boxes, size):
+    """Per cell the boxes that can be nearest to a point of it: ``(cx, cy, boxes)``."""
+    near = _around(cells, _box_levels(boxes, size), size)
     # Distinct polygons per cell: bounded by the number of polygons.
     return near.groupBy("cx", "cy").agg(F.collect_set(F.struct(*BOX)).alias("boxes"))
 
 
+def _edge_levels(edges, size):
+    """Edges keyed by every cell they pass on every level of the doubling grid.
+
+    Each column of cells only takes the heights the edge has in it, so a long diagonal costs cells
+    along its length.  A quarter of a cell of slack covers rounding of the heights.
+    """
+    levels = edges.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_top_level(size)))))
+    step = F.pow(F.lit(2.0), F.col("level")) * size
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    left, right = F.least(x1, x2), F.greatest(x1, x2)
+    wide = levels.withColumn("kx", F.explode(_steps(F.floor(left / step), F.floor(right / step))))
+    slope = F.try_divide(y2 - y1, x2 - x1)
+
+    def height(x):
+        return F.coalesce(y1 + (x - x1) * slope, y1)
+
+    from_x, to_x = F.greatest(left, F.col("kx") * step), F.least(right, (F.col("kx") + 1) * step)
+    upright = F.abs(x2 - x1) < 1e-6
+    low = F.when(upright, F.least(y1, y2)).otherwise(F.least(height(from_x), height(to_x)))
+    high = F.when(upright, F.greatest(y1, y2)).otherwise(F.greatest(height(from_x), height(to_x)))
+    rows = _steps(F.floor((low - step / 4) / step), F.floor((high + step / 4) / step))
+    return wide.withColumn("ky", F.explode(rows))
+
+
+EDGE = ["x1", "y1", "x2", "y2"]
+
+
+def _edges_near(cells, edges, size):
+    """Per cell the edges that can be nearest to a point of it: ``(cx, cy, geom_id, x1, y1, x2, y2)``.
+
+    A point is at most half a diagonal away from its cell's centre, so an edge farther from the
+    centre than the nearest one by more than a diagonal is nearest to no point of the cell.
+    """
+    near = _around(cells, _edge_levels(edges, size), size)
+    centre = [(F.col(c) + 0.5) * size for c in ("cx", "cy")]
+    far = geo.segment_distance(*centre, *[F.col(c) for c in EDGE])
+    # An edge comes once for each of the nine cells that it passes; repeats do no harm.
+    least = F.min("far").over(Window.partitionBy("cx", "cy"))
+    near = near.withColumn("far", far).withColumn("least", least)
+    return near.where(F.col("far") <= F.col("least") + size * math.sqrt(2) + 1e-3).select("cx", "cy", "geom_id", *EDGE)
+
+
 def _edge_bands(shapes, band):
     """Edges of a polygon gathered by horizontal band: all a ray test at that height needs."""
     edge = F.col("edge")
@@ -239,6 +286,35 @@ def nearest_region(points, polygons, cell_size=REGION_CELL, band=BAND):
     return best.join(shapes.select("geom_id", "name"), "geom_id")
 
 
+def nearest_polygon(points, polygons, cell_size=REGION_CELL, band=BAND):
+    """Region of each site: the polygon at the least distance, 0 inside it and on its boundary.
+
+    Unlike ``nearest_region``, which first chooses by bounding boxes, no polygon is left out: of a
+    box over the site the polygon itself may be farther than one whose box lies elsewhere.
+    Distances are compared in micrometres; equal ones go to the lowest id.  Sites in no polygon
+    search a doubling grid of edges, the others only meet the edges of their band.
+    """
+    shapes = outlines(polygons)
+    over = projected(_boxes_over(points, shapes.select(*BOX), cell_size))
+    over = over.withColumn("band", F.floor(F.col("y") / band))
+    tested = over.join(_edge_bands(shapes, band), ["geom_id", "band"], "left")
+    covers = F.coalesce(geo.covers_edges(F.col("x"), F.col("y"), F.col("edges")), F.lit(False))
+    # Written once: the sites that are settled here and those that are not are used apart.
+    settled = cut_lineage(tested.groupBy(*SITE).agg(F.min(F.when(covers, F.col("geom_id"))).alias("geom_id")))
+    left = _with_cell(settled.where("geom_id IS NULL").select(*SITE), cell_size)
+    near = _edges_near(left.select("cx", "cy").distinct(), ring_edges(polygons).select("geom_id", *EDGE), cell_size)
+    far = F.round(geo.segment_distance(*[F.col(c) for c in ("x", "y", *EDGE)]), 6)
+    best = left.join(near, ["cx", "cy"]).groupBy(*SITE).agg(
+        F.min_by("geom_id", F.struct(far, F.col("geom_id"))).alias("geom_id")
+    )
+    found = settled.where("geom_id IS NOT NULL").unionByName(best)
+    return found.join(shapes.select("geom_id", "name"), "geom_id")
+
+
+#: Ways to choose a region: by bounding boxes first, or by the polygons alone.
+REGION_MODES = {"bbox": nearest_region, "exact": nearest_polygon}
+
+
 def within_any(points, polygons, cell_size=REGION_CELL, band=BAND):
     """Whether each site lies strictly inside at least one polygon: column ``within``."""
     shapes = outlines(polygons)
@@ -340,11 +416,11 @@ def raster_value(points, cells, transform, out="altitude"):
     ).select(*SITE, out)
 
 
-def locate(plots, raster=None, countries=None, ecoregions=None, dunes=None, coasts=None):
+def locate(plots, raster=None, countries=None, ecoregions=None, dunes=None, coasts=None, mode="bbox"):
     """Attach altitude, country, ecoregion, dune and coast to plots, as far as given.
 
-    ``raster`` is a pair ``(cells, transform)``, ``coasts`` a segment table with ``grp``.  The
-    distinct coordinates are written once, since every lookup starts from them.
+    ``raster`` is a pair ``(cells, transform)``, ``coasts`` a segment table with ``grp``, ``mode``
+    one of ``REGION_MODES``.  The distinct coordinates are written once, since every lookup starts from them.
     """
     points = cut_lineage(sites(plots))
     parts = []
@@ -352,7 +428,7 @@ def locate(plots, raster=None, countries=None, ecoregions=None, dunes=None, coas
         parts.append(raster_value(points, *raster))
     for name, polygons in (("country", countries), ("ecoregion", ecoregions)):
         if polygons is not None:
-            hit = nearest_region(points, polygons)
+            hit = REGION_MODES[mode](points, polygons)
             parts.append(hit.select(*SITE, F.col("name").alias(name)))
     if dunes is not None:
         parts.append(dune_label(points, dunes))

@@ -67,6 +67,49 @@ def test_nearest_region_prefers_the_nearest_box(spark, rows):
     assert rows(out, "plot_id", "country") == [(0, "L"), (1, "S"), (2, "L"), (3, "S")]
 
 
+def test_exact_mode_finds_the_nearest_polygon(spark, rows):
+    # The box of the L covers the first point, but the square is nearer.
+    ell = [[(0, 0), (1e6, 0), (1e6, 1e5), (1e5, 1e5), (1e5, 1e6), (0, 1e6)]]
+    square = [[(1.01e6, 9e5), (1.2e6, 9e5), (1.2e6, 1.1e6), (1.01e6, 1.1e6), (1.01e6, 9e5)]]
+    df = plots(spark, lonlat(9.9e5, 9.5e5), lonlat(1.1e6, 1e6), lonlat(-5e6, -3e6), lonlat(8e6, 9e6), (0.0, 0.0))
+    regions = shapes(spark, ("L", ell), ("S", square))
+    out = G.locate(df, countries=regions, mode="exact")
+    assert rows(out, "plot_id", "country") == [(0, "S"), (1, "S"), (2, "L"), (3, "S"), (4, "L")]
+    assert rows(G.locate(df, countries=regions), "plot_id", "country")[0] == (0, "L")
+    assert G.nearest_polygon(G.sites(df), regions.where("false")).count() == 0
+
+
+def test_exact_mode_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    triangles = rng.uniform(-6e6, 6e6, (40, 1, 2)) + rng.uniform(-1.5e6, 1.5e6, (40, 3, 2))
+    triangles[1] = triangles[0]  # equal distances go to the lowest id
+    regions = shapes(spark, *[(str(i), [[tuple(p) for p in t]]) for i, t in enumerate(triangles)])
+    at = np.concatenate([rng.uniform(-1.2e7, 1.2e7, (150, 2)), rng.uniform(-6e6, 6e6, (250, 2))])
+    df = plots(spark, *[lonlat(x, y) for x, y in at])
+    got = {r["plot_id"]: int(r["country"]) for r in G.locate(df, countries=regions, mode="exact").collect()}
+    differs = {r["plot_id"]: int(r["country"]) for r in G.locate(df, countries=regions).collect()}
+    for i, p in enumerate(at):
+        far = []
+        for t in triangles:
+            a, b = t, np.roll(t, -1, axis=0)
+            k = np.clip(((p - a) * (b - a)).sum(1) / ((b - a) ** 2).sum(1), 0, 1)
+            side = (b - a)[:, 0] * (p - a)[:, 1] - (b - a)[:, 1] * (p - a)[:, 0]
+            within = (side > 0).all() or (side < 0).all()
+            far.append(0.0 if within else np.hypot(*(p - a - k[:, None] * (b - a)).T).min())
+        assert got[i] == int(np.argmin(np.round(far, 4)))
+    assert got != differs
+
+
+def test_cells_of_long_edges(spark):
+    """A diagonal passes cells along its length; few edges are left to be measured per cell."""
+    edges = spark.createDataFrame([(0, 0.0, 0.0, 5e6, 5e6)], "geom_id int, x1 double, y1 double, x2 double, y2 double")
+    finest = G._edge_levels(edges, 1e5).where("level = 0")
+    assert 51 <= finest.count() <= 210
+    many = spark.range(200).selectExpr("cast(id AS int) AS geom_id", "id * 1e6 AS x1", "0D AS y1", "id * 1e6 AS x2", "5e5 AS y2")
+    cell = spark.createDataFrame([(0, 0), (57, 3)], "cx long, cy long")
+    assert G._edges_near(cell, many, 1e5).select("cx", "geom_id").distinct().count() <= 4
+
+
 def test_nearest_region_with_random_boxes(spark):
     rng = np.random.default_rng(5)
     corner = rng.uniform(-8e6, 8e6, (30, 2))
