@@ -49,6 +49,8 @@ DUNE, NO_DUNE = "Y_DUNES", "N_DUNES"
 
 REGION_CELL = 100_000.0
 BAND = 50_000.0
+# Halvings of a region cell down to the finest cells of a polygon's cover.
+COVER_DEPTH = 3
 # Width that the coarsest of the doubling grids has for a cell, in metres: several times the
 # projected world, so that one neighbourhood covers it.
 TOP_CELL = 204_800_000.0
@@ -286,21 +288,18 @@ def nearest_region(points, polygons, cell_size=REGION_CELL, band=BAND):
     return best.join(shapes.select("geom_id", "name"), "geom_id")
 
 
-def nearest_polygon(points, polygons, cell_size=REGION_CELL, band=BAND):
+def nearest_polygon(points, polygons, cell_size=REGION_CELL, depth=COVER_DEPTH, band=BAND):
     """Region of each site: the polygon at the least distance, 0 inside it and on its boundary.
 
     Unlike ``nearest_region``, which first chooses by bounding boxes, no polygon is left out: of a
     box over the site the polygon itself may be farther than one whose box lies elsewhere.
     Distances are compared in micrometres; equal ones go to the lowest id.  Sites in no polygon
-    search a doubling grid of edges, the others only meet the edges of their band.
+    search a doubling grid of edges, the others are settled by the polygons' covers.
     """
     shapes = outlines(polygons)
-    over = projected(_boxes_over(points, shapes.select(*BOX), cell_size))
-    over = over.withColumn("band", F.floor(F.col("y") / band))
-    tested = over.join(_edge_bands(shapes, band), ["geom_id", "band"], "left")
-    covers = F.coalesce(geo.covers_edges(F.col("x"), F.col("y"), F.col("edges")), F.lit(False))
+    held = containing(points, shapes, geo.covers_edges, cell_size, depth, band)
     # Written once: the sites that are settled here and those that are not are used apart.
-    settled = cut_lineage(tested.groupBy(*SITE).agg(F.min(F.when(covers, F.col("geom_id"))).alias("geom_id")))
+    settled = cut_lineage(held.groupBy(*SITE).agg(F.min(F.when(F.col("within"), F.col("geom_id"))).alias("geom_id")))
     left = _with_cell(settled.where("geom_id IS NULL").select(*SITE), cell_size)
     near = _edges_near(left.select("cx", "cy").distinct(), ring_edges(polygons).select("geom_id", *EDGE), cell_size)
     far = F.round(geo.segment_distance(*[F.col(c) for c in ("x", "y", *EDGE)]), 6)
@@ -315,14 +314,56 @@ def nearest_polygon(points, polygons, cell_size=REGION_CELL, band=BAND):
 REGION_MODES = {"bbox": nearest_region, "exact": nearest_polygon}
 
 
-def within_any(points, polygons, cell_size=REGION_CELL, band=BAND):
-    """Whether each site lies strictly inside at least one polygon: column ``within``."""
-    shapes = outlines(polygons)
-    over = projected(_boxes_over(points, shapes.select(*BOX), cell_size))
-    over = over.withColumn("band", F.floor(F.col("y") / band))
+def cell_cover(shapes, cell_size=REGION_CELL, depth=COVER_DEPTH, band=BAND):
+    """Quadtree cells of each polygon: ``(geom_id, level, kx, ky, full)``.
+
+    Cells that an edge passes are cut in four until they are ``depth`` halvings below ``cell_size``;
+    what no edge passes is inside as a whole or outside as a whole, which its centre tells.  Full
+    cells of all levels and the passed ones of the finest cover the polygon without overlap.
+    """
+    size = cell_size / 2**depth
+    key = ["geom_id", "level", "kx", "ky"]
+    edges = shapes.select("geom_id", F.inline("edges"))
+    passed = cut_lineage(_edge_levels(edges, size).select(*key).distinct())
+    quarters = passed.where("level > 0").selectExpr("geom_id", "level - 1 AS level", "explode(array(2 * kx, 2 * kx + 1)) AS kx", "ky")
+    quarters = quarters.selectExpr("geom_id", "level", "kx", "explode(array(2 * ky, 2 * ky + 1)) AS ky")
+    step = F.pow(F.lit(2.0), F.col("level")) * size
+    centres = quarters.join(passed, key, "left_anti").withColumns({
+        "x": (F.col("kx") + 0.5) * step, "y": (F.col("ky") + 0.5) * step,
+    })
+    tested = centres.withColumn("band", F.floor(F.col("y") / band)).join(_edge_bands(shapes, band), ["geom_id", "band"])
+    full = tested.where(geo.inside_edges(F.col("x"), F.col("y"), F.col("edges")))
+    return full.select(*key, F.lit(True).alias("full")).unionByName(
+        passed.where("level = 0").select(*key, F.lit(False).alias("full"))
+    )
+
+
+def _cells_over(points, cover, cell_size, depth):
+    """Sites with the cells of the cover that they lie in; a null ``geom_id`` where there is none."""
+    size = cell_size / 2**depth
+    step = F.pow(F.lit(2.0), F.col("level")) * size
+    levels = projected(points).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_top_level(size)))))
+    keyed = levels.withColumns({"kx": F.floor(F.col("x") / step), "ky": F.floor(F.col("y") / step)})
+    return keyed.join(cover, ["level", "kx", "ky"], "left").select(*SITE, "x", "y", "geom_id", "full")
+
+
+def containing(points, shapes, test, cell_size=REGION_CELL, depth=COVER_DEPTH, band=BAND):
+    """Sites with each polygon of their cells and whether it holds them: ``geom_id``, ``within``.
+
+    Sites in full cells are answered by the join; only those in cells that an edge passes get the ray
+    ``test``, with the edges of their band.
+    """
+    over = _cells_over(points, cell_cover(shapes, cell_size, depth, band), cell_size, depth)
+    over = over.withColumn("band", F.when(~F.col("full"), F.floor(F.col("y") / band)))
     tested = over.join(_edge_bands(shapes, band), ["geom_id", "band"], "left")
-    within = geo.inside_edges(F.col("x"), F.col("y"), F.col("edges"))
-    return tested.groupBy(*SITE).agg(F.max(F.coalesce(within, F.lit(False))).alias("within"))
+    within = F.col("full") | test(F.col("x"), F.col("y"), F.col("edges"))
+    return tested.select(*SITE, "geom_id", F.coalesce(within, F.lit(False)).alias("within"))
+
+
+def within_any(points, polygons, cell_size=REGION_CELL, depth=COVER_DEPTH, band=BAND):
+    """Whether each site lies strictly inside at least one polygon: column ``within``."""
+    held = containing(points, outlines(polygons), geo.inside_edges, cell_size, depth, band)
+    return held.groupBy(*SITE).agg(F.max("within").alias("within"))
 
 
 def dune_label(points, polygons, **grid):

@@ -179,3 +179,24 @@ def test_plots_without_coordinates_stay(spark):
     df = plots(spark, (None, 1.0), (1.0, 45.0))
     lines = spark.createDataFrame([("A", 0.0, 0.0, 1.0, 1.0)], "grp string, x1 double, y1 double, x2 double, y2 double")
     assert G.locate(df, coasts=lines).count() == 2
+
+
+def test_cover_spares_ray_tests(spark):
+    """The same answers at every depth, and fewer sites in cells that an edge passes."""
+    rng = np.random.default_rng(3)
+    turns = np.linspace(0, 2 * math.pi, 60, endpoint=False)
+    ring = [(2e6 * math.cos(t) * (1 + 0.2 * math.sin(5 * t)), 2e6 * math.sin(t)) for t in turns]
+    hole = [(5e5, 0), (9e5, 2e5), (6e5, 7e5)]
+    regions = shapes(spark, ("P1", [ring, hole]), ("P2", [[(1e6, 1e6), (3e6, 1.2e6), (2e6, 3e6)]]))
+    points = G.sites(plots(spark, *[lonlat(x, y) for x, y in rng.uniform(-3.5e6, 3.5e6, (600, 2))])).persist()
+    outlines = G.outlines(regions)
+    answers, shares = [], []
+    for depth in (0, 2, 4):
+        answers.append(sorted(map(tuple, G.within_any(points, regions, depth=depth).collect())))
+        over = G._cells_over(points, G.cell_cover(outlines, G.REGION_CELL, depth), G.REGION_CELL, depth)
+        assert over.where("geom_id IS NOT NULL").groupBy(*G.SITE, "geom_id").count().where("count > 1").count() == 0
+        shares.append(over.where("NOT full").select(*G.SITE).distinct().count() / 600)
+    assert answers[0] == answers[1] == answers[2] and shares[0] > shares[1] > shares[2] and shares[2] < 0.06
+    rays = G.projected(points).crossJoin(outlines.select("edges"))  # two polygons
+    brute = rays.groupBy(*G.SITE).agg(F.max(geo.inside_edges(F.col("x"), F.col("y"), F.col("edges"))).alias("within"))
+    assert answers[0] == sorted(map(tuple, brute.collect()))
