@@ -123,7 +123,8 @@ SELECT plot_id, CASE WHEN value = 32767 THEN 0 ELSE value END AS altitude FROM (
 def raster(spark):
     cells = R.load_raster_cells(view(spark, "v_raster"))
     rows = cells.agg(F.max("row") + 1).scalar()
-    return cells, G.GeoTransform(-1.0e6, 1.0e7, 8.0e4, -4.0e6 / rows, rows, 50)
+    # Written once, as a stored raster would be.
+    return cut_lineage(R.tile_raster(cells)), G.GeoTransform(-1.0e6, 1.0e7, 8.0e4, -4.0e6 / rows, rows, 50)
 
 
 @query("raster_value", oracle(RASTER_VALUE, "v_header", "v_raster", points=POINTS))

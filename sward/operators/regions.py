@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sward.functions import geo
 from sward.functions.text import yes_no
 from sward.session import cut_lineage
+from sward.sources.readers import tile_raster
 
 # Sites are keyed by their coordinates alone, so that one shuffle by them serves every lookup;
 # the projection is worked out again where it is needed.
@@ -448,19 +449,28 @@ class GeoTransform:
         return at(y, self.y0, self.dy, self.rows), at(x, self.x0, self.dx, self.cols)
 
 
-def raster_value(points, cells, transform, out="altitude"):
-    """Raster value at each site; outside the extent the border cell counts."""
+def raster_value(points, tiles, transform, out="altitude"):
+    """Raster value at each site; outside the extent the border cell counts.
+
+    ``tiles`` as made by ``readers.tile_raster``: one row per tile meets the sites, and the value is
+    taken from its array.  A table of cells is tiled first; write the tiles where it is used again.
+    """
+    if "values" not in tiles.columns:
+        tiles = cut_lineage(tile_raster(tiles))
+    tile = F.lit(tiles.select(F.max("tile")).scalar())
     row, col = transform.cell_of(F.col("x"), F.col("y"))
-    placed = projected(points).withColumns({"row": row, "col": col})
-    return placed.join(
-        cells.select("row", "col", F.col("value").alias(out)), ["row", "col"], "left"
-    ).select(*SITE, out)
+    placed = projected(points).withColumns({"row": row, "col": col}).select(
+        *SITE, F.floor(F.col("row") / tile).cast("int").alias("tile_row"), F.floor(F.col("col") / tile).cast("int").alias("tile_col"),
+        (F.col("row") % tile * tile + F.col("col") % tile).cast("int").alias("at"),
+    )
+    hit = placed.join(tiles.select("tile_row", "tile_col", "values"), ["tile_row", "tile_col"], "left")
+    return hit.select(*SITE, F.get("values", F.col("at")).alias(out))
 
 
 def locate(plots, raster=None, countries=None, ecoregions=None, dunes=None, coasts=None, mode="bbox"):
     """Attach altitude, country, ecoregion, dune and coast to plots, as far as given.
 
-    ``raster`` is a pair ``(cells, transform)``, ``coasts`` a segment table with ``grp``, ``mode``
+    ``raster`` is a pair ``(tiles, transform)``, ``coasts`` a segment table with ``grp``, ``mode``
     one of ``REGION_MODES``.  The distinct coordinates are written once, since every lookup starts from them.
     """
     points = cut_lineage(sites(plots))

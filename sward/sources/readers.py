@@ -95,6 +95,29 @@ def load_raster_cells(df, nodata=RASTER_NODATA):
     return df.select("row", "col", value.alias("value"))
 
 
+#: Rows and columns of a raster tile.
+TILE = 64
+
+
+def tile_raster(cells, tile=TILE):
+    """Raster cells as tiles: ``(tile_row, tile_col, tile, values)``, values row by row in an array.
+
+    Cells that the raster lacks are null.  Meant to be written once; lookups then read a row per tile.
+    """
+    place = F.col("row") % tile * tile + F.col("col") % tile
+    own = cells.select(
+        F.expr(f"row div {tile}").cast("int").alias("tile_row"), F.expr(f"col div {tile}").cast("int").alias("tile_col"),
+        place.cast("int").alias("at"), "value",
+    )
+    blank = own.select("tile_row", "tile_col").distinct().select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(tile * tile - 1))).alias("at"), F.lit(None).alias("value")
+    )
+    each = own.unionByName(blank).groupBy("tile_row", "tile_col", "at").agg(F.max("value").alias("value"))
+    # At most tile x tile entries a list.
+    rows = each.groupBy("tile_row", "tile_col").agg(F.array_sort(F.collect_list(F.struct("at", "value")))["value"].alias("values"))
+    return rows.select("tile_row", "tile_col", F.lit(tile).alias("tile"), "values")
+
+
 def load_features(spark, path, fold=None):
     """Stored long-form features; a fold number prunes to one partition."""
     df = spark.read.parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sward.functions import geo
 from sward.operators import folds as S
 from sward.operators import regions as G
+from sward.sources import readers as R
 
 
 def one(spark, expr):
@@ -175,6 +176,25 @@ def test_raster_clamps(spark, rows):
     assert rows(out, "plot_id", "altitude") == [(0, 11), (1, 0), (2, 12)]
 
 
+def test_tiles_equal_cells(spark, rows):
+    """Tiles of any size, cells that are missing, and a lookup without a row per cell."""
+    rng = np.random.default_rng(6)
+    values = {(r, c): int(v) for (r, c), v in zip(((r, c) for r in range(23) for c in range(31)), rng.integers(0, 99, 713)) if v % 9}
+    cells = spark.createDataFrame([(r, c, v) for (r, c), v in values.items()], "row int, col int, value int")
+    grid = G.GeoTransform(0.0, 23e4, 1e4, -1e4, 23, 31)
+    at = [(float(x), float(y)) for x, y in rng.uniform(-2e4, 34e4, (200, 2))]
+    points = G.sites(plots(spark, *[lonlat(x, y) for x, y in at]))
+    placed = G.projected(points)
+    expected = {}
+    for p in placed.collect():
+        row = min(max(math.floor((p["y"] - 23e4) / -1e4), 0), 22)
+        expected[p["lon"], p["lat"]] = values.get((row, min(max(math.floor(p["x"] / 1e4), 0), 30)))
+    for tile in (1, 8, 64):
+        tiles = R.tile_raster(cells, tile)
+        got = {(r["lon"], r["lat"]): r["altitude"] for r in G.raster_value(points, tiles, grid).collect()}
+        assert got == expected and tiles.count() == math.ceil(23 / tile) * math.ceil(31 / tile) - (tile == 1) * (713 - len(values))
+
+
 def test_plots_without_coordinates_stay(spark):
     df = plots(spark, (None, 1.0), (1.0, 45.0))
     lines = spark.createDataFrame([("A", 0.0, 0.0, 1.0, 1.0)], "grp string, x1 double, y1 double, x2 double, y2 double")
