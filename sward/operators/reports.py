@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sward.functions import geo
 from sward.functions.text import top_group, year_of
+from sward.session import cut_lineage
 
 
 def value_counts(df, col):
@@ -99,17 +100,59 @@ def cluster_summary(df):
     )
 
 
-def five_number(df, by, col="score", exact=True):
-    """Minimum, quartiles and maximum of the scores per group.
+FIVE = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
+
+
+def quantiles(df, by, col, shares):
+    """Exact quantiles per group, linear between neighbours: ``shares`` names them.
 
-    Meant for importance tables, whose groups hold at most one score per class or feature.  The
-    exact form gathers the distinct values of a group, so use ``exact=False`` on raw rows.
+    Different values with their counts are dealt over tasks by range of group and value; counts of
+    the ranges before tell each value its ranks.  No task or buffer holds a group: the most that comes
+    together is one count per group and range, and two values per quantile.  Nulls do not count; a
+    group without values has nulls.
     """
-    points = F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])
-    q = F.percentile(col, points) if exact else F.percentile_approx(col, points)
-    names = ["low", "q1", "median", "q3", "high"]
-    out = df.groupBy(*by).agg(q.alias("_q"))
-    return out.select(*by, *[F.get("_q", i).alias(n) for i, n in enumerate(names)])
+    value = F.col(col).cast("double").alias("_v")
+    counted = df.groupBy(*by, value).agg(F.count(F.col(col)).alias("_n"))
+    placed = cut_lineage(counted.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
+    parts = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_of"),
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_size").over(W.partitionBy(*by)).alias("_total"),
+    )
+    same = F.col("_part") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inside = W.partitionBy(*by, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = placed.withColumn("_upto", F.sum("_n").over(inside)).join(parts, same)
+    end = F.col("_before") + F.col("_upto")
+    start = end - F.col("_n")
+
+    def at(rank):
+        return F.max(F.when((rank >= start) & (rank < end), F.col("_v")))
+
+    wanted = {name: F.lit(share) * (F.col("_total") - 1) for name, share in shares.items()}
+    found = ranked.groupBy(*by).agg(
+        F.max("_total").alias("_total"),
+        *[at(F.floor(p)).alias(f"_lower_{n}") for n, p in wanted.items()],
+        *[at(F.ceil(p)).alias(f"_upper_{n}") for n, p in wanted.items()],
+    )
+
+    def between(name, p):
+        lower, upper = F.col(f"_lower_{name}"), F.col(f"_upper_{name}")
+        mixed = (F.ceil(p) - p) * lower + (p - F.floor(p)) * upper
+        return F.when(lower == upper, lower).otherwise(mixed).alias(name)
+
+    return found.select(*by, *[between(n, p) for n, p in wanted.items()])
+
+
+def five_number(df, by, col="score", exact=True):
+    """Minimum, quartiles and maximum of the scores per group; ``exact=False`` estimates the quartiles."""
+    if exact:
+        return quantiles(df, by, col, FIVE)
+    out = df.groupBy(*by).agg(F.percentile_approx(col, F.array(*map(F.lit, FIVE.values()))).alias("_q"))
+    return out.select(*by, *[F.get("_q", i).alias(n) for i, n in enumerate(FIVE)])
 
 
 def extent(df, margin=0.05):
