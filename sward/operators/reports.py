@@ -1,12 +1,11 @@
 """Summary tables behind the reports."""
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sward.functions import geo
 from sward.functions.text import top_group, year_of
+from sward.operators.clusters import cluster_points  # noqa: F401
 from sward.session import cut_lineage
 
 
@@ -78,21 +77,6 @@ def threat_summary(plots):
     return pct_of_total(counts)
 
 
-def cluster_points(plots, k=50, restarts=10, seed=123):
-    """Cluster plots on latitude and longitude, keeping the best of several restarts."""
-    assembler = VectorAssembler(inputCols=["lat", "lon"], outputCol="_point")
-    points = assembler.transform(plots.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()))
-    points = points.persist()
-    best = None
-    for attempt in range(restarts):
-        means = KMeans(k=k, seed=seed + attempt, featuresCol="_point", predictionCol="cluster")
-        model = means.fit(points)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    points.unpersist()
-    return best.transform(points).drop("_point")
-
-
 def cluster_summary(df):
     """Mean position and size of each cluster."""
     return df.groupBy("cluster").agg(
