@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sward.llm.bytelevel import SAFE, ByteLevelTokenizer, windows
 from sward.llm.common import quoted, slices
-from sward.llm.remember import Recent
+from sward.llm.remember import Recent, no_collector
 from sward.session import cut_lineage
 
 MARK = "▁"
@@ -133,14 +133,41 @@ class Aligner:
                 ids.extend(self.a.ids(found))
         return ids
 
+    def _all_ids_a(self, units):
+        """Ids of each unit, cut into pre-tokens in one run over those that end visibly.
+
+        Such units, one after the other, are cut again where they meet.
+        """
+        solid = [u for u in units if not u[-1].isspace()]
+        out = {u: self._ids_a(u) for u in units if u[-1].isspace()}
+        left = iter(solid)
+        for found in self.a.pretokens("".join(solid)):
+            if isinstance(found, str):  # a window that goes to the library, unit by unit
+                size = len(found)
+                while size:
+                    unit = next(left)
+                    out[unit] = self._ids_a(unit)
+                    size -= len(unit)
+                continue
+            size = 0
+            for word in found:
+                if not size:
+                    unit = next(left)
+                    size, ids = len(unit), []
+                    out[unit] = ids
+                ids.extend(self.words[word])
+                size -= len(word)
+        return out
+
     def units(self, names):
         """A ``Unit`` for each different unit of a block; each begins with a space."""
         known = self.known
         found = {n: known.get(n) or known.old.get(n) for n in names}
         new = [n for n, unit in found.items() if unit is None]
+        first = self._all_ids_a(new)
         # The model puts a unit's first space back, but gives nothing at all for an empty text.
         for n, b in zip(new, self.b.encode([n[1:] for n in new], num_threads=1)):
-            found[n] = Unit(n, self._ids_a(n), b or [self.space], self.bytes_a, self.bytes_b, self.names)
+            found[n] = Unit(n, first[n], b or [self.space], self.bytes_a, self.bytes_b, self.names)
         for n, unit in found.items():
             if n not in known:
                 known.keep(n, unit, 400 + len(unit.text) + len(unit.links))
@@ -240,7 +267,9 @@ def align(docs, path_a, path_b, id_col="doc_id", text_col="text"):
         for batch in batches:
             for part in slices(batch, 1, BLOCK):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                yield _block(number, part.column(0).to_pylist(), texts, both)
+                with no_collector():
+                    block = _block(number, part.column(0).to_pylist(), texts, both)
+                yield block
                 number += 1
 
     picked = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))

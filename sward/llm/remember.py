@@ -1,5 +1,20 @@
 """What a Python worker remembers between rows, bounded in bytes."""
 
+import gc
+from contextlib import contextmanager
+
+
+@contextmanager
+def no_collector():
+    """Spare code that makes many small objects without cycles the collector's walks over all of them."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
 
 class Recent(dict):
     """Values by text, made when first asked for and kept in two generations.
