@@ -33,6 +33,8 @@ from sward.plans import preprocess as R
 from sward.plans import studies as U
 from sward.plans.config import EvaluationConfig, PreprocessConfig
 from sward.session import scratch_path
+from sward.sources.readers import load_model
+from sward.sources.writers import save_model
 
 # Models at the defaults of the training job; the README says what is measured.
 FOREST = models.ModelConfig(kind="rf")
@@ -245,6 +247,37 @@ def _(spark):
     return V.predict(model, rows(spark), entries(spark), VECTOR_LAYOUT, cfg, label_encoder(spark), scaler)
 
 
+# One round of depth 1 on 0/1 features from equal shares: counts give all gradients and curvatures.
+BOOSTED_STUMP = replace(BOOSTED, rounds=1, boost_depth=1, subsample=1.0, holdout=0.0)
+
+
+@query("boosted_stump", oracle("""
+SELECT row_id, round(max(share) FILTER (c = label_id), 9) AS own, round(max(share), 9) AS best
+FROM (SELECT row_id, label_id, c, exp(margin) / sum(exp(margin)) OVER (PARTITION BY row_id) AS share FROM margins) t GROUP BY row_id""",
+    "v_vectors", bits="""
+SELECT row_id, label_id, j FROM (
+  SELECT row_id, label_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS j FROM v_vectors) t WHERE v > 0""",
+    classes="SELECT unnest(range(0, 10)) AS c",
+    whole="SELECT c, count(*) * 0.1e0 - count(*) FILTER (label_id = c) AS g, count(*) * 0.18e0 AS h FROM v_vectors, classes GROUP BY c",
+    sides="SELECT c, j, count(*) * 0.1e0 - count(*) FILTER (label_id = c) AS g1, count(*) * 0.18e0 AS h1 FROM bits, classes GROUP BY c, j",
+    gains="""
+SELECT *, round(g1 * g1 / (h1 + 1) + (g - g1) * (g - g1) / (h - h1 + 1) - g * g / (h + 1), 9) AS gain
+FROM sides JOIN whole USING (c) WHERE h1 >= 1 AND h - h1 >= 1""",
+    best="SELECT c, arg_max(j, {'q': gain, 'j': -j}) AS j FROM gains WHERE gain > 0 GROUP BY c",
+    margins="""
+SELECT v.row_id, v.label_id, w.c, 0.1e0 * CASE WHEN b.j IS NULL THEN -w.g / (w.h + 1)
+  WHEN x.row_id IS NULL THEN -(w.g - s.g1) / (w.h - s.h1 + 1) ELSE -s.g1 / (s.h1 + 1) END AS margin
+FROM v_vectors v CROSS JOIN whole w LEFT JOIN best b ON b.c = w.c LEFT JOIN sides s ON s.c = b.c AND s.j = b.j
+LEFT JOIN bits x ON x.row_id = v.row_id AND x.j = b.j"""))
+def _(spark):
+    vectors = X.to_vector(rows(spark), bit_entries(spark), VECTOR_LAYOUT.size)
+    path = scratch_path(spark, "boosted")
+    save_model(models.fit(vectors, BOOSTED_STUMP, VECTOR_LAYOUT.size, N_CLASSES), path)
+    scored = load_model(path).transform(vectors)
+    own = F.get("probability", F.col("label_id"))
+    return scored.select("row_id", F.round(own, 9).alias("own"), F.round(F.array_max("probability"), 9).alias("best"))
+
+
 # A single split over 0/1 features: its leaves are class shares per side, which SQL can count.
 STUMP = models.ModelConfig(kind="rf", trees=1, max_depth=1, max_features="all", bootstrap=False)
 STUMP_CONFIG = config(STUMP, standardization=False)

@@ -3,11 +3,11 @@
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (
-    GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
+from sward.operators.boosting import BoostedTrees
+
 # Deepest tree the library can build.
 MAX_DEPTH = 30
 
@@ -37,8 +37,13 @@ class ModelConfig:
     boost_depth: int = MAX_DEPTH
     boost_rate: float = 0.1
     subsample: float = 0.8
-    # Classes of the boosted trees fitted at the same time.
-    class_parallel: int = 4
+    bins: int = 256
+    # Added to the curvature of a leaf, and the least curvature of a side of a split.
+    penalty: float = 1.0
+    min_child: float = 1.0
+    # Share of the training rows that only judges rounds, and rounds without fewer errors before the end.
+    holdout: float = 0.1
+    stop_after: int = 10
 
 
 def _depth(depth):
@@ -64,11 +69,8 @@ def classifier(cfg, n_features, n_classes):
             bootstrap=cfg.bootstrap, seed=cfg.seed, **cols,
         )
     if cfg.kind == "gbt":
-        trees = GBTClassifier(
-            maxIter=cfg.rounds, maxDepth=_depth(cfg.boost_depth), stepSize=cfg.boost_rate,
-            subsamplingRate=cfg.subsample, seed=cfg.seed, **cols,
-        )
-        return OneVsRest(classifier=trees, rawPredictionCol="rawPrediction", parallelism=cfg.class_parallel, **cols)
+        _depth(cfg.boost_depth)
+        return BoostedTrees(cfg, n_features, n_classes)
     raise ValueError(f"unknown model kind: {cfg.kind}")
 
 
@@ -79,7 +81,7 @@ def with_label(df, n_classes):
 
 
 def fit(df, cfg, n_features, n_classes):
-    """Fitted pipeline of the configured classifier."""
+    """Fitted pipeline of the configured classifier; boosted trees need a ``row_id``."""
     return Pipeline(stages=[classifier(cfg, n_features, n_classes)]).fit(with_label(df, n_classes))
 
 
