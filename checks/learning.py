@@ -3,6 +3,7 @@
 Results of seeded fits have no SQL counterpart; the jobs before the model boundary do.
 """
 
+import uuid
 from dataclasses import replace
 
 from pyspark.ml.functions import vector_to_array
@@ -34,7 +35,7 @@ from sward.plans import studies as U
 from sward.plans.config import EvaluationConfig, PreprocessConfig
 from sward.session import scratch_path
 from sward.sources.readers import load_model
-from sward.sources.writers import save_model
+from sward.sources.writers import save_model, write_by_row
 
 # Models at the defaults of the training job; the README says what is measured.
 FOREST = models.ModelConfig(kind="rf")
@@ -62,12 +63,27 @@ def label_encoder(spark):
     return ids.select(F.concat(F.lit("class "), "label_id").alias("value"), F.col("label_id").alias("id"))
 
 
-@query("to_vector", oracle("""
+VECTOR_SUMS = """
 SELECT row_id, count(*) AS stored, round(sum(value), 6) AS total, round(sum(value * feature_id), 4) AS moment
-FROM v_features GROUP BY row_id""", "v_features"))
+FROM v_features GROUP BY row_id"""
+
+
+@query("to_vector", oracle(VECTOR_SUMS, "v_features"))
 def _(spark):
     df = view(spark, "v_features")
-    entries = X.vector_entries(X.to_vector(df.select("row_id").distinct(), df, 200))
+    return vector_sums(X.to_vector(df.select("row_id").distinct(), df, 200))
+
+
+@query("vectors_of_bucketed_store", oracle(VECTOR_SUMS, "v_features"))
+def _(spark):
+    df, name = view(spark, "v_features"), f"sward_{uuid.uuid4().hex}"
+    parts = {"rows": df.select("row_id").distinct(), "features": df}
+    stored = {k: write_by_row(v, f"{name}_{k}", scratch_path(spark, k), buckets=16) for k, v in parts.items()}
+    return vector_sums(X.to_vector(stored["rows"], stored["features"], 200))
+
+
+def vector_sums(vectors):
+    entries = X.vector_entries(vectors)
     zipped = F.explode(F.arrays_zip(F.col("entries.indices").alias("i"), F.col("entries.values").alias("v")))
     flat = entries.select("row_id", zipped.alias("e")).select("row_id", "e.i", "e.v")
     return flat.groupBy("row_id").agg(
@@ -129,6 +145,40 @@ def _(spark):
     return new_rows.join(sums, "row_id", "left")
 
 
+def relabelled(spark):
+    """Most rows of two classes get another label, so that these fall below the target share."""
+    rare = (F.col("label_id") <= 1) & (F.col("fold") == 0)
+    return rows(spark).withColumn("label_id", F.when(rare, F.col("label_id")).otherwise(2))
+
+
+def sums_by_row(rows, features):
+    sums = features.groupBy("row_id").agg(F.count(F.lit(1)).alias("stored"), F.round(F.sum("value"), 6).alias("total"))
+    return rows.join(sums, "row_id", "left").select("row_id", "label_id", "stored", "total")
+
+
+NEW_ROWS = """
+SELECT cast(p.new_id AS bigint) AS row_id, p.label AS label_id, len(a.e) AS stored, round(list_sum(a.e) * (1 - step) + list_sum(b.e) * step, 6) AS total
+FROM picked p JOIN same s ON s.row_id = p.row_id AND s.pos = p.pos JOIN r a ON a.row_id = p.row_id JOIN r b ON b.row_id = s.other_id"""
+OWN_ROWS = "SELECT row_id, label AS label_id, len(e) AS stored, round(list_sum(e), 6) AS total FROM {}"
+AUGMENTED = PreprocessConfig(augmentation=True, standardization=False)
+
+
+@query("augmented_training", oracle(OWN_ROWS.format("r") + " UNION ALL " + NEW_ROWS, "v_vectors", **OVERSAMPLED))
+def _(spark):
+    r, features = R.preprocess_training(relabelled(spark), entries(spark), VECTOR_LAYOUT, AUGMENTED)[:2]
+    return sums_by_row(r, features)
+
+
+@query("augmented_fold", oracle(
+    f"SELECT 'train' AS part, * FROM ({OWN_ROWS.format('r')} UNION ALL {NEW_ROWS}) t UNION ALL SELECT 'test', * FROM ({OWN_ROWS.format('judged')}) u",
+    "v_vectors", **{**OVERSAMPLED, "r": OVERSAMPLED["r"] + " WHERE fold <> 1"}, judged=OVERSAMPLED["r"] + " WHERE fold = 1"))
+def _(spark):
+    r = relabelled(spark)
+    train, test = V.fold_pairs(r, entries(spark).join(r.select("row_id", "fold"), "row_id"), 1)
+    fitted, judged, _ = R.preprocess_fold(train, test, VECTOR_LAYOUT, AUGMENTED)
+    return A.tag_union({"train": sums_by_row(*fitted), "test": sums_by_row(*judged)}, "part")
+
+
 PRE = f"""
 SELECT row_id, feature_id, ln(r / sum(r) OVER (PARTITION BY row_id)) AS value FROM (
   SELECT row_id, feature_id, 1.0e0 / dense_rank() OVER (PARTITION BY row_id ORDER BY value DESC) AS r

@@ -292,14 +292,22 @@ def vector_entries(df, name="features"):
     return df.sparkSession.read.schema(T.StructType(fields)).parquet(path).withColumnRenamed(name, "entries")
 
 
-def to_vector(rows, features, size, key="row_id"):
-    """Plot rows with a sparse vector column ``features``; rows without features get zeros."""
+def with_entries(rows, features, key="row_id"):
+    """Plot rows with sorted parallel arrays ``_ids`` and ``_values`` of their features, empty where they have none.
+
+    Rows and features in buckets of ``key`` (``writers.write_by_row``) need no exchange.
+    """
     entry = F.struct("feature_id", "value")
     lists = features.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
     out = rows.join(lists, key, "left")
     ids = F.coalesce(F.col("_e")["feature_id"], F.array().cast("array<int>"))
     values = F.coalesce(F.col("_e")["value"], F.array().cast("array<double>"))
-    plain = out.select(*rows.columns, ids.alias("_ids"), values.alias("_values"))
+    return out.select(*rows.columns, ids.alias("_ids"), values.alias("_values"))
+
+
+def to_vector(rows, features, size, key="row_id"):
+    """Plot rows with a sparse vector column ``features``; rows without features get zeros."""
+    plain = with_entries(rows, features, key)
     return with_vector(plain, F.col("_ids"), F.col("_values"), size).drop("_ids", "_values")
 
 

@@ -124,6 +124,15 @@ def load_features(spark, path, fold=None):
     return df if fold is None else df.where(F.col("fold") == fold)
 
 
+def load_by_row(spark, name, path, key="row_id", buckets=64):
+    """A table of ``write_by_row`` that another session wrote, registered here under ``name``."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(
+        f"CREATE TABLE `{name}` ({fields}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) "
+        f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def load_encoder(spark, path):
     """Stored dictionary ``(value, id)``, name map or scaler table."""
     return spark.read.parquet(path)

@@ -34,6 +34,17 @@ def write_features(df, path, mode="overwrite"):
     df.write.mode(mode).partitionBy(*fold).parquet(path)
 
 
+def write_by_row(df, name, path, key="row_id", buckets=64):
+    """Write a table in buckets of ``key``, sorted by it, and register it under ``name``.
+
+    Tables in the same number of buckets are joined and gathered by ``key`` without an exchange.  The exchange
+    that makes the buckets leaves one file per bucket.
+    """
+    dealt = df.repartition(buckets, key)
+    dealt.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def save_encoder(df, path, mode="overwrite"):
     """Persist a dictionary, name map or scaler table."""
     df.write.mode(mode).parquet(path)
