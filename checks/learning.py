@@ -452,6 +452,37 @@ def _(spark):
     return U.ablation_study(rows(spark), entries(spark), VECTOR_LAYOUT, config(FOREST))
 
 
+# Bits of the held-out fold 0 in each mode; values of 2 stay beyond the limit of presence.
+ROBUST = {
+    **{k: STUMP_PARTS[k] for k in ("bits", "outs", "whole", "ones", "grid")}, "outs": "SELECT 0 AS h",
+    "quality": "SELECT j, coalesce(sum(n1 * n1) * 1e0 / nullif(sum(n1), 0), 0) + coalesce(sum(n0 * n0) * 1e0 / nullif(sum(n0), 0), 0) AS q FROM grid GROUP BY j",
+    "best": "SELECT 0 AS h, 'all' AS kind, arg_max(j, {'q': q, 'j': -j}) AS j FROM quality UNION ALL SELECT 0, 'species', arg_max(j, {'q': q, 'j': -j}) FROM quality WHERE j < 40",
+    "leaves": """
+SELECT kind, side, arg_max(label_id, {'n': n, 'c': -label_id}) AS label_id FROM (
+  SELECT kind, 1 AS side, label_id, n1 AS n FROM grid JOIN best USING (h, j) UNION ALL SELECT kind, 0, label_id, n0 FROM grid JOIN best USING (h, j)) t
+GROUP BY kind, side""",
+    "judged": "SELECT row_id, j FROM bits WHERE fold = 0",
+    "dropped": """
+SELECT row_id, j FROM (SELECT *, row_number() OVER (PARTITION BY j < 40 ORDER BY md5(concat('123:', row_id, ':', j))) AS rn FROM judged) t
+WHERE j >= 40 OR rn > (SELECT floor(count(*) * 0.3e0) FROM judged WHERE j < 40)""",
+    "variants": "SELECT unnest(['as is', 'presence', 'constant', 'dropout', 'species']) AS variant, unnest(['all', 'all', 'all', 'all', 'species']) AS kind",
+    "sides": """
+SELECT t.variant, t.kind, v.label_id, CASE WHEN t.variant = 'dropout' THEN d.j IS NOT NULL ELSE a.j IS NOT NULL END AS has
+FROM v_vectors v CROSS JOIN variants t JOIN best o ON o.kind = t.kind
+LEFT JOIN judged a ON a.row_id = v.row_id AND a.j = o.j LEFT JOIN dropped d ON d.row_id = v.row_id AND d.j = o.j WHERE v.fold = 0""",
+}
+
+
+@query("robustness_study_stump", oracle("""
+SELECT variant, round(avg(CASE WHEN s.label_id = l.label_id THEN 1e0 ELSE 0e0 END) * 100, 2) AS hit_rate
+FROM sides s JOIN leaves l ON l.kind = s.kind AND l.side = CASE WHEN s.has THEN 1 ELSE 0 END GROUP BY variant""", "v_vectors", **ROBUST))
+def _(spark):
+    twos = bit_entries(spark).withColumn("value", F.lit(2.0))
+    r = rows(spark)
+    fitted, judged = V.fold_pairs(r, twos.join(r.select("row_id", "fold"), "row_id"), 0)
+    return U.robustness_study(fitted, judged, VECTOR_LAYOUT, STUMP_CONFIG, label_encoder(spark))
+
+
 @query("robustness_inputs", oracle("""
 SELECT 'constant' AS mode, count(*) AS rows, cast(sum(10) AS double) AS total FROM v_species
 UNION ALL SELECT 'presence', count(*), cast(count(*) AS double) FROM v_species WHERE cover > 1""", "v_species"))

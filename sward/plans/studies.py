@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sward.operators import features as X
 from sward.operators import metrics as M
-from sward.plans.evaluation import cross_validate
+from sward.plans.evaluation import cross_validate, predict, train
 
 # Feature-group subsets of the ablation study.
 ABLATION_SUBSETS = {
@@ -47,6 +47,48 @@ def disturbed_species(species, mode, seed=123, fraction=0.3, constant=10.0):
     raise ValueError(f"unknown mode: {mode}")
 
 
+# Changes of the job in each mode of the robustness study.
+ROBUSTNESS_MODES = {
+    "as is": {}, "presence": {"binarization": True}, "constant": {}, "dropout": {}, "species": {"features": "species"},
+}
+
+
+def disturbed_features(features, layout, mode, seed=123, fraction=0.3, constant=10.0):
+    """Long features of a mode; only species entries change.
+
+    ``constant`` replaces values by one, ``dropout`` removes an exact share of the entries.  The other modes leave
+    the features as they are: their transforms belong to the job.
+    """
+    n = layout.count("species")
+    if mode == "constant":
+        value = F.when(F.col("feature_id") < n, F.lit(float(constant))).otherwise(F.col("value"))
+        return features.withColumn("value", value)
+    if mode == "dropout":
+        return X.drop_entries(features, n, fraction, seed)
+    if mode not in ROBUSTNESS_MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    return features
+
+
+def robustness_study(fitted, judged, layout, cfg, encoder, modes=tuple(ROBUSTNESS_MODES)):
+    """Hit rate on ``judged`` rows, predicted anew in each mode: ``(variant, hit_rate)``.
+
+    ``fitted`` and ``judged`` are pairs of rows and long features.  Modes whose job is the same share one model.
+    """
+    rows, features = judged
+    names = encoder.select(F.col("id").alias("label_id"), F.array("value").alias("truth"))
+    truth = rows.select(F.col("row_id").alias("plot_id"), "label_id").join(names, "label_id")
+    models, predictions = {}, {}
+    for mode in modes:
+        variant = replace(cfg, preprocess=replace(cfg.preprocess, **ROBUSTNESS_MODES[mode]))
+        if variant not in models:
+            models[variant] = train(*fitted, layout, variant)
+        model, scaler, _ = models[variant]
+        disturbed = disturbed_features(features, layout, mode, cfg.preprocess.seed)
+        predictions[mode] = predict(model, rows, disturbed, layout, variant, encoder, scaler)
+    return robustness(predictions, truth)
+
+
 def robustness(predictions, truth):
     """Hit rate of each variant's predictions: ``predictions`` maps variant to frame."""
     out = None
