@@ -253,14 +253,20 @@ def best_splits(table, totals, zero, penalty, least):
                     [f.split()[0] for f in SPLITS.split(", ")])
 
 
+def step(sums, penalty):
+    """Value of a leaf; zero where there is neither curvature nor penalty."""
+    g, h = sums
+    return -g / (h + penalty) if h + penalty > 0 else 0.0
+
+
 def _grow(base, binned, rounds, totals, turn, edges, cfg):
     """Trees of one round, a tree per class; ``totals`` holds the sums of all drawn rows per class."""
     context = base.sparkSession.sparkContext
     slots = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     trees = [Tree() for _ in range(binned.n_classes)]
     sums = {(c, 0): totals[c] for c in range(binned.n_classes)}
-    for (c, node), (g, h) in sums.items():
-        trees[c].value[node] = -g / (h + cfg.penalty)
+    for (c, node), own in sums.items():
+        trees[c].value[node] = step(own, cfg.penalty)
     opened = [[0] for _ in trees]
     for _ in range(cfg.boost_depth):
         # A node that cannot be cut into two sides of enough curvature stays a leaf.
@@ -282,7 +288,7 @@ def _grow(base, binned, rounds, totals, turn, edges, cfg):
             g, h = sums[c, node]
             sums[c, left], sums[c, right] = (s["g"], s["h"]), (g - s["g"], h - s["h"])
             for child in (left, right):
-                trees[c].value[child] = -sums[c, child][0] / (sums[c, child][1] + cfg.penalty)
+                trees[c].value[child] = step(sums[c, child], cfg.penalty)
             opened[c] += [left, right]
         for used in (growing, here):
             used.unpersist()
