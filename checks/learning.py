@@ -32,9 +32,9 @@ from sward.plans import evaluation as V
 from sward.plans import external_set as Q
 from sward.plans import preprocess as R
 from sward.plans import studies as U
-from sward.plans.config import EvaluationConfig, PreprocessConfig
+from sward.plans.config import DatasetConfig, EvaluationConfig, PreprocessConfig
 from sward.session import scratch_path
-from sward.sources.readers import load_model
+from sward.sources.readers import load_encoder, load_model
 from sward.sources.writers import save_model, write_by_row
 
 # Models at the defaults of the training job; the README says what is measured.
@@ -554,6 +554,23 @@ def _(spark):
     return data.plots.select("row_id", "plot_id", "label").join(sums, "row_id").drop("row_id")
 
 
+# Species of a second survey, coded with the stored names and dictionary of the first.
+@query("predict_from_stored", oracle("""
+SELECT plot_id, accepted_name AS species, round(sum(cover), 6) AS cover FROM seen JOIN m ON species = raw_name
+WHERE accepted_name IN (SELECT species FROM normalised) GROUP BY plot_id, accepted_name""",
+    "v_header", "v_codes", "v_species", "v_backbone", "v_location", **NAME_PARTS, m=NAME_MAP, seen="""
+SELECT plot_id, species, round(sum(cover), 6) AS cover FROM v_species
+WHERE plot_id IN (SELECT plot_id FROM v_location WHERE lon IS NOT NULL AND lat IS NOT NULL) GROUP BY plot_id, species HAVING round(sum(cover), 6) > 0"""))
+def _(spark):
+    path, cfg = scratch_path(spark, "stored"), DatasetConfig(location_features=False)
+    species, backbone = view(spark, "v_species"), view(spark, "v_backbone")
+    D.build_dataset(view(spark, "v_header"), species, view(spark, "v_codes"), backbone, cfg=cfg).save(path)
+    plots, features, _ = D.predict_from_stored(view(spark, "v_location"), species, path, f"{path}-second", backbone, cfg=cfg)
+    names = load_encoder(spark, f"{path}/encoder_species").select(F.col("id").alias("feature_id"), F.col("value").alias("species"))
+    coded = features.select("row_id", "feature_id", F.round("value", 6).alias("cover")).join(names, "feature_id")
+    return coded.join(plots.select("row_id", "plot_id"), "row_id").select("plot_id", "species", "cover")
+
+
 SECOND = ("v_occurrences", "v_scale", "v_attributes", "v_location", "v_habitat_lookup", "v_habitat_codes", "v_crosswalk",
           "v_codes", "v_backbone", "v_accepted", "v_header")
 SECOND_PARTS = dict(
