@@ -297,6 +297,29 @@ def _(spark):
     return V.predict(model, rows(spark), entries(spark), VECTOR_LAYOUT, cfg, label_encoder(spark), scaler)
 
 
+# One step of a network without hidden units from zero weights: all shares are equal, so sums give the gradient.
+PERCEPTRON_STEP = replace(
+    PERCEPTRON, hidden_layers=0, epochs=1, updates=1, holdout=0.0, weight_init="zeros", optimizer="sgd", learning_rate=0.5,
+    momentum=0.0, weight_decay=0.0,
+)
+
+
+@query("perceptron_step", oracle("""
+SELECT row_id, round(max(share) FILTER (c = label_id), 9) AS own, round(max(share), 9) AS best
+FROM (SELECT row_id, label_id, c, exp(margin) / sum(exp(margin)) OVER (PARTITION BY row_id) AS share FROM margins) t GROUP BY row_id""",
+    "v_vectors", items="""
+SELECT row_id, label_id, j, cast(v AS double) AS v FROM (
+  SELECT row_id, label_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS j FROM v_vectors) t
+UNION ALL SELECT row_id, label_id, 0 AS j, 1e0 AS v FROM v_vectors""",
+    classes="SELECT unnest(range(0, 10)) AS c",
+    weights="""
+SELECT c, j, -0.5e0 * (sum(v) * 0.1e0 - coalesce(sum(v) FILTER (label_id = c), 0)) / (SELECT count(*) FROM v_vectors) AS w
+FROM items, classes GROUP BY c, j""",
+    margins="SELECT row_id, label_id, c, sum(v * w) AS margin FROM items JOIN weights USING (j) GROUP BY row_id, label_id, c"))
+def _(spark):
+    return stored_shares(spark, PERCEPTRON_STEP, entries(spark))
+
+
 # One round of depth 1 on 0/1 features from equal shares: counts give all gradients and curvatures.
 BOOSTED_STUMP = replace(BOOSTED, rounds=1, boost_depth=1, subsample=1.0, holdout=0.0)
 
@@ -320,9 +343,14 @@ SELECT v.row_id, v.label_id, w.c, 0.1e0 * CASE WHEN b.j IS NULL THEN -w.g / (w.h
 FROM v_vectors v CROSS JOIN whole w LEFT JOIN best b ON b.c = w.c LEFT JOIN sides s ON s.c = b.c AND s.j = b.j
 LEFT JOIN bits x ON x.row_id = v.row_id AND x.j = b.j"""))
 def _(spark):
-    vectors = X.to_vector(rows(spark), bit_entries(spark), VECTOR_LAYOUT.size)
-    path = scratch_path(spark, "boosted")
-    save_model(models.fit(vectors, BOOSTED_STUMP, VECTOR_LAYOUT.size, N_CLASSES), path)
+    return stored_shares(spark, BOOSTED_STUMP, bit_entries(spark))
+
+
+def stored_shares(spark, cfg, features):
+    """Share of the true and of the best class of each row, by a model that was stored and read again."""
+    vectors = X.to_vector(rows(spark), features, VECTOR_LAYOUT.size)
+    path = scratch_path(spark, "fitted")
+    save_model(models.fit(vectors, cfg, VECTOR_LAYOUT.size, N_CLASSES), path)
     scored = load_model(path).transform(vectors)
     own = F.get("probability", F.col("label_id"))
     return scored.select("row_id", F.round(own, 9).alias("own"), F.round(F.array_max("probability"), 9).alias("best"))

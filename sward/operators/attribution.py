@@ -1,11 +1,11 @@
 """Importance of features from per-row scores, kept as long tables."""
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sward.functions.text import genus, top_group
 from sward.operators.features import to_vector, with_vector
+from sward.operators.metrics import score_array
 
 
 def mean_attribution(df, rows=None):
@@ -166,7 +166,7 @@ def top_items_by_group(scores, item, k):
 def raw_scores(model, rows, features, size):
     """Raw model output of each row as an array, from long features."""
     scored = model.transform(to_vector(rows, features, size))
-    return scored.select("row_id", vector_to_array("rawPrediction").alias("raw"))
+    return scored.select("row_id", score_array(scored, "rawPrediction").alias("raw"))
 
 
 def group_ablation(model, rows, features, layout):
@@ -210,7 +210,7 @@ def occlusion(model, rows, features, size):
     label = F.col("label_id").cast("int")
     cut = scored.select(
         "row_id", "fold", "label_id", "hidden",
-        F.get(vector_to_array("rawPrediction"), label).alias("_cut"),
+        F.get(score_array(scored, "rawPrediction"), label).alias("_cut"),
     )
     full = raw_scores(model, rows, features, size)
     return cut.join(full, "row_id").select(

@@ -63,14 +63,18 @@ def class_rank(scores, label):
     return F.size(F.filter(scores, ahead))
 
 
+def score_array(df, scores):
+    """Scores per class as an array, from an array or a vector column."""
+    values = F.col(scores)
+    return values if df.schema[scores].dataType.typeName() == "array" else vector_to_array(values)
+
+
 def topk_accuracy(df, k=1, average="micro", scores="probability", label="label_id", by=()):
     """Percentage of rows whose true class is among the ``k`` best, per ``by`` columns.
 
     ``macro`` averages over the classes that occur.
     """
-    values = F.col(scores)
-    if df.schema[scores].dataType.typeName() != "array":
-        values = vector_to_array(values)
+    values = score_array(df, scores)
     by = list(by)
     hit = (class_rank(values, F.col(label).cast("int")) < k).cast("double")
     rows = df.select(*by, F.col(label).alias("_label"), hit.alias("_hit"))
@@ -139,9 +143,7 @@ def class_presence(df, label="label_id", fold="fold"):
 
 def top_class(df, scores="probability", encoder=None):
     """Best class of each row with its score; of equal scores the lower id."""
-    values = F.col(scores)
-    if df.schema[scores].dataType.typeName() != "array":
-        values = vector_to_array(values)
+    values = score_array(df, scores)
     best = F.array_max(values)
     out = df.withColumns(
         {"prediction_id": (F.array_position(values, best) - 1).cast("int"), "score": best}

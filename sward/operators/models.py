@@ -3,10 +3,11 @@
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from sward.operators.boosting import BoostedTrees
+from sward.operators.perceptron import Perceptron
 
 # Deepest tree the library can build.
 MAX_DEPTH = 30
@@ -23,8 +24,17 @@ class ModelConfig:
     neurons: int = 200
     epochs: int = 100
     batch_size: int = 256
-    # Change of the loss below which fitting ends; the solver (L-BFGS) has no learning rate.
-    tolerance: float = 1e-6
+    # Most steps of an epoch; beyond it batches hold more rows than ``batch_size``.
+    updates: int = 8
+    activation: str = "relu"
+    weight_init: object = None
+    optimizer: str = "adam"
+    learning_rate: float = 0.001
+    weight_decay: float = 0.0001
+    momentum: float = 0.9
+    # Epochs without better accuracy before the learning rate is cut, and the cut.
+    patience: int = 5
+    factor: float = 0.1
     # Forest.
     trees: int = 200
     criterion: str = "gini"
@@ -41,7 +51,8 @@ class ModelConfig:
     # Added to the curvature of a leaf, and the least curvature of a side of a split.
     penalty: float = 1.0
     min_child: float = 1.0
-    # Share of the training rows that only judges rounds, and rounds without fewer errors before the end.
+    # Of perceptron and boosted trees: share of the training rows that only judges epochs or rounds, and how
+    # many of those without fewer errors end the fit.
     holdout: float = 0.1
     stop_after: int = 10
 
@@ -56,11 +67,7 @@ def classifier(cfg, n_features, n_classes):
     """Unfitted estimator for ``features`` and ``label`` columns."""
     cols = dict(featuresCol="features", labelCol="label")
     if cfg.kind == "mlp":
-        layers = [n_features] + [cfg.neurons] * cfg.hidden_layers + [n_classes]
-        return MultilayerPerceptronClassifier(
-            layers=layers, maxIter=cfg.epochs, blockSize=cfg.batch_size,
-            tol=cfg.tolerance, seed=cfg.seed, **cols,
-        )
+        return Perceptron(cfg, n_features, n_classes)
     if cfg.kind == "rf":
         impurity = {"log_loss": "entropy"}.get(cfg.criterion, cfg.criterion)
         return RandomForestClassifier(
@@ -81,7 +88,7 @@ def with_label(df, n_classes):
 
 
 def fit(df, cfg, n_features, n_classes):
-    """Fitted pipeline of the configured classifier; boosted trees need a ``row_id``."""
+    """Fitted pipeline of the configured classifier; perceptron and boosted trees need a ``row_id``."""
     return Pipeline(stages=[classifier(cfg, n_features, n_classes)]).fit(with_label(df, n_classes))
 
 
