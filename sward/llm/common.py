@@ -5,11 +5,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from sward.session import cut_lineage
+
 #: Java class of the characters between words: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]"
 #: A word: a longest run of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Words of 64 bits in a filter of hashes: 8 MB of bits.
+FILTER_WORDS = 1 << 20
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,6 +42,35 @@ def unused(df, *names):
     return out
 
 
+def _place(hashes):
+    """Word and bit of a 64-bit hash in a filter."""
+    return F.pmod(hashes, F.lit(FILTER_WORDS)), F.shiftrightunsigned(hashes, 20).bitwiseAND(F.lit(63)).cast("int")
+
+
+def hash_filter(hashes):
+    """Written table ``word, bits`` of the hashes in the one long column: at most ``FILTER_WORDS`` rows.
+
+    So it may be broadcast however many hashes there are; the more they are, the more others seem to be among them.
+    """
+    word, bit = _place(F.col(hashes.columns[0]))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    return cut_lineage(hashes.select(word.alias("word"), one.alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits")))
+
+
+def split_by(df, hashes, words):
+    """Rows of ``df`` whose hash may be in the filter, all that are among them, and the other rows.
+
+    Only the first need a join on what was hashed; no row is shuffled here.
+    """
+    name, bits = unused(df, "word", "bits")
+    word, bit = _place(hashes)
+    table = F.broadcast(words.select(F.col("word").alias(name), F.col("bits").alias(bits)))
+    found = df.join(table, word == F.col(name), "left")
+    hit = F.coalesce(F.call_function("shiftrightunsigned", F.col(bits), bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    columns = [F.col(quoted(c)) for c in df.columns]
+    return found.where(hit).select(*columns), found.where(~hit).select(*columns)
+
+
 def slices(batch, column, limit=1 << 20):
     """Parts of a record batch whose ``column`` holds about ``limit`` bytes, one row at least.
 

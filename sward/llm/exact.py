@@ -12,12 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sward.llm.common import partitions, quoted, text_or_empty, unused
+from sward.llm.common import hash_filter, partitions, quoted, split_by, text_or_empty, unused
 from sward.session import cut_lineage
 
 #: Bits of a fingerprint on the wire.
 BITS = 48
-MESSAGE = "chunk string, owner int, n int, k int, unary binary, low binary, repeated binary"
+#: Fingerprints of a message on average, below which there are fewer owners, and most of an owner.
+MESSAGE_SIZE, OWNER_SIZE = 64, 1 << 22
+MESSAGE = "chunk int, owner int, n int, k int, unary binary, low binary, repeated binary"
 
 
 def rice(gaps, k):
@@ -47,25 +49,26 @@ def unbitmap(data, n):
 
 
 def _messages(owner_bits):
-    """Batches of fingerprints to one message for each owner."""
+    """A task's fingerprints to one message for each owner."""
     low_bits = BITS - owner_bits
 
     def send(batches):
-        for number, batch in enumerate(batches):
-            values, counts = np.unique(np.asarray(batch.column(0)), return_counts=True)
-            chunk = f"{TaskContext.get().partitionId()}-{number}"
-            edges = np.searchsorted(values, np.arange(2**owner_bits + 1, dtype=np.int64) << low_bits)
-            rows = []
-            for owner in np.flatnonzero(np.diff(edges)):
-                own = values[edges[owner] : edges[owner + 1]] - (int(owner) << low_bits)
-                k = max(0, int(np.log2(2.0**low_bits / len(own))))
-                unary, low = rice(np.diff(own, prepend=0), k)
-                flags = bitmap(counts[edges[owner] : edges[owner + 1]] > 1)
-                rows.append((chunk, int(owner), len(own), k, unary, low, flags))
-            names = ["chunk", "owner", "n", "k", "unary", "low", "repeated"]
-            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            columns = list(zip(*rows)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+        found = [np.asarray(batch.column(0)) for batch in batches]
+        values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+        context = TaskContext.get()
+        chunk = context.partitionId() if context else 0
+        edges = np.searchsorted(values, np.arange(2**owner_bits + 1, dtype=np.int64) << low_bits)
+        rows = []
+        for owner in np.flatnonzero(np.diff(edges)):
+            own = values[edges[owner] : edges[owner + 1]] - (int(owner) << low_bits)
+            k = max(0, int(np.log2(2.0**low_bits / len(own))))
+            unary, low = rice(np.diff(own, prepend=0), k)
+            flags = bitmap(counts[edges[owner] : edges[owner + 1]] > 1)
+            rows.append((chunk, int(owner), len(own), k, unary, low, flags))
+        names = ["chunk", "owner", "n", "k", "unary", "low", "repeated"]
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        columns = list(zip(*rows)) or [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
 
     return send
 
@@ -83,7 +86,7 @@ def _answers(table):
     many = np.bincount(inverse, weights=np.concatenate(weights))[inverse] > 1
     parts = np.split(many, np.cumsum([len(v) for v in values])[:-1])
     return pa.table({
-        "chunk": pa.array([r["chunk"] for r in rows], pa.string()),
+        "chunk": pa.array([r["chunk"] for r in rows], pa.int32()),
         "owner": pa.array([r["owner"] for r in rows], pa.int32()),
         "suspects": pa.array([bitmap(p) for p in parts], pa.binary()),
     })
@@ -101,12 +104,21 @@ def _suspects(owner_bits):
     return read
 
 
+def owner_bits_for(n, tasks, n_partitions):
+    """Bits of the owner of a hash range: four a shuffle partition, where messages are not too small for the code."""
+    wanted = int(np.ceil(np.log2(4 * n_partitions)))
+    filled = int(np.log2(max(1, n // (tasks * MESSAGE_SIZE))))
+    return max(min(wanted, filled), int(np.ceil(np.log2(max(1, n / OWNER_SIZE)))))
+
+
 def repeated_fingerprints(fingerprints):
     """Distinct values of the one ``BITS``-bit long column that occur in more than one row."""
     spark = fingerprints.sparkSession
-    owner_bits = int(np.ceil(np.log2(4 * partitions(spark))))
+    tasks = fingerprints.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"))
+    tasks, n = tasks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    owner_bits = owner_bits_for(n, max(1, tasks), partitions(spark))
     sent = cut_lineage(fingerprints.mapInArrow(_messages(owner_bits), MESSAGE))
-    answers = sent.groupBy("owner").applyInArrow(_answers, "chunk string, owner int, suspects binary")
+    answers = sent.groupBy("owner").applyInArrow(_answers, "chunk int, owner int, suspects binary")
     found = sent.join(answers, ["chunk", "owner"]).mapInArrow(_suspects(owner_bits), "fp long")
     return cut_lineage(found.distinct())
 
@@ -118,12 +130,14 @@ def _groups(docs, id_col, text_col):
         F.monotonically_increasing_id().alias("row"),
     ))
     suspects = repeated_fingerprints(light.select("fp"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), _fingerprint(text_col).alias("fp"))
+    # Texts without a suspected fingerprint are not shuffled.
+    maybe, _ = split_by(texts, F.col("fp"), hash_filter(suspects))
     groups = cut_lineage(
-        docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), _fingerprint(text_col).alias("fp"))
-        .join(suspects, "fp", "left_semi")
-        .groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        maybe.join(suspects, "fp", "left_semi")
+        .groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.first("fp").alias("fp"))
         .where("group_size > 1")
-        .select(_digest("text").alias("sha"), "keep_id", "group_size")
+        .select(_digest("text").alias("sha"), "fp", "keep_id", "group_size")
     )
     first = (
         light.join(groups, "sha").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
@@ -141,6 +155,7 @@ def exact_groups(docs, id_col="doc_id", text_col="text"):
     * Other columns, whatever their names, are not read.  An empty table gives an empty result.
     """
     light, groups = _groups(docs, id_col, text_col)
+    groups = groups.drop("fp")
     single = F.col("group_size").isNull()
     return light.join(groups, "sha", "left").select(
         "doc_id",
@@ -156,12 +171,15 @@ def keep_one(docs, id_col="doc_id", text_col="text"):
     _, groups = _groups(docs, id_col, text_col)
     sha, keep, tied, number = unused(docs, "sha", "keep_id", "n_tied", "number")
     known = groups.select(F.col("sha").alias(sha), F.col("keep_id").alias(keep), F.col("n_tied").alias(tied))
-    rows = docs.withColumn(sha, _digest(text_col)).join(known, sha, "left")
+    # Rows whose text cannot be in a group stay where they are.
+    maybe, alone = split_by(docs, _fingerprint(text_col), hash_filter(groups.select("fp")))
+    rows = maybe.withColumn(sha, _digest(text_col)).join(known, sha, "left")
     stays = rows.where(F.col(tied).isNull() | F.col(id_col).eqNullSafe(F.col(keep)))
     several = F.coalesce(F.col(tied), F.lit(1)) > 1
     order = Window.partitionBy(sha).orderBy(*[F.col(quoted(c)) for c, t in docs.dtypes if not t.startswith("map")])
     one = stays.where(several).withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
-    return stays.where(~several).unionByName(one).select(*[F.col(quoted(c)) for c in docs.columns])
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    return alone.union(stays.where(~several).select(*columns)).union(one.select(*columns))
 
 
 def _digest(text_col):

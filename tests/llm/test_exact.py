@@ -2,7 +2,9 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sward.llm import exact
 from sward.llm.exact import exact_groups, keep_one, repeated_fingerprints, rice, unrice
@@ -25,6 +27,35 @@ def test_repeated_fingerprints(spark):
     assert sorted(r.fp for r in found.collect()) == sorted(v for v, n in Counter(values).items() if n > 1)
 
 
+def test_messages_hold_enough_fingerprints_at_any_number_of_partitions():
+    rng = np.random.default_rng(3)
+    for n, tasks in ((10_000, 1), (1_000_000, 16), (10, 4), (0, 1)):
+        bits = exact.owner_bits_for(n, tasks, 1 << 13)
+        assert bits <= 15 and n <= exact.OWNER_SIZE << bits
+        own = rng.integers(0, 1 << 48, n // tasks)
+        batches = [pa.RecordBatch.from_arrays([pa.array(part)], ["fp"]) for part in np.array_split(own, 7)]
+        sent = next(exact._messages(bits)(iter(batches)))
+        assert sent.num_rows <= max(1, len(own) // 32)
+        if len(own) > 1000:
+            assert sent.nbytes / len(own) < 6
+    assert exact.owner_bits_for(10**12, 10**6, 1 << 13) >= 15
+
+
+def test_rows_beside_the_filter_are_whole(spark):
+    from sward.llm.common import hash_filter, split_by
+
+    df = spark.range(3000).selectExpr("id", "id AS word", "xxhash64(id) AS h").repartition(5)
+    words = hash_filter(df.where("id % 7 = 0").select("h"))
+    maybe, other = split_by(df, F.col("h"), words)
+    assert maybe.columns == other.columns == df.columns
+    found, rest = {r["id"] for r in maybe.collect()}, {r["id"] for r in other.collect()}
+    assert found | rest == set(range(3000)) and not found & rest
+    assert found >= set(range(0, 3000, 7)) and len(found) < 450
+    nothing, everything = split_by(df, F.col("h"), hash_filter(df.where("false").select("h")))
+    assert nothing.count() == 0 and everything.count() == 3000
+    assert "Exchange hashpartitioning" not in maybe._jdf.queryExecution().simpleString()
+
+
 def _expected(rows):
     groups = defaultdict(list)
     for r in rows:
