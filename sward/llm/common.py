@@ -23,6 +23,12 @@ def partitions(spark):
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark):
+    """Let Arrow batches of texts hold 8 MB instead of 64: each task has some of them in memory at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return spark
+
+
 def text_or_empty(column="text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -135,9 +135,10 @@ FROM sets s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON s.doc_id = r
 
 @query("op10_ngram_jaccard", OP10_SQL)
 def op10_ngram_jaccard(spark, sf_dir):
+    from sward.llm.common import small_batches
     from sward.llm.jaccard import similar_components
 
-    return similar_components(documents(spark, sf_dir))
+    return similar_components(documents(small_batches(spark), sf_dir))
 
 
 @query("op1_pii")
