@@ -36,11 +36,11 @@ _MODELS = {}
 class PieceModel:
     """Pieces of a model file, and the packed ids of the units this worker remembers."""
 
-    def __init__(self, path):
+    def __init__(self, path, remembered=REMEMBERED):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
-        self.units = Recent(self._packed, limit=REMEMBERED)
+        self.units = Recent(self._packed, limit=remembered)
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(SentencePieceProcessor(model_file=path).serialized_model_proto())
         rules = proto.normalizer_spec
@@ -131,14 +131,14 @@ class PieceModel:
         return [t[1:] if self.prefix and t[:1] == " " else t for t in texts]
 
 
-def model(path):
+def model(path, remembered=REMEMBERED):
     """The model of this worker process."""
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+    if (path, remembered) not in _MODELS:
+        _MODELS[path, remembered] = PieceModel(path, remembered)
+    return _MODELS[path, remembered]
 
 
-def encode(docs, path, text_col="text", ids="ids"):
+def encode(docs, path, text_col="text", ids="ids", remembered=REMEMBERED):
     """``docs`` with an array column of ids (named ``ids``, or that and ``_`` where taken) and its name.
 
     * A null or empty text has an empty array.
@@ -146,12 +146,13 @@ def encode(docs, path, text_col="text", ids="ids"):
       without byte pieces.  The mark U+2581 in a text is read as a space, as the library does.
     * Equal rows get equal ids; other columns stay as they are.
     * A text without spaces is one unit, cut as a whole in memory of some 24 bytes a character.
+    * A worker remembers ``remembered`` bytes of units, which is only a matter of speed and memory.
     """
     (name,) = unused(docs, ids)
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        return _ids(model(path), texts)
+        return _ids(model(path, remembered), texts)
 
     return docs.withColumn(name, run(F.col(quoted(text_col)))), name
 
