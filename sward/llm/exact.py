@@ -118,7 +118,8 @@ def repeated_fingerprints(fingerprints):
     tasks, n = tasks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     owner_bits = owner_bits_for(n, max(1, tasks), partitions(spark))
     sent = cut_lineage(fingerprints.mapInArrow(_messages(owner_bits), MESSAGE))
-    answers = sent.groupBy("owner").applyInArrow(_answers, "chunk int, owner int, suspects binary")
+    # Written first, so that no task has two Python workers.
+    answers = cut_lineage(sent.groupBy("owner").applyInArrow(_answers, "chunk int, owner int, suspects binary"))
     found = sent.join(answers, ["chunk", "owner"]).mapInArrow(_suspects(owner_bits), "fp long")
     return cut_lineage(found.distinct())
 
