@@ -187,3 +187,31 @@ def test_repeated_lookup_key_raises(spark):
     look = spark.createDataFrame([("a", "1"), ("a", "2")], "k string, v string")
     with pytest.raises(Exception, match="more than once"):
         T.map_column(df, look, "k", "k", "v").collect()
+
+
+def test_code_lists_are_translated_once_per_list(spark, rows):
+    """Plots share a list, repeat a plot or a code, or hold no id; the work depends on the lists only."""
+    seen = []
+    table = spark.createDataFrame([("Y1", "X1", 0), ("Y2", "X2; X1", 1), ("Y1", "X1", 2)], "new_code string, old_codes string, ord int")
+    edges = T.crosswalk_edges(table)
+
+    def translate(cells):
+        seen.append(cells.count())
+        return T.crosswalk_codes(T.split_codes(cells, key="codes"), edges)
+
+    plots = spark.createDataFrame(
+        [(1, "X1"), (1, "X1"), (1, "Z9"), (2, "X1, X2"), (None, "X1"), (3, None)], "plot_id long, codes string")
+    plain = T.crosswalk_codes(T.split_codes(plots, key="plot_id"), edges)
+    assert rows(T.codes_of_cells(plots, translate), "plot_id", "code") == rows(plain, "plot_id", "code")
+    known = spark.createDataFrame([("Y1",)], "code string")
+    sets = T.label_sets_of_cells(plots, translate, known, "plot_id")
+    assert rows(sets, "plot_id", "noise_pct", "codes") == rows(T.label_sets(plain, known, "plot_id"), "plot_id", "noise_pct", "codes")
+    assert seen == [4, 4]
+
+
+def test_a_code_with_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(T, "REPEATS", 4)
+    table = spark.createDataFrame([("Y1", "X1", i) for i in range(11)], "new_code string, old_codes string, ord int")
+    plots = spark.createDataFrame([(i, "X1") for i in range(5)], "plot_id long, codes string")
+    out = T.codes_of_cells(plots, lambda cells: T.crosswalk_codes(T.split_codes(cells, key="codes"), T.crosswalk_edges(table)))
+    assert {(r["plot_id"], r["count"]) for r in out.groupBy("plot_id").count().collect()} == {(i, 11) for i in range(5)}
