@@ -89,3 +89,22 @@ def test_oversampling_reaches_the_target(spark):
         assert low[r["feature_id"]] - 1e-9 <= r["value"] <= high[r["feature_id"]] + 1e-9
     again, _ = borderline_smote(rows.repartition(5), values, 4, seed=2)
     assert sorted(r["row_id"] for r in again.collect()) == sorted(ids)
+
+
+def test_a_query_goes_to_a_unit_once(spark, monkeypatch):
+    """Without anything to prune, queries are written once per unit, not once per cell."""
+    written = []
+    cut = N.cut_lineage
+
+    def counting(df, *args):
+        out = cut(df, *args)
+        if "unit" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "cut_lineage", counting)
+    monkeypatch.setattr(N, "CHUNK_ROWS", 150)
+    matrix = np.random.default_rng(5).normal(size=(300, 32)).round(3)
+    near = nearest_neighbours(items(spark, matrix), items(spark, matrix), 3, 32, pivots=20)
+    assert near.count() == 900
+    assert written and written[0] <= 300 * 4
