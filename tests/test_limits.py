@@ -124,3 +124,14 @@ def test_fits_have_the_defaults_of_the_job(spark, monkeypatch, name):
     with pytest.raises(InterruptedError):
         all_queries.QUERIES[name](spark, SMALL).collect()
     assert asked and set(asked) == {models.ModelConfig(kind=FITS[name])}
+
+
+def test_tasks_after_a_shuffle_are_cut_by_size(spark):
+    """Few shuffle partitions in the session's settings do not make large tasks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        counted = spark.range(2_000_000).groupBy("id").count()
+        assert counted.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
