@@ -118,3 +118,10 @@ def test_robustness_modes(ready):
         "All", "Species + Location", "Species + Environmental", "Location + Environmental",
         "Species", "Location", "Environmental",
     }
+
+
+def test_forest_keeps_the_node_of_each_row():
+    """Otherwise every level sends all trees to all tasks and walks each row down from the root."""
+    from sward.operators import models
+
+    assert models.classifier(models.ModelConfig(kind="rf"), 4, 2).getCacheNodeIds()
