@@ -116,3 +116,20 @@ def test_zeros_count_without_being_stored():
     found = boosting.best_splits(cells, {(0, 0): (1.0, 5.0)}, np.array([0, 0, 1]), 1.0, 1.0).to_pylist()
     gain = 9 / 3 + 16 / 4 - 1 / 6
     assert found == [{"class": 0, "node": 0, "feature": 2, "bin": 0, "gain": round(gain, 9), "g": -3.0, "h": 2.0}]
+
+
+def test_branches_of_small_nodes_take_one_job_a_round(spark, cases, monkeypatch):
+    df, cfg = _vectors(spark, cases), replace(CFG, rounds=2, boost_depth=5, min_child=0.2)
+    found, jobs = {}, {}
+    # No node is small, some are, all are.
+    for local in (0, 60, 10_000):
+        monkeypatch.setattr(boosting, "LOCAL", local, raising=False)
+        spark.sparkContext.setJobGroup(f"branches-{local}", "fit")
+        found[local] = models.fit(df, cfg, 3, 3)
+        jobs[local] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"branches-{local}"))
+    spark.sparkContext.setJobGroup("", "")
+    assert np.allclose(_scores(found[0], df), _plain(cases, cfg, 3), atol=1e-9)
+    assert max(len(t.feature) for t in found[0].stages[0].rounds[0]) > 5
+    for local in (60, 10_000):
+        assert np.allclose(_scores(found[local], df), _scores(found[0], df), atol=1e-12)
+    assert jobs[10_000] < jobs[0] / 2
