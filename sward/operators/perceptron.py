@@ -1,14 +1,15 @@
 """Perceptron fitted by first-order steps on the softmax loss.
 
-The training rows are dealt to batches by hash of their key and written once, a folder per batch.  A step is one job
-over one folder: tasks add up the gradients of their rows, the sums meet by chunk of the weights, and one vector of
-the size of the network comes back to the driver, which holds the weights and the state of the optimizer.  How many
-steps an epoch has is bounded, so a batch is a share of the rows where they are many.
+The training rows are dealt to batches by hash of their key and written once, a folder per batch.  A batch is read once
+and kept by the executors as Arrow blocks, in memory or on disk.  A step is one job over the blocks of a batch, without a
+plan of its own: tasks add up the gradients of their rows, the sums meet by chunk of the weights, and one vector of the
+size of the network comes back to the driver, which holds the weights and the state of the optimizer.  How many steps an
+epoch has is bounded, so a batch is a share of the rows where they are many.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param.shared import HasFeaturesCol, HasProbabilityCol, HasRawPredictionCol
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
@@ -101,15 +102,30 @@ def compact(ids, values):
     return x, used
 
 
+def _packed(batches):
+    """Arrow blocks of at most ``BLOCK`` rows as bytes."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, BLOCK):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch.slice(first, BLOCK))
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+
+def blocks(rows):
+    """Rows as an RDD of Arrow blocks, kept by the executors once read."""
+    packed = rows.mapInArrow(_packed, "block binary").rdd.map(lambda r: bytes(r["block"]))
+    return packed.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _gradients(network, weights):
     """A task's gradient sums in chunks; part -1 counts its rows, held-out rows and those of them that are right."""
 
-    def run(batches):
+    def run(index, packed):
         layers, total = network.layers(weights.value), np.zeros(network.length)
         sums, seen = network.layers(total), np.zeros(3)
-        for batch in batches:
-            for first in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(first, BLOCK)
+        for block in packed:
+            for part in pa.ipc.open_stream(block):
                 label = np.asarray(part.column("label"))
                 x, used = compact(part.column("ids"), part.column("values"))
                 held = np.asarray(part.column("batch")) == HELD
@@ -119,33 +135,32 @@ def _gradients(network, weights):
                 if not held.all():
                     network.add_gradient(layers, sums, x[~held], used, label[~held])
                     seen[0] += (~held).sum()
-        yield _chunk(-1, seen)
+        yield -1, (index, seen)
         for first in range(0, network.length, CHUNK):
             own = total[first : first + CHUNK]
             if own.any():
-                yield _chunk(first // CHUNK, own)
+                yield first // CHUNK, (index, own)
 
     return run
 
 
-def _chunk(part, sums):
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), lists(sums.reshape(1, -1))], ["part", "sums"])
+def _added(sums):
+    """Sum of one part's chunks, in order of the tasks they come from."""
+    return np.sum([own for _, own in sorted(sums, key=lambda s: s[0])], axis=0)
 
 
-def _added(table):
-    """Chunks of one part to their sum."""
-    rows = np.asarray(table["sums"].combine_chunks().flatten()).reshape(table.num_rows, -1)
-    return pa.table({"part": table["part"].slice(0, 1), "sums": lists(rows.sum(axis=0, keepdims=True))})
+def gradient(packed, network, weights):
+    """Gradient sums over the rows that are not held out; counts of rows, held-out rows and right ones.
 
-
-def gradient(rows, network, weights):
-    """Gradient sums over the rows that are not held out; counts of rows, held-out rows and right ones."""
-    sent = rows.sparkSession.sparkContext.broadcast(weights)
-    found = rows.mapInArrow(_gradients(network, sent), SUMS).groupBy("part").applyInArrow(_added, SUMS).toArrow()
+    ``packed`` is an RDD of Arrow blocks.
+    """
+    context = packed.context
+    sent = context.broadcast(weights)
+    parts = max(1, min(context.defaultParallelism, 1 - (-network.length // CHUNK)))
+    found = packed.mapPartitionsWithIndex(_gradients(network, sent)).groupByKey(parts).mapValues(_added).collect()
     sent.unpersist()
     total, seen = np.zeros(network.length), np.zeros(3)
-    for part, sums in zip(found["part"].to_pylist(), found["sums"]):
-        own = np.asarray(sums.values)
+    for part, own in found:
         if part < 0:
             seen = own
         else:
@@ -233,6 +248,16 @@ def fit_perceptron(df, cfg, size, n_classes, key="row_id"):
     network = Network([size] + [cfg.neurons] * cfg.hidden_layers + [n_classes], cfg.activation)
     weights = network.start(cfg.weight_init, cfg.seed)
     rows, n_batches = _dealt(df, cfg, key)
+    dealt = {batch: blocks(rows.where(F.col("batch") == batch)) for batch in [HELD, *range(n_batches)]}
+    try:
+        return PerceptronModel().using(_descend(dealt, n_batches, cfg, network, weights), network)
+    finally:
+        for own in dealt.values():
+            own.unpersist()
+
+
+def _descend(dealt, n_batches, cfg, network, weights):
+    """Weights after all epochs over the blocks of each batch, as ``fit_perceptron`` says."""
     optimizer, plateau = Optimizer(cfg, network.length), Plateau(cfg)
     best, kept, idle = -np.inf, weights, 0
     for epoch in range(cfg.epochs + 1):
@@ -244,7 +269,8 @@ def fit_perceptron(df, cfg, size, n_classes, key="row_id"):
                 wanted.append(HELD)
             if not wanted:
                 break
-            g, (n, held, right) = gradient(rows.where(F.col("batch").isin(wanted)), network, weights)
+            own = dealt[wanted[0]] if len(wanted) == 1 else dealt[batch].context.union([dealt[b] for b in wanted])
+            g, (n, held, right) = gradient(own, network, weights)
             if held:
                 accuracy = right / held
                 optimizer.rate = plateau.rate(optimizer.rate, accuracy)
@@ -252,12 +278,12 @@ def fit_perceptron(df, cfg, size, n_classes, key="row_id"):
                 if accuracy > best:
                     best, kept = accuracy, weights
                 if idle >= cfg.stop_after:
-                    return PerceptronModel().using(kept, network)
+                    return kept
             if n:
                 weights = optimizer.step(weights, g / n)
             if epoch == cfg.epochs:
                 break
-    return PerceptronModel().using(kept if best > -np.inf else weights, network)
+    return kept if best > -np.inf else weights
 
 
 class Perceptron(Estimator):

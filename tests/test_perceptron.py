@@ -148,3 +148,24 @@ def test_empty_tables_and_rows(spark):
     assert np.allclose(_scores(model, df), 0.5) and _scores(model, df.where("false")) == []
     even = models.fit(df, replace(CFG, hidden_layers=0, weight_init="zeros"), 3, 2)
     assert np.allclose(_scores(even, df), 0.5)
+
+
+def test_a_step_is_one_job_over_blocks_that_are_kept(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 3, [0, 2], [float(rng.normal()), float(i % 3)], perceptron.HELD if i % 10 == 0 else 0) for i in range(60)]
+    df = spark.createDataFrame(rows, perceptron.BATCHES)
+    network = perceptron.Network([3, 4, 3], "tanh")
+    weights = network.start(None, 5)
+    found = [perceptron.gradient(perceptron.blocks(df.repartition(n)), network, weights) for n in (1, 3)]
+    assert np.allclose(found[0][0], found[1][0], atol=1e-12) and found[0][0].any()
+    assert found[0][1].tolist() == found[1][1].tolist() and found[0][1][:2].tolist() == [54.0, 6.0]
+    kept = perceptron.blocks(df)
+    first = perceptron.gradient(kept, network, weights)
+    spark.sparkContext.setJobGroup("one-step", "step")
+    again = perceptron.gradient(kept, network, weights)
+    spark.sparkContext.setJobGroup("", "")
+    assert np.array_equal(first[0], again[0])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one-step")) == 1
+    # No rows at all: no gradient.
+    none = perceptron.gradient(perceptron.blocks(df.where("false")), network, weights)
+    assert not none[0].any() and not none[1].any()
