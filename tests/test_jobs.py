@@ -125,3 +125,18 @@ def test_forest_keeps_the_node_of_each_row():
     from sward.operators import models
 
     assert models.classifier(models.ModelConfig(kind="rf"), 4, 2).getCacheNodeIds()
+
+
+def test_ablation_prepares_the_features_once(ready, monkeypatch):
+    rows, features = L.rows(ready), L.bit_entries(ready)
+    subsets = {"All": "all", "Species": "species"}
+    wanted = {
+        name: [r["accuracy"] for r in V.cross_validate(rows, features, L.VECTOR_LAYOUT, replace(
+            L.STUMP_CONFIG, n_folds=2, preprocess=replace(L.STUMP_CONFIG.preprocess, features=groups))).orderBy("fold").collect()]
+        for name, groups in subsets.items()
+    }
+    calls, plain = [], V.base_transforms
+    monkeypatch.setattr(V, "base_transforms", lambda *args: calls.append(1) or plain(*args))
+    found = U.ablation_study(rows, features, L.VECTOR_LAYOUT, replace(L.STUMP_CONFIG, n_folds=2), subsets).collect()
+    assert len(calls) == 1
+    assert {r["subset"]: round(r["mean"], 9) for r in found} == {n: round(sum(a) / 2, 9) for n, a in wanted.items()}
