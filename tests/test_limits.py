@@ -135,3 +135,11 @@ def test_tasks_after_a_shuffle_are_cut_by_size(spark):
         assert counted.rdd.getNumPartitions() > 1
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_observations_of_a_second_survey_are_worked_out_once(spark, survey):
+    header, species, codes = survey
+    trained = D.build_dataset(header, species, codes, cfg=CONFIG)
+    _, observed, _ = D.build_prediction_set(header.drop("label"), species, trained, cfg=CONFIG)
+    # Stored and encoded from a written table: no sums are left in its plan.
+    assert "Aggregate" not in observed._jdf.queryExecution().optimizedPlan().toString()
