@@ -9,7 +9,7 @@ units between such places, and a unit that returns is aligned once.
 import re
 from array import array
 from collections import Counter
-from itertools import accumulate, count
+from itertools import accumulate, chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,13 @@ from sward.session import cut_lineage
 MARK = "▁"
 #: Without white space before a space all spaces are cuts.
 BLANKS = re.compile(r"\s ")
-#: Bytes of text of a block (one document at least), the unit in which counts are asked for.
-BLOCK = 4 << 20
+#: Bytes of text of a block (one document at least), the unit in which counts are asked for.  A task holds the
+#: links of all its occurrences at a time, some fifty times as many bytes.
+BLOCK = 1 << 20
 #: Links of a group that are listed one by one; in longer ones equal ids are counted first.
 SHORT = 64
+#: New units that are aligned together.
+RUN = 256
 #: Bits of the second id in a packed pair.
 SHIFT = 32
 ALIGNED = (
@@ -46,8 +49,9 @@ def common_slices(ends_a, ends_b):
     """
     at_a = dict(zip(ends_a, count(1)))
     at_b = dict(zip(ends_b, count(1)))
+    both = at_a.keys() & at_b.keys()
     a0, b0, out = 0, 0, []
-    for end in sorted(at_a.keys() & at_b.keys()):
+    for end in sorted(both) if len(both) > 1 else both:
         a1, b1 = at_a[end], at_b[end]
         out.append((a0, a1, b0, b1))
         a0, b0 = a1, b1
@@ -62,34 +66,74 @@ class Unit:
 
     __slots__ = ("good", "n_a", "n_b", "n_groups", "n_links", "text", "links", "times")
 
-    def __init__(self, unit, a, b, bytes_a, bytes_b, names):
-        parts_a, parts_b = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
-        self.good = b"".join(parts_a) == unit.encode() == b"".join(parts_b)
-        self.n_a, self.n_b, self.n_groups, self.n_links = len(a), len(b), 0, 0
-        texts, links, times = [], [], None
-        if self.good:
-            for a0, a1, b0, b1 in common_slices(accumulate(map(len, parts_a)), accumulate(map(len, parts_b))):
-                if a1 - a0 == 1 == b1 - b0:
-                    x, y = a[a0], b[b0]
-                    links.append(x << SHIFT | y)
-                    texts.append(names[x] + "|" + names[y])
-                    continue
-                xs, ys = a[a0:a1], b[b0:b1]
-                texts.append(",".join([names[x] for x in xs]) + "|" + ",".join([names[y] for y in ys]))
-                if len(xs) * len(ys) <= SHORT:
-                    links += [x << SHIFT | y for x in xs for y in ys]
-                else:
-                    times = times or Counter()
-                    for x, n in Counter(xs).items():
-                        for y, m in Counter(ys).items():
-                            times[x << SHIFT | y] += n * m
-            self.n_groups, self.n_links = len(texts), len(links)
-        self.text, self.times = ";".join(texts), b""
-        if times:
-            self.n_links += sum(times.values())
-            self.times = array("q", [1] * len(links) + list(times.values())).tobytes()
-            links += times
-        self.links = array("q", links).tobytes()
+    def __init__(self, good, n_a, n_b, n_groups, n_links, text, links, times=b""):
+        self.good, self.n_a, self.n_b, self.n_groups, self.n_links = good, n_a, n_b, n_groups, n_links
+        self.text, self.links, self.times = text, links, times
+
+
+def aligned_unit(unit, a, b, bytes_a, bytes_b, names):
+    """The ``Unit`` of a text with ids ``a`` and ``b``."""
+    parts_a, parts_b = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
+    if not b"".join(parts_a) == unit.encode() == b"".join(parts_b):
+        return Unit(False, len(a), len(b), 0, 0, "", b"")
+    texts, links, times = [], [], Counter()
+    for a0, a1, b0, b1 in common_slices(accumulate(map(len, parts_a)), accumulate(map(len, parts_b))):
+        xs, ys = a[a0:a1], b[b0:b1]
+        texts.append(",".join([names[x] for x in xs]) + "|" + ",".join([names[y] for y in ys]))
+        if len(xs) * len(ys) <= SHORT:
+            links += [x << SHIFT | y for x in xs for y in ys]
+        else:
+            for x, n in Counter(xs).items():
+                for y, m in Counter(ys).items():
+                    times[x << SHIFT | y] += n * m
+    n_links = len(links) + sum(times.values())
+    counts = array("q", [1] * len(links) + list(times.values())).tobytes() if times else b""
+    return Unit(True, len(a), len(b), len(texts), n_links, ";".join(texts), array("q", [*links, *times]).tobytes(), counts)
+
+
+def aligned_units(units, all_a, all_b, bytes_a, bytes_b, names):
+    """``aligned_unit`` of many units, worked out together where all keep their bytes and have short groups."""
+    flat_a, flat_b = list(chain.from_iterable(all_a)), list(chain.from_iterable(all_b))
+    parts_a, parts_b = [bytes_a[i] for i in flat_a], [bytes_b[i] for i in flat_b]
+    n_a, n_b = ([len(ids) for ids in side] for side in (all_a, all_b))
+    size_a, size_b = (np.array([len(p) for p in parts], dtype=np.int64) for parts in (parts_a, parts_b))
+    ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
+    last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
+    text = "".join(units).encode()
+    whole = b"".join(parts_a) == text == b"".join(parts_b) and size_a.all() and size_b.all()
+    # Each unit keeps its bytes if the whole does and both end it at its own end.
+    own = np.cumsum([len(u.encode()) for u in units])
+    if not whole or (ends_a[last_a - 1] != own).any() or (ends_b[last_b - 1] != own).any():
+        return None
+    cut = np.zeros(len(text) + 1, dtype=np.int8)
+    cut[ends_a] += 1
+    cut[ends_b] += 1
+    stop_a, stop_b = (np.flatnonzero(cut[ends] == 2) + 1 for ends in (ends_a, ends_b))
+    in_a, in_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+    sizes = in_a * in_b
+    if (sizes > SHORT).any():
+        return None
+    ids_a, ids_b = np.array(flat_a, dtype=np.int64), np.array(flat_b, dtype=np.int64)
+    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    width = np.repeat(in_b, sizes)
+    x, y = np.repeat(stop_a - in_a, sizes) + within // width, np.repeat(stop_b - in_b, sizes) + within % width
+    links = (ids_a[x] << SHIFT | ids_b[y]).tobytes()
+    groups = np.searchsorted(stop_a, last_a, side="right")  # groups up to the end of each unit
+    ends = np.cumsum(sizes)[groups - 1].tolist()
+    names_a, names_b = [names[i] for i in flat_a], [names[i] for i in flat_b]
+    texts, a0, b0 = [], 0, 0
+    for a1, b1 in zip(stop_a.tolist(), stop_b.tolist()):
+        if a1 - a0 == 1 == b1 - b0:
+            texts.append(names_a[a0] + "|" + names_b[b0])
+        else:
+            texts.append(",".join(names_a[a0:a1]) + "|" + ",".join(names_b[b0:b1]))
+        a0, b0 = a1, b1
+    out, g0, l0 = [], 0, 0
+    for a, b, g1, l1 in zip(n_a, n_b, groups.tolist(), ends):
+        text = texts[g0] if g1 - g0 == 1 else ";".join(texts[g0:g1])
+        out.append(Unit(True, a, b, g1 - g0, l1 - l0, text, links[8 * l0 : 8 * l1]))
+        g0, l0 = g1, l1
+    return out
 
 
 class Aligner:
@@ -117,7 +161,7 @@ class Aligner:
             self.bytes_b.append(bytes([int(text[1:-1], 16)]) if self.b.is_byte(i) else text.replace(MARK, " ").encode())
         self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.words = Recent(self._word, limit=16 << 20)
-        self.known = Recent(None, limit=40 << 20)
+        self.known = Recent(None, limit=96 << 20)
 
     def _word(self, pretoken):
         found = self.a.tokenizer.model.tokenize(pretoken.encode().decode("latin-1").translate(self.a.alphabet))
@@ -140,7 +184,7 @@ class Aligner:
         """
         solid = [u for u in units if not u[-1].isspace()]
         out = {u: self._ids_a(u) for u in units if u[-1].isspace()}
-        left = iter(solid)
+        words, left = self.words, iter(solid)
         for found in self.a.pretokens("".join(solid)):
             if isinstance(found, str):  # a window that goes to the library, unit by unit
                 size = len(found)
@@ -155,7 +199,7 @@ class Aligner:
                     unit = next(left)
                     size, ids = len(unit), []
                     out[unit] = ids
-                ids.extend(self.words[word])
+                ids.extend(words[word])
                 size -= len(word)
         return out
 
@@ -166,11 +210,16 @@ class Aligner:
         new = [n for n, unit in found.items() if unit is None]
         first = self._all_ids_a(new)
         # The model puts a unit's first space back, but gives nothing at all for an empty text.
-        for n, b in zip(new, self.b.encode([n[1:] for n in new], num_threads=1)):
-            found[n] = Unit(n, first[n], b or [self.space], self.bytes_a, self.bytes_b, self.names)
-        for n, unit in found.items():
-            if n not in known:
-                known.keep(n, unit, 400 + len(unit.text) + len(unit.links))
+        second = [b or [self.space] for b in self.b.encode([n[1:] for n in new], num_threads=1)]
+        # In short runs, so that a unit of the uncommon kind costs its neighbours little.
+        for at in range(0, len(new), RUN):
+            run = new[at : at + RUN]
+            sides, rules = ([first[n] for n in run], second[at : at + RUN]), (self.bytes_a, self.bytes_b, self.names)
+            made = aligned_units(run, *sides, *rules) or [aligned_unit(n, a, b, *rules) for n, a, b in zip(run, *sides)]
+            found.update(zip(run, made))
+        for n in [n for n in found if n not in known]:
+            unit = found[n]
+            known.keep(n, unit, 400 + len(unit.text) + len(unit.links))
         return list(found.values())
 
 
@@ -221,17 +270,24 @@ def _block(number, ids, texts, pair_of):
 
     own = np.array([len(u.links) // 8 for u in units], dtype=np.int64)
     packed = np.frombuffer(b"".join([u.links for u in units]), dtype=np.int64)
-    weights = np.ones(len(packed), dtype=np.int64)
+    weights = None
     for u, first in zip(units, (np.cumsum(own) - own).tolist()):
         if u.times:
+            if weights is None:
+                weights = np.ones(len(packed), dtype=np.int64)
             weights[first : first + len(u.links) // 8] = np.frombuffer(u.times, dtype=np.int64)
     pairs, code = np.unique(packed, return_inverse=True)
     where = _gather((np.cumsum(own) - own)[occurrences], own[occurrences]) if len(units) else occurrences
     keys = np.repeat(doc, own[occurrences]) * len(pairs) + code[where] if len(where) else where
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    heads = np.flatnonzero(np.diff(keys, prepend=-1))
-    times = np.add.reduceat(weights[where][order], heads) if len(heads) else np.zeros(0, np.int64)
+    if weights is None:
+        keys.sort()
+        heads = np.flatnonzero(np.diff(keys, prepend=-1))
+        times = np.diff(heads, append=len(keys))
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        heads = np.flatnonzero(np.diff(keys, prepend=-1))
+        times = np.add.reduceat(weights[where][order], heads) if len(heads) else np.zeros(0, np.int64)
     keys = keys[heads]
     at, of = (keys % len(pairs), keys // len(pairs)) if len(keys) else (keys, keys)
     holders = np.bincount(at, minlength=len(pairs))

@@ -129,3 +129,25 @@ def test_remembered_units_are_bounded():
 def test_other_kinds_are_refused():
     with pytest.raises(ValueError):
         alignment.Aligner(tokenizer_path("word_bpe_49k.json"), B)
+
+
+def test_blocks_are_short(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 5000) for i in range(60)], "doc_id long, text string").coalesce(1)
+    sizes = [len(r.doc_id) for r in align(docs, A, B).select("doc_id").collect()]
+    assert sum(sizes) == 60 and max(sizes) * 35_000 <= 1.1 * (1 << 20)
+
+
+def test_units_together_equal_units_alone():
+    both, rng = alignment.Aligner(A, B), random.Random(8)
+    units = [" " + "".join(rng.choice("abTé's,.\n中=9") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    units = list(dict.fromkeys(u for u in units if not u.endswith("\n")))
+    sides = [[both._ids_a(u) for u in units], [both.b.encode(u[1:]) or [both.space] for u in units]]
+    rules = both.bytes_a, both.bytes_b, both.names
+    alone = [alignment.aligned_unit(u, a, b, *rules) for u, a, b in zip(units, *sides)]
+    good = [i for i, u in enumerate(alone) if u.good]
+    together = alignment.aligned_units([units[i] for i in good], *[[s[i] for i in good] for s in sides], *rules)
+
+    def fields(unit):
+        return [getattr(unit, f) for f in alignment.Unit.__slots__]
+
+    assert len(good) > 200 and [fields(u) for u in together] == [fields(alone[i]) for i in good]
