@@ -13,13 +13,14 @@ from itertools import accumulate, chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sward.llm.bytelevel import SAFE, ByteLevelTokenizer, windows
 from sward.llm.common import quoted, slices
-from sward.llm.remember import Recent, no_collector
+from sward.llm.remember import no_collector
 from sward.session import cut_lineage
 
 MARK = "▁"
@@ -30,8 +31,10 @@ BLANKS = re.compile(r"\s ")
 BLOCK = 1 << 20
 #: Links of a group that are listed one by one; in longer ones equal ids are counted first.
 SHORT = 64
-#: New units that are aligned together.
-RUN = 256
+#: New units that are aligned together, and the most that are aligned one by one when that fails.
+RUN, ALONE = 1024, 32
+#: Bytes of pre-tokens that a worker remembers in each of two generations.
+WORDS = 16 << 20
 #: Bits of the second id in a packed pair.
 SHIFT = 32
 ALIGNED = (
@@ -91,49 +94,178 @@ def aligned_unit(unit, a, b, bytes_a, bytes_b, names):
     return Unit(True, len(a), len(b), len(texts), n_links, ";".join(texts), array("q", [*links, *times]).tobytes(), counts)
 
 
-def aligned_units(units, all_a, all_b, bytes_a, bytes_b, names):
-    """``aligned_unit`` of many units, worked out together where all keep their bytes and have short groups."""
-    flat_a, flat_b = list(chain.from_iterable(all_a)), list(chain.from_iterable(all_b))
-    parts_a, parts_b = [bytes_a[i] for i in flat_a], [bytes_b[i] for i in flat_b]
-    n_a, n_b = ([len(ids) for ids in side] for side in (all_a, all_b))
-    size_a, size_b = (np.array([len(p) for p in parts], dtype=np.int64) for parts in (parts_a, parts_b))
-    ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
-    last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype, width=()):
+        self.data, self.size = np.empty((1 << 10, *width), dtype=dtype), 0
+
+    def extend(self, values):
+        size = self.size + len(values)
+        if size > len(self.data):
+            data = np.empty((max(size, len(self.data) * 5 // 4), *self.data.shape[1:]), dtype=self.data.dtype)
+            data[: self.size] = self.data[: self.size]
+            self.data = data
+        self.data[self.size : size] = values
+        self.size = size
+
+    def all(self):
+        return self.data[: self.size]
+
+
+class Columns:
+    """Aligned units as rows: ``counts`` (``n_a, n_b, n_groups, n_links``; no groups where bytes differ), texts and links.
+
+    ``times`` has how often each pair is linked for the rows where that is not once.
+    """
+
+    def __init__(self):
+        self.counts, self.text, self.links = Grown(np.int64, (4,)), Grown(np.uint8), Grown(np.int64)
+        self.text_ends, self.link_ends = Grown(np.int64), Grown(np.int64)
+        self.times = {}
+
+    def __len__(self):
+        return self.counts.size
+
+    def add(self, counts, text, text_ends, links, link_ends):
+        """Rows whose ``text_ends`` and ``link_ends`` count from the first of them."""
+        self.counts.extend(counts)
+        self.text_ends.extend(text_ends + self.text.size)
+        self.link_ends.extend(link_ends + self.links.size)
+        self.text.extend(text)
+        self.links.extend(links)
+
+    def add_unit(self, unit):
+        if unit.times:
+            self.times[len(self)] = np.frombuffer(unit.times, dtype=np.int64)
+        text, links = np.frombuffer(unit.text.encode(), dtype=np.uint8), np.frombuffer(unit.links, dtype=np.int64)
+        counts = np.array([[unit.n_a, unit.n_b, unit.n_groups, unit.n_links]])
+        self.add(counts, text, np.array([len(text)]), links, np.array([len(links)]))
+
+    def add_rows(self, other, rows):
+        """Copies of rows of another table."""
+        for to, row in enumerate(rows.tolist() if other.times else (), len(self)):
+            if row in other.times:
+                self.times[to] = other.times[row]
+        text, n_text = other.runs(other.text, other.text_ends, rows)
+        links, n_links = other.runs(other.links, other.link_ends, rows)
+        self.add(other.counts.data[rows], text, np.cumsum(n_text), links, np.cumsum(n_links))
+
+    def runs(self, values, ends, rows):
+        """The values of ``rows``, one after the other, and how many each has."""
+        last = ends.data[rows]
+        first = np.where(rows > 0, ends.data[rows - 1], 0)
+        return values.data[_gather(first, last - first)], last - first
+
+    def texts(self):
+        offsets = np.concatenate(([0], self.text_ends.all())).astype(np.int32)
+        return pa.StringArray.from_buffers(len(self), pa.py_buffer(offsets), pa.py_buffer(self.text.all()))
+
+    def unit(self, row):
+        one = np.array([row])
+        times = self.times[row].tobytes() if row in self.times else b""
+        text, links = self.runs(self.text, self.text_ends, one)[0], self.runs(self.links, self.link_ends, one)[0]
+        counts = self.counts.data[row].tolist()
+        return Unit(counts[2] > 0, *counts, text.tobytes().decode(), links.tobytes(), times)
+
+
+class Known(dict):
+    """Rows by unit, in two generations of about ``limit`` bytes; units of over ``longest`` characters are not found again."""
+
+    #: About what a unit's key, its place in a dictionary and its row take beside their contents.
+    OVERHEAD = 300
+
+    def __init__(self, limit, longest=64):
+        super().__init__()
+        self.limit, self.longest = limit, longest
+        self.old, self.columns, self.old_columns, self.letters = {}, Columns(), Columns(), 0
+
+    def turn(self):
+        """Make the young generation the old one where it is full; rows are those of the young one from here on."""
+        held = self.OVERHEAD * len(self.columns) + 2 * self.letters + self.columns.text.size + 8 * self.columns.links.size
+        if held > self.limit:
+            self.old, self.old_columns = dict(self), self.columns
+            self.clear()
+            self.columns, self.letters = Columns(), 0
+
+    def name(self, units):
+        """Give the last rows their names."""
+        self.update(zip(units, range(len(self.columns) - len(units), len(self.columns))))
+        self.letters += sum(map(len, units))
+        for unit in units:
+            if len(unit) > self.longest:
+                del self[unit]
+
+
+class TokenBytes(list):
+    """Bytes of each id, and their numbers as an array."""
+
+    def __init__(self, found):
+        super().__init__(found)
+        self.sizes = np.array([len(b) for b in self], dtype=np.int64)
+
+
+class Names(list):
+    """Decimal text of each id, and the same as rows of an array with one byte more than any needs."""
+
+    def __init__(self, count):
+        super().__init__(map(str, range(count)))
+        self.sizes = np.array([len(n) for n in self], dtype=np.int64)
+        self.letters = np.array(self, dtype=f"S{int(self.sizes.max(initial=0)) + 1}").view(np.uint8).reshape(count, -1)
+
+
+def aligned_run(units, flat_a, flat_b, bytes_a, bytes_b, names):
+    """The rows (see ``Columns.add``) of units with the ids of their joined text, or None.
+
+    None unless both tokenizers keep all bytes and end a token with each unit, and all groups are short.
+    """
     text = "".join(units).encode()
-    whole = b"".join(parts_a) == text == b"".join(parts_b) and size_a.all() and size_b.all()
-    # Each unit keeps its bytes if the whole does and both end it at its own end.
-    own = np.cumsum([len(u.encode()) for u in units])
-    if not whole or (ends_a[last_a - 1] != own).any() or (ends_b[last_b - 1] != own).any():
+    if not b"".join([bytes_a[i] for i in flat_a]) == text == b"".join([bytes_b[i] for i in flat_b]):
         return None
+    ids_a, ids_b = np.array(flat_a, dtype=np.int64), np.array(flat_b, dtype=np.int64)
+    size_a, size_b = bytes_a.sizes[ids_a], bytes_b.sizes[ids_b]
+    ends_a, ends_b, own = np.cumsum(size_a), np.cumsum(size_b), np.cumsum([len(u.encode()) for u in units])
     cut = np.zeros(len(text) + 1, dtype=np.int8)
     cut[ends_a] += 1
     cut[ends_b] += 1
+    if not (size_a.all() and size_b.all()) or (cut[own] != 2).any():
+        return None
     stop_a, stop_b = (np.flatnonzero(cut[ends] == 2) + 1 for ends in (ends_a, ends_b))
     in_a, in_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
     sizes = in_a * in_b
     if (sizes > SHORT).any():
         return None
-    ids_a, ids_b = np.array(flat_a, dtype=np.int64), np.array(flat_b, dtype=np.int64)
-    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     width = np.repeat(in_b, sizes)
-    x, y = np.repeat(stop_a - in_a, sizes) + within // width, np.repeat(stop_b - in_b, sizes) + within % width
-    links = (ids_a[x] << SHIFT | ids_b[y]).tobytes()
-    groups = np.searchsorted(stop_a, last_a, side="right")  # groups up to the end of each unit
-    ends = np.cumsum(sizes)[groups - 1].tolist()
-    names_a, names_b = [names[i] for i in flat_a], [names[i] for i in flat_b]
-    texts, a0, b0 = [], 0, 0
-    for a1, b1 in zip(stop_a.tolist(), stop_b.tolist()):
-        if a1 - a0 == 1 == b1 - b0:
-            texts.append(names_a[a0] + "|" + names_b[b0])
-        else:
-            texts.append(",".join(names_a[a0:a1]) + "|" + ",".join(names_b[b0:b1]))
-        a0, b0 = a1, b1
-    out, g0, l0 = [], 0, 0
-    for a, b, g1, l1 in zip(n_a, n_b, groups.tolist(), ends):
-        text = texts[g0] if g1 - g0 == 1 else ";".join(texts[g0:g1])
-        out.append(Unit(True, a, b, g1 - g0, l1 - l0, text, links[8 * l0 : 8 * l1]))
-        g0, l0 = g1, l1
-    return out
+    within = np.arange(len(width)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    across = within // width
+    x, y = np.repeat(stop_a - in_a, sizes) + across, np.repeat(stop_b - in_b, sizes) + within - across * width
+    links = ids_a[x] << SHIFT | ids_b[y]
+    groups = np.searchsorted(ends_a[stop_a - 1], own, side="right")  # groups up to the end of each unit
+    link_ends = np.cumsum(sizes)[groups - 1]
+    # Ids in the order of the text: those of a group by the one, then by the other tokenizer.
+    at_a = np.arange(len(ids_a)) + np.repeat(stop_b - in_b, in_a)
+    at_b = np.arange(len(ids_b)) + np.repeat(stop_a, in_b)
+    ids, marks = np.empty(len(ids_a) + len(ids_b), dtype=np.int64), np.full(len(ids_a) + len(ids_b), ord(","), dtype=np.uint8)
+    ids[at_a], ids[at_b] = ids_a, ids_b
+    marks[at_a[stop_a - 1]], marks[at_b[stop_b - 1]] = ord("|"), ord(";")
+    last = at_b[stop_b[groups - 1] - 1]
+    letters, room = names.letters[ids], names.sizes[ids]
+    letters[np.arange(len(ids)), room] = marks
+    room += 1
+    room[last] -= 1
+    written = letters[np.arange(letters.shape[1]) < room[:, None]]
+    counts = [np.diff(n, prepend=0) for n in (stop_a[groups - 1], stop_b[groups - 1], groups, link_ends)]
+    return np.stack(counts, axis=1), written, np.cumsum(room)[last], links, link_ends
+
+
+def aligned_units(units, all_a, all_b, bytes_a, bytes_b, names):
+    """``aligned_unit`` of many units, worked out together; None where ``aligned_run`` is."""
+    rows = aligned_run(units, *[list(chain.from_iterable(ids)) for ids in (all_a, all_b)], bytes_a, bytes_b, names)
+    if rows is None:
+        return None
+    out = Columns()
+    out.add(*rows)
+    return [out.unit(row) for row in range(len(out))]
 
 
 class Aligner:
@@ -143,7 +275,7 @@ class Aligner:
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
         self.a = ByteLevelTokenizer(path_a, plain=True)
-        self.bytes_a = self.a.token_bytes()
+        self.bytes_a = TokenBytes(self.a.token_bytes())
         proto = sentencepiece_model_pb2.ModelProto()
         self.b = SentencePieceProcessor(model_file=path_b)
         proto.ParseFromString(self.b.serialized_model_proto())
@@ -153,74 +285,90 @@ class Aligner:
         self.space = self.b.piece_to_id(MARK)
         if self.space == self.b.unk_id():
             raise ValueError("only models with a piece for the space are supported")
-        self.bytes_b = []
+        found = []
         for i, piece in enumerate(proto.pieces):
             if piece.piece.lstrip(MARK).find(MARK) >= 0:
                 raise ValueError(f"piece with a mark inside: {piece.piece}")
             text = piece.piece
-            self.bytes_b.append(bytes([int(text[1:-1], 16)]) if self.b.is_byte(i) else text.replace(MARK, " ").encode())
-        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
-        self.words = Recent(self._word, limit=16 << 20)
-        self.known = Recent(None, limit=96 << 20)
-
-    def _word(self, pretoken):
-        found = self.a.tokenizer.model.tokenize(pretoken.encode().decode("latin-1").translate(self.a.alphabet))
-        return tuple([t.id for t in found])
-
-    def _ids_a(self, unit):
+            found.append(bytes([int(text[1:-1], 16)]) if self.b.is_byte(i) else text.replace(MARK, " ").encode())
+        self.bytes_b = TokenBytes(found)
+        self.names = Names(max(len(self.bytes_a), len(self.bytes_b)))
+        self.words, self.old_words, self.letters = {}, {}, 0
+        # Each byte's character, and a space, which is not among them, for the byte that no text has.
+        self.alphabet = np.array([ord(self.a.alphabet[b]) for b in range(255)] + [ord(" ")], dtype="<u2")
+        self.known = Known(limit=96 << 20)
+
+    def _learn(self, words):
+        """Remember the ids of new pre-tokens, in two generations of about ``WORDS`` bytes."""
+        if 300 * len(self.words) + 2 * self.letters > WORDS:
+            self.words, self.old_words, self.letters = {}, self.words, 0
+        new = [w for w in words if w not in self.old_words]
+        data = np.frombuffer("\udcff".join(new).encode(errors="surrogateescape"), dtype=np.uint8)
+        spelled = self.alphabet[data].tobytes().decode("utf-16-le").split(" ")
+        tokenize = self.a.tokenizer.model.tokenize
+        self.words.update((w, self.old_words[w]) for w in words if w in self.old_words)
+        self.words.update(zip(new, [tuple([t.id for t in tokenize(w)]) for w in spelled]))
+        self.letters += sum(map(len, words))
+
+    def _ids_a(self, text):
         ids = []
-        for found in self.a.pretokens(unit):
+        for found in self.a.pretokens(text):
             if isinstance(found, list):
-                for word in found:
-                    ids.extend(self.words[word])
+                distinct = set(found)
+                new = distinct.difference(self.words)
+                if new:
+                    self._learn(new)
+                    if not distinct <= self.words.keys():  # a generation has ended
+                        self._learn(distinct.difference(self.words))
+                ids.extend(chain.from_iterable(map(self.words.__getitem__, found)))
             else:
                 ids.extend(self.a.ids(found))
         return ids
 
-    def _all_ids_a(self, units):
-        """Ids of each unit, cut into pre-tokens in one run over those that end visibly.
-
-        Such units, one after the other, are cut again where they meet.
-        """
-        solid = [u for u in units if not u[-1].isspace()]
-        out = {u: self._ids_a(u) for u in units if u[-1].isspace()}
-        words, left = self.words, iter(solid)
-        for found in self.a.pretokens("".join(solid)):
-            if isinstance(found, str):  # a window that goes to the library, unit by unit
-                size = len(found)
-                while size:
-                    unit = next(left)
-                    out[unit] = self._ids_a(unit)
-                    size -= len(unit)
-                continue
-            size = 0
-            for word in found:
-                if not size:
-                    unit = next(left)
-                    size, ids = len(unit), []
-                    out[unit] = ids
-                ids.extend(words[word])
-                size -= len(word)
-        return out
-
     def units(self, names):
-        """A ``Unit`` for each different unit of a block; each begins with a space."""
+        """A row of ``known.columns`` for each different unit of a block; each begins with a space."""
         known = self.known
-        found = {n: known.get(n) or known.old.get(n) for n in names}
-        new = [n for n, unit in found.items() if unit is None]
-        first = self._all_ids_a(new)
-        # The model puts a unit's first space back, but gives nothing at all for an empty text.
-        second = [b or [self.space] for b in self.b.encode([n[1:] for n in new], num_threads=1)]
-        # In short runs, so that a unit of the uncommon kind costs its neighbours little.
-        for at in range(0, len(new), RUN):
-            run = new[at : at + RUN]
-            sides, rules = ([first[n] for n in run], second[at : at + RUN]), (self.bytes_a, self.bytes_b, self.names)
-            made = aligned_units(run, *sides, *rules) or [aligned_unit(n, a, b, *rules) for n, a, b in zip(run, *sides)]
-            found.update(zip(run, made))
-        for n in [n for n in found if n not in known]:
-            unit = found[n]
-            known.keep(n, unit, 400 + len(unit.text) + len(unit.links))
-        return list(found.values())
+        known.turn()
+        rows = np.array([known.get(n, -1) for n in names], dtype=np.int64)
+        missing = [(i, known.old.get(names[i], -1)) for i in np.flatnonzero(rows < 0).tolist()]
+        again = [(i, row) for i, row in missing if row >= 0]
+        if again:
+            at, old = np.array(again, dtype=np.int64).T
+            rows[at] = np.arange(len(known.columns), len(known.columns) + len(at))
+            known.columns.add_rows(known.old_columns, old)
+            known.name([names[i] for i in at.tolist()])
+        new = [i for i, row in missing if row < 0]
+        # Joined units are cut again where they meet if the first of them ends visibly.
+        solid = [i for i in new if not names[i][-1].isspace()]
+        loose = [i for i in new if names[i][-1].isspace()]
+        rows[solid + loose] = np.arange(len(known.columns), len(known.columns) + len(new))
+        fresh = [names[i] for i in solid + loose]
+        for at in range(0, len(solid), RUN):
+            self._align(fresh[at : min(at + RUN, len(solid))])
+        for unit in fresh[len(solid) :]:
+            self._align([unit])
+        known.name(fresh)
+        return rows
+
+    def _align(self, units):
+        """Add the rows of units that all end visibly, or of a single one."""
+        found = None
+        if len(units) > 1:
+            text = "".join(units)
+            rules = self.bytes_a, self.bytes_b, self.names
+            # The model puts the first space back.
+            found = aligned_run(units, self._ids_a(text), self.b.encode(text[1:]), *rules)
+        if found is not None:
+            self.known.columns.add(*found)
+        elif len(units) > ALONE:
+            # In shorter runs, so that a unit of the uncommon kind costs its neighbours little.
+            for half in (units[: len(units) // 2], units[len(units) // 2 :]):
+                self._align(half)
+        else:
+            for unit in units:
+                # It gives nothing at all for an empty text.
+                b = self.b.encode(unit[1:]) or [self.space]
+                self.known.columns.add_unit(aligned_unit(unit, self._ids_a(unit), b, self.bytes_a, self.bytes_b, self.names))
 
 
 def aligner(path_a, path_b):
@@ -236,48 +384,47 @@ def _gather(starts, sizes):
 
 
 def cut_units(text):
-    """Units of a text that begins with a space."""
+    """Units of a text that begins with a space, without the space that each begins with."""
     if BLANKS.search(text):
-        return SAFE.split(text)
-    return [" " + part for part in text[1:].split(" ")]
+        return [unit[1:] for unit in SAFE.split(text)]
+    return text[1:].split(" ")
 
 
 def _block(number, ids, texts, pair_of):
-    index, occurrences, sizes = {}, [], []
+    found, sizes = [], []
     for text in texts:
-        before = len(occurrences)
+        before = len(found)
         for window in windows(" " + text) if text else ():
-            occurrences.extend([index.setdefault(u, len(index)) for u in cut_units(window)])
-        sizes.append(len(occurrences) - before)
-    units = pair_of.units(list(index))
-    occurrences, sizes = np.array(occurrences, dtype=np.int64), np.array(sizes, dtype=np.int64)
+            found += cut_units(window)
+        sizes.append(len(found) - before)
+    coded = pa.array(found, pa.string()).dictionary_encode()
+    occurrences, sizes = np.asarray(coded.indices).astype(np.int64), np.array(sizes, dtype=np.int64)
+    rows = pair_of.units([" " + unit for unit in coded.dictionary.to_pylist()])
+    table = pair_of.known.columns
+    counts = table.counts.data[rows]
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    bad = np.array([not u.good for u in units], dtype=bool)
-    spoiled = np.bincount(doc[bad[occurrences]], minlength=len(sizes)) > 0 if len(units) else np.zeros(len(sizes), bool)
+    spoiled = np.bincount(doc[(counts[:, 2] == 0)[occurrences]], minlength=len(sizes)) > 0
     kept = ~spoiled[doc]
-    firsts = np.cumsum(sizes) - sizes
-    groups = [
-        "" if spoiled[d] else ";".join([units[u].text for u in occurrences[firsts[d] : firsts[d] + sizes[d]].tolist()])
-        for d in range(len(sizes))
-    ]
     occurrences, doc = occurrences[kept], doc[kept]
-
-    def total(field):
-        values = np.array([getattr(u, field) for u in units], dtype=np.int64)
-        sums = np.concatenate(([0], np.cumsum(values[occurrences] if len(units) else occurrences)))
-        edges = np.searchsorted(doc, np.arange(len(sizes) + 1))
-        return (sums[edges[1:]] - sums[edges[:-1]]).tolist()
-
-    own = np.array([len(u.links) // 8 for u in units], dtype=np.int64)
-    packed = np.frombuffer(b"".join([u.links for u in units]), dtype=np.int64)
+    edges = np.searchsorted(doc, np.arange(len(sizes) + 1))
+    lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), table.texts().take(pa.array(rows)).take(pa.array(occurrences)))
+    sums = np.concatenate((np.zeros((1, 4), dtype=np.int64), np.cumsum(counts[occurrences], axis=0)))
+    totals = (sums[edges[1:]] - sums[edges[:-1]]).T
+    packed, own = table.runs(table.links, table.link_ends, rows)
     weights = None
-    for u, first in zip(units, (np.cumsum(own) - own).tolist()):
-        if u.times:
+    for row, first in zip(rows.tolist(), (np.cumsum(own) - own).tolist()) if table.times else ():
+        if row in table.times:
             if weights is None:
                 weights = np.ones(len(packed), dtype=np.int64)
-            weights[first : first + len(u.links) // 8] = np.frombuffer(u.times, dtype=np.int64)
-    pairs, code = np.unique(packed, return_inverse=True)
-    where = _gather((np.cumsum(own) - own)[occurrences], own[occurrences]) if len(units) else occurrences
+            weights[first : first + len(table.times[row])] = table.times[row]
+    # Equal pairs are found by hashing, and only different ones sorted.
+    named = pa.array(packed).dictionary_encode()
+    pairs = np.asarray(named.dictionary)
+    order = np.argsort(pairs)
+    place = np.empty(len(pairs), dtype=np.int64)
+    place[order] = np.arange(len(pairs))
+    pairs, code = pairs[order], place[np.asarray(named.indices)]
+    where = _gather((np.cumsum(own) - own)[occurrences], own[occurrences])
     keys = np.repeat(doc, own[occurrences]) * len(pairs) + code[where] if len(where) else where
     if weights is None:
         keys.sort()
@@ -294,7 +441,7 @@ def _block(number, ids, texts, pair_of):
     place = np.cumsum(holders > 0) - 1  # pairs only of documents without tokens are left out
     ends = np.cumsum(np.bincount(of, minlength=len(sizes)))
     row = [
-        number, ids, total("n_a"), total("n_b"), total("n_groups"), total("n_links"), groups, ends.tolist(),
+        number, ids, *totals, pc.binary_join(lists, ";").to_pylist(), ends,
         place[at].astype("<u4").tobytes(), times.astype("<i8").tobytes(), pairs[holders > 0], holders[holders > 0],
     ]
     longs = pa.list_(pa.int64())

@@ -1,6 +1,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import pytest
 from sentencepiece import SentencePieceProcessor
@@ -151,3 +152,31 @@ def test_units_together_equal_units_alone():
         return [getattr(unit, f) for f in alignment.Unit.__slots__]
 
     assert len(good) > 200 and [fields(u) for u in together] == [fields(alone[i]) for i in good]
+
+
+def test_common_units_are_made_without_an_object_each(monkeypatch):
+    both, rng = alignment.Aligner(A, B), random.Random(9)
+    names = list({" " + "".join(rng.choice("abcdefghijklmnop") for _ in range(8)) + "," for _ in range(5000)})
+    calls = []
+
+    monkeypatch.setattr(alignment, "Unit", None)
+    monkeypatch.setattr(both, "b", SimpleNamespace(encode=both.b.encode))
+    both.b.encode = lambda text, f=both.b.encode: calls.append(text) or f(text)
+    first, again = both.units(names), both.units(names[::-1])[::-1]
+    assert first.tolist() == again.tolist() == [both.known[n] for n in names]
+    assert len(calls) <= len(names) // alignment.RUN + 1
+
+
+def test_rows_survive_a_generation(monkeypatch):
+    monkeypatch.setattr(alignment, "SHORT", 3)
+    both, rng = alignment.Aligner(A, B), random.Random(10)
+    names = [" " + "".join(rng.choice("abTé's,.\n中=9▁") for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    names = list(dict.fromkeys([*names, " " + "=" * 300, " " + "x" * 90]))
+
+    def found(aligner):
+        return [[getattr(aligner.known.columns.unit(r), f) for f in alignment.Unit.__slots__] for r in aligner.units(names)]
+
+    expected = found(both)
+    both.known.limit = 1
+    assert any(row[-1] for row in expected) and not all(row[0] for row in expected)
+    assert found(both) == found(both) == expected and len(both.known) < len(names)
