@@ -7,6 +7,7 @@ automaton reports, at each position, every piece that ends there by following it
 
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from sward.llm.common import quoted, unused
-from sward.llm.remember import Recent
+from sward.llm.remember import Recent, give_back
 
 MARK = "▁"
 #: Pieces never hold a mark after another character, so the best cut of a text is that of its units.
@@ -138,6 +139,12 @@ def model(path, remembered=REMEMBERED):
     return _MODELS[path, remembered]
 
 
+def forget(path, remembered):
+    """Give the memory of a model back."""
+    _MODELS.pop((path, remembered), None)
+    give_back()
+
+
 def encode(docs, path, text_col="text", ids="ids", remembered=REMEMBERED):
     """``docs`` with an array column of ids (named ``ids``, or that and ``_`` where taken) and its name.
 
@@ -146,13 +153,16 @@ def encode(docs, path, text_col="text", ids="ids", remembered=REMEMBERED):
       without byte pieces.  The mark U+2581 in a text is read as a space, as the library does.
     * Equal rows get equal ids; other columns stay as they are.
     * A text without spaces is one unit, cut as a whole in memory of some 24 bytes a character.
-    * A worker remembers ``remembered`` bytes of units, which is only a matter of speed and memory.
+    * A task remembers ``remembered`` bytes of units, which is only a matter of speed and memory.  The model
+      goes with the task: a worker would hold it through all later stages, and it is read in a fraction of a second.
     """
     (name,) = unused(docs, ids)
 
     @F.arrow_udf("array<int>")
-    def run(texts: pa.Array) -> pa.Array:
-        return _ids(model(path, remembered), texts)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield _ids(model(path, remembered), texts)
+        forget(path, remembered)
 
     return docs.withColumn(name, run(F.col(quoted(text_col)))), name
 
