@@ -139,9 +139,9 @@ def model(path, remembered=REMEMBERED):
     return _MODELS[path, remembered]
 
 
-def forget(path, remembered):
-    """Give the memory of a model back."""
-    _MODELS.pop((path, remembered), None)
+def forget():
+    """Give the memory of all models of this worker back."""
+    _MODELS.clear()
     give_back()
 
 
@@ -162,7 +162,7 @@ def encode(docs, path, text_col="text", ids="ids", remembered=REMEMBERED):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield _ids(model(path, remembered), texts)
-        forget(path, remembered)
+        forget()
 
     return docs.withColumn(name, run(F.col(quoted(text_col)))), name
 
