@@ -133,3 +133,24 @@ def test_branches_of_small_nodes_take_one_job_a_round(spark, cases, monkeypatch)
     for local in (60, 10_000):
         assert np.allclose(_scores(found[local], df), _scores(found[0], df), atol=1e-12)
     assert jobs[10_000] < jobs[0] / 2
+
+
+def test_batches_without_rows_in_open_nodes(spark):
+    """A class whose open nodes have no rows in a batch gives an empty batch of the same types."""
+    from types import SimpleNamespace
+
+    cfg, n_classes = replace(CFG, subsample=1.0), 2
+    binned = boosting._Binned(cfg, 1, n_classes, np.zeros(1, dtype=np.int64))
+    tree, other = boosting.Tree(), boosting.Tree()
+    left, right = tree.split(0, 0, 1, 1.0)
+    held = lambda x: SimpleNamespace(value=x)
+    batches = []
+    for bins in ([0, 1], [2, 3]):
+        batches.append(pa.RecordBatch.from_arrays([
+            pa.array([1, 2]), pa.array([0, 1], pa.int32()), pa.array([[0], [0]], pa.list_(pa.int32())),
+            pa.array([[b] for b in bins], pa.list_(pa.int32())), pa.array([[0.0, 0.0]] * 2),
+        ], ["key", "label", "ids", "bins", "margins"]))
+    growing = held(([tree, other], [[right], [0]]))
+    for found in (boosting._weights(binned, held([]), growing, 0)(batches), boosting._histograms(binned, held([]), growing, 0, 4)(batches)):
+        found = list(found)
+        assert [b.num_rows > 0 for b in found] == [False, True, True, True] and len({str(b.schema) for b in found}) == 1
