@@ -172,8 +172,10 @@ def decode(coded, path, ids_col="ids", text="decoded"):
     (name,) = unused(coded, text)
 
     @F.arrow_udf("string")
-    def run(lists: pa.Array) -> pa.Array:
-        return _texts(model(path), lists)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            yield _texts(model(path), lists)
+        forget()
 
     return coded.withColumn(name, run(F.col(quoted(ids_col)))), name
 
@@ -187,9 +189,11 @@ def encode_and_decode(docs, path, text_col="text", coded="coded"):
     (name,) = unused(docs, coded)
 
     @F.arrow_udf("struct<ids: array<int>, decoded: string>")
-    def run(texts: pa.Array) -> pa.Array:
-        ids = _ids(model(path), texts)
-        return pa.StructArray.from_arrays([ids, _texts(model(path), ids)], ["ids", "decoded"])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            ids = _ids(model(path), texts)
+            yield pa.StructArray.from_arrays([ids, _texts(model(path), ids)], ["ids", "decoded"])
+        forget()
 
     return docs.withColumn(name, run(F.col(quoted(text_col)))), name
 
